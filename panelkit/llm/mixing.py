@@ -4,10 +4,11 @@ A source's target divided by its size is the number of times each of its documen
 part is taken outright. The rest, a probability, is rounded by pivoting: two documents with fractional
 probabilities exchange words, one gaining what the other loses, until one of them is taken or not; a hash
 decides the direction with the odds that keep every document's expectation. The exchange keeps the source's
-expected words, so after all of them the source misses its target by less than one document.
+expected words, so after all of them the source misses its target by less than one document. Larger ones
+go first: they settle against each other, and what is open at the end tends to be a small one.
 
 Exchanges run as a reduction tree: a leaf is a small hash group of a source's documents, folded one by one
-into a residual; residuals of leaves are grouped again, until one is left and is rounded alone. Leaves are
+into a residual; residuals of leaves are grouped again, until one is left, which is rounded to the nearer side. Leaves are
 bounded, so a source with a third of all documents only has more of them.
 """
 
@@ -43,9 +44,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     w = w.withColumn("rest", F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     # The level if this source and those after it all share what the earlier ones leave.
     w = w.withColumn("level", F.col("rest") / F.sum("w").over(after))
-    w = w.withColumn("stops", F.col("level") * F.col("w") > F.col("cap"))
-    level = F.min(F.when(~F.col("stops"), F.col("level"))).over(everything)
-    target = F.when(F.col("stops"), F.col("cap")).otherwise(F.least(level * F.col("w"), F.col("cap")))
+    # The first source that this level does not stop; the earlier ones stop at it, the later ones share it too.
+    open_ = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct((F.col("cap") / F.col("w")).alias("at"), "level"))
+    target = F.least(F.min(open_).over(everything)["level"] * F.col("w"), F.col("cap"))
     return w.select("source", "source_size", F.coalesce(target, F.col("cap")).alias("target"))
 
 
@@ -59,11 +60,11 @@ def _fold(units: Column) -> Column:
 
     ``left`` is the unit still fractional, or null; ``done`` has the others with p of 0 or 1.
     """
-    unit = "struct<doc_id:bigint,key:bigint,size:bigint,whole:bigint,p:double,u:double>"
+    unit = "struct<order:bigint,doc_id:bigint,key:bigint,size:bigint,whole:bigint,p:double,u:double>"
     start = F.struct(F.lit(None).cast(unit).alias("left"), F.array().cast(f"array<{unit}>").alias("done"))
 
     def with_p(x: Column, p: Column) -> Column:
-        return F.struct(x["doc_id"].alias("doc_id"), x["key"].alias("key"), x["size"].alias("size"), x["whole"].alias("whole"), p.alias("p"), x["u"].alias("u"))
+        return F.struct(x["order"].alias("order"), x["doc_id"].alias("doc_id"), x["key"].alias("key"), x["size"].alias("size"), x["whole"].alias("whole"), p.alias("p"), x["u"].alias("u"))
 
     def step(acc: Column, y: Column) -> Column:
         x = acc["left"]
@@ -120,15 +121,15 @@ def mix(df: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.
     level, done, most_groups = 0, [settled], shares.agg(F.max(F.ceil(F.col("n_docs") / leaf))).first()[0] or 0
     while most_groups:
         now = now.withColumn("u", _uniform(F.lit(level), seed)).withColumn("g", F.pmod(F.xxhash64("key", F.lit(level), F.lit(~seed)), F.col("groups")))
-        unit = F.struct("doc_id", "key", "size", "whole", "p", "u")
+        unit = F.struct((-F.col("size")).alias("order"), "doc_id", "key", "size", "whole", "p", "u")
         grouped = now.groupBy(*keep, "groups", "g").agg(F.array_sort(F.collect_list(unit)).alias("units"))
         folded = cut(grouped.select(*keep, "groups", _fold(F.col("units")).alias("r")))
         out = folded.select(*keep, F.explode("r.done").alias("x"))
         done.append(out.select("x.doc_id", *keep, "x.size", (F.col("x.whole") + F.col("x.p").cast("long")).alias("copies")))
         now = folded.where("r.left is not null").select(*keep, "r.left.doc_id", "r.left.key", "r.left.size", "r.left.whole", "r.left.p", "groups")
         if most_groups == 1:
-            # One residual a source: it is rounded alone.
-            copies = F.col("whole") + F.when(_uniform(F.lit(-1), seed) < F.col("p"), 1).otherwise(0)
+            # One residual a source: it is rounded to the nearer side, so the source ends nearest to its target.
+            copies = F.col("whole") + F.when(F.col("p") >= 0.5, 1).otherwise(0)
             done.append(now.select("doc_id", *keep, "size", copies.alias("copies")))
             break
         most_groups = -(-most_groups // leaf)
