@@ -259,7 +259,7 @@ def _repeated(payloads: list[bytes], window: int) -> tuple[np.ndarray, np.ndarra
     return _joined(d[marked], s[marked], s[marked] + window)
 
 
-def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, run: int = 4, block_bytes: int = 24 << 20, buckets_per_partition: int = 4) -> DataFrame:
+def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, run: int = 4, block_bytes: int = 8 << 20, buckets_per_partition: int = 4) -> DataFrame:
     """(id, start, stop): spans of words [start, stop) covered by windows whose words also start earlier.
 
     Earlier means a smaller id, or the same document and an earlier start. Spans of one document may
