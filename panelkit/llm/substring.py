@@ -103,15 +103,23 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.n
     held, size = [], 0
 
     def made() -> tuple[np.ndarray, Block]:
-        t = pa.Table.from_batches(held).combine_chunks().sort_by("id")
-        return t["id"].to_numpy(), Block(t["text"].combine_chunks() if t["text"].num_chunks != 1 else t["text"].chunk(0))
+        t = pa.Table.from_batches(held).combine_chunks().sort_by("id").combine_chunks()
+        return t["id"].to_numpy(), Block(t["text"].chunk(0) if t["text"].num_chunks else pa.array([], pa.string()))
 
     for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= most:
-            yield made()
-            held, size = [], 0
+        # A batch may be many times a block.
+        bytes_ = np.cumsum(pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = int(bytes_[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(bytes_, before + most - size, "right")))
+            held.append(b.slice(at, end - at))
+            size += int(bytes_[end - 1]) - before
+            at = end
+            if size >= most or at < b.num_rows:
+                yield made()
+                held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield made()
 
@@ -259,7 +267,7 @@ def _repeated(payloads: list[bytes], window: int) -> tuple[np.ndarray, np.ndarra
     return _joined(d[marked], s[marked], s[marked] + window)
 
 
-def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, run: int = 4, block_bytes: int = 8 << 20, buckets_per_partition: int = 4) -> DataFrame:
+def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, run: int = 4, block_bytes: int = 8 << 20, buckets_per_partition: int = 8) -> DataFrame:
     """(id, start, stop): spans of words [start, stop) covered by windows whose words also start earlier.
 
     Earlier means a smaller id, or the same document and an earlier start. Spans of one document may
@@ -280,7 +288,9 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         payloads = t["payload"].drop_null().to_pylist()
         if not payloads:
             return marked
-        return pa.concat_tables([marked, pa.table(dict(zip(("id", "start", "stop"), _repeated(payloads, window), strict=True)))])
+        out = pa.concat_tables([marked, pa.table(dict(zip(("id", "start", "stop"), _repeated(payloads, window), strict=True)))])
+        pa.default_memory_pool().release_unused()
+        return out
 
     return _pack(docs, hot, buckets, window, run, block_bytes).groupBy("bucket").applyInArrow(in_bucket, _MARKS)
 
