@@ -14,23 +14,22 @@ Steps, each a Spark shuffle over narrow rows:
    does. Buckets whose members the confirmed links have not already joined are therefore gone through
    again: each member outside the bucket's largest component is paired with the members of the others.
    A member of the largest component needs no further test against its own component, as components are
-   what is returned, which keeps the pairs of a large group of copies from being formed.
+   what is returned, which keeps the pairs of a large group of copies from being formed. One bit of each
+   bin, compared inside the joins, leaves out pairs that can't link, before any text is fetched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm.shared import components, cut
 
-#: ASCII capitals to small letters, and nothing else.
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-_BLANKS = " \t\n\x0b\x0c\r"
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,10 +44,10 @@ class WordHashes:
     """64-bit hashes of words, remembered up to a bound."""
 
     def __init__(self, most: int = 300_000):
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.most = most
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
         known = self.known
@@ -63,11 +62,8 @@ def shingle_set(text: str | None, hashes: WordHashes, words: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a whole text."""
     if not text:
         return np.empty(0, np.uint64)
-    # str.split() also splits at other blanks, which belong to words here.
-    low = text.translate(_LOWER)
-    for c in _BLANKS[1:]:
-        low = low.replace(c, " ")
-    h = hashes([w for w in low.split(" ") if w])
+    # On bytes, lower() and split() know ASCII letters and blanks only.
+    h = hashes(text.encode().lower().split())
     if not len(h):
         return h
     k = min(words, len(h))
@@ -105,8 +101,26 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bits(sig: np.ndarray) -> np.ndarray:
+    """One bit of each bin, in 64-bit words: equal in a share of (1 + similarity) / 2 of the bins."""
+    one = (mix(sig) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(np.append(one, np.zeros(-len(one) % 64, np.uint8))).view(np.int64)
+
+
+def may_link(bins: int, percent: int) -> Column:
+    """Whether bits (xb, yb) and sizes (xn, yn) of two sets leave a link at ``percent`` possible.
+
+    The differing bits of a linked pair stay within 5.5 standard deviations of what is expected at just the
+    threshold but for one pair in ten million; a small set has no more independent bits than elements.
+    """
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col("xb")[i].bitwiseXOR(F.col("yb")[i])) for i in range(-(-bins // 64))])
+    p = (100 - percent) / 200
+    slack = 5.5 * (p * (1 - p)) ** 0.5 / F.sqrt(F.least("xn", "yn", F.lit(bins)))
+    return (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (differ <= bins * (p + slack))
+
+
 def sketches(df: DataFrame, words: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set_key, bands): set_key identifies the set by 128 bits, bands are its bucket keys; both null for an empty set."""
+    """(id, n_shingles, set_key, bands, bits): set_key identifies the set by 128 bits, bands are its bucket keys; null for an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -114,16 +128,18 @@ def sketches(df: DataFrame, words: int, bands: int, rows: int, id_col: str = "do
         hashes = WordHashes()
         for b in batches:
             sets = [shingle_set(t, hashes, words) for t in b["text"]]
+            sigs = [signature(s, bands * rows) if len(s) else None for s in sets]
             yield pd.DataFrame(
                 {
                     "id": b["id"],
                     "n_shingles": [len(s) for s in sets],
                     "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    "bands": [band_keys(signature(s, bands * rows), bands, rows) if len(s) else None for s in sets],
+                    "bands": [None if x is None else band_keys(x, bands, rows) for x in sigs],
+                    "bits": [None if x is None else bits(x) for x in sigs],
                 }
             )
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_shingles long, set_key binary, bands array<long>")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -181,15 +197,18 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     bucket = every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     member = cut(every.join(bucket, "key"))
     degree = member.groupBy("id").agg(F.sum("size").alias("degree"))
-    ranked = member.join(degree, "id").select("key", "id", F.struct((-F.col("degree")).alias("d"), "id").alias("rank"))
-    centre = ranked.groupBy("key").agg(F.min("rank").alias("c")).select("key", F.col("c.id").alias("y"))
-    stars = cut(member.join(centre, "key").where("id != y").select(F.col("id").alias("x"), "y").distinct())
+    sketch = reps.select("id", "bits").join(degree, "id")
+    member = cut(member.join(sketch, "id").select("key", "id", "n", "bits", F.struct((-F.col("degree")).alias("d"), "id", "n", "bits").alias("rank")))
+    centre = member.groupBy("key").agg(F.min("rank").alias("c")).select("key", F.col("c.id").alias("y"), F.col("c.n").alias("yn"), F.col("c.bits").alias("yb"))
+    x = member.select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("bits").alias("xb"))
+    linkable = may_link(bands * rows, percent)
+    stars = cut(x.join(centre, (x["key"] == centre["key"]) & (F.col("x") != F.col("y")) & linkable).select("x", "y").distinct())
     links = cut(confirmed(stars, texts, words, percent))
     parts = cut(components(links))
 
     # What the stars left open: buckets that still hold several components.
-    placed = member.select("key", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("key", "id", "n", F.coalesce("component", "id").alias("part"))
+    placed = member.select("key", "id", "n", "bits").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    placed = placed.select("key", "id", "n", "bits", F.coalesce("component", "id").alias("part"))
     counts = placed.groupBy("key", "part").agg(F.count("*").alias("members"))
     largest = (
         counts.groupBy("key")
@@ -198,12 +217,11 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         .select("key", F.col("top.part").alias("top"))
     )
     opened = cut(placed.join(largest, "key"))
-    x = opened.where("part != top").select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp"))
-    y = opened.select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("part").alias("yp"), "top")
+    x = opened.where("part != top").select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("bits").alias("xb"), F.col("part").alias("xp"))
+    y = opened.select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("bits").alias("yb"), F.col("part").alias("yp"), "top")
+    other = (F.col("xp") != F.col("yp")) & ((F.col("yp") == F.col("top")) | (F.col("x") < F.col("y")))
     more = (
-        x.join(y, "key")
-        .where((F.col("xp") != F.col("yp")) & ((F.col("yp") == F.col("top")) | (F.col("x") < F.col("y"))))
-        .where(100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
+        x.join(y, (x["key"] == y["key"]) & other & linkable)
         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         .distinct()
         .join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
