@@ -11,7 +11,7 @@ A file image is little-endian:
     and for each level: u64 entries | entries chunks as u8 | bitmap as u64 words | rank directory as u64 words
 
 The images are the rows of a table that Spark writes and reads, in any store that it reaches: columns part and
-piece give their order, n_ids and n_docs their sizes.
+piece give their order, n_ids and n_docs their sizes, before the ids of a part's earlier pieces.
 """
 
 from __future__ import annotations
@@ -115,18 +115,18 @@ def write(df: DataFrame, path: str, *, tokenizer: str, end_id: int, id_col: str
         of = encoder(tokenizer)
         docs: list[int | None] = []
         held: list[np.ndarray] = []
-        n = 0
+        n = before = 0
 
         def image() -> pd.DataFrame:
             ends = np.cumsum([len(x) for x in held])
-            return pd.DataFrame({"part": [part], "piece": [piece], "n_ids": [n], "n_docs": [len(held)], "doc_ids": [docs], "image": [encode(np.concatenate(held), ends)]})
+            return pd.DataFrame({"part": [part], "piece": [piece], "n_ids": [n], "before": [before], "n_docs": [len(held)], "doc_ids": [docs], "image": [encode(np.concatenate(held), ends)]})
 
         end = np.array([end_id], np.uint32)
         for b in batches:
             for doc, ids in zip(b["id"].tolist(), of(b["text"].tolist()), strict=True):
                 if held and n + len(ids) + 1 > segment_ids:
                     yield image()
-                    docs, held, n, piece = [], [], 0, piece + 1
+                    docs, held, n, piece, before = [], [], 0, piece + 1, before + n
                 docs.append(None if pd.isna(doc) else int(doc))
                 held.append(np.append(ids, end))
                 n += len(ids) + 1
@@ -136,19 +136,17 @@ def write(df: DataFrame, path: str, *, tokenizer: str, end_id: int, id_col: str
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "text").sortWithinPartitions("id", "text")
-    segments = rows.mapInPandas(run, "part int, piece int, n_ids long, n_docs long, doc_ids array<long>, image binary")
+    segments = rows.mapInPandas(run, "part int, piece int, n_ids long, before long, n_docs long, doc_ids array<long>, image binary")
     segments.write.option("compression", "none").parquet(path)
 
 
 def read(df: DataFrame) -> DataFrame:
     """The segments of ``df``, a reader of a written path, with ``start``: the ids in all segments before."""
     by_part = df.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    # One row a partition of the writing job, so this window's single task is as small as that job's task list.
-    before = by_part.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    index = df.select("part", "piece", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("inside")).join(before, "part")
-    index = index.select("part", "piece", (F.col("before") + F.col("inside")).alias("start"))
-    return df.join(index, ["part", "piece"])
+    # One row a partition of the writing job: the window's single task and the broadcast are as small as that
+    # job's task list. Segments know what is before them in their partition, so images are not shuffled.
+    parts = by_part.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__parts"))
+    return df.join(F.broadcast(parts), "part").withColumn("start", F.col("__parts") + F.col("before")).drop("__parts")
 
 
 def decoded(segments: DataFrame, fold, schema: str) -> DataFrame:  # noqa: ANN001

@@ -2,8 +2,8 @@
 
 Byte-level BPE first splits a text by a pattern and then merges inside each part, so a text may be cut at
 any boundary between such parts and its pieces encoded apart. Every blank that stands before a non-blank
-begins a part, and so does the end of a run of blanks: these are the cuts used here. Each distinct chunk is
-encoded once by the library and remembered up to a bound.
+begins a part, and so does the end of a run of blanks, and a full stop or the like after a letter: these are
+the cuts used here. Each distinct chunk is encoded once by the library and remembered up to a bound.
 """
 
 from __future__ import annotations
@@ -16,13 +16,17 @@ import numpy as np
 
 #: Unicode's White_Space characters, which the tokenizer's own pattern calls blank. Fixed values.
 _BLANK = "\t-\r \x85\xa0  -     　"
-_CHUNK = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?=[{_BLANK}][^{_BLANK}])|[{_BLANK}]+")
+_LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_MARK = ".,;:!?"
+#: A word of letters that ends before a blank or a mark; marks before a blank; any other run of non-blanks;
+#: blanks but the last one before a non-blank; other blanks.
+_CHUNK = re.compile(f" ?[{_LETTER}]+(?![^{_BLANK}{_MARK}])|[{_MARK}]+(?![^{_BLANK}])| ?[^{_BLANK}]+|[{_BLANK}]+(?=[{_BLANK}][^{_BLANK}])|[{_BLANK}]+")
 
 
 class Encoder:
     """Encodes batches of texts; keeps ids of up to ``most`` chunks between batches."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
