@@ -8,8 +8,7 @@ an occurrence with the least containment shares none with its piece at most ``mo
 that shares a band with a piece is a candidate for its template, which the exact containment of the
 template's shingles in the document's confirms.
 
-Minima come from the xor of one shingle hash with a constant for each band, so a window costs no hashing; a
-window's minimum is the lesser one of its two halves, so each shingle is visited once for each band.
+Minima come from the xor of one shingle hash with a constant for each band, so a window costs no hashing.
 """
 
 from __future__ import annotations
@@ -56,18 +55,19 @@ def bands(n: int, containment: float, most_missed: float) -> int:
 
 
 def _windows(h: Column, step: int, band: int) -> Column:
-    """The least of each window's hashes under a band's xor."""
-    def least(x: Column) -> Column:
-        return x.bitwiseXOR(F.lit(_constant(band)))
-
-    def pairs(x: Column) -> Column:
-        return F.when(F.size(x) > 1, F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.least(a, b))).otherwise(x)
-
-    if step <= 0:
-        own = F.transform(h, least)
-        return own if step == 0 else pairs(own)
-    blocks = F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / step).cast("int")), lambda b: F.array_min(F.transform(F.slice(h, b * step + 1, F.lit(step)), least))))
-    return pairs(F.coalesce(blocks, F.array().cast("array<bigint>")))
+    """The least of each window's hashes under a band's xor. Elements are fetched by place: a slice would copy the array."""
+    x = F.transform(h, lambda v: v.bitwiseXOR(F.lit(_constant(band))))
+    if step == 0:
+        return x
+    stride, width = (1, 2) if step < 0 else (step, 2 * step)
+
+    def windows(x: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(x) / stride).cast("int") - 2, F.lit(0))
+        # least() skips what lies beyond the end.
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.least(*[F.get(x, b * stride + k) for k in range(width)]))
+
+    # The one-element array holds the xored hashes, so that they are computed once.
+    return F.flatten(F.transform(F.array(x), windows))
 
 
 def _constant(band: int) -> int:

@@ -267,7 +267,7 @@ def _repeated(payloads: list[bytes], window: int) -> tuple[np.ndarray, np.ndarra
     return _joined(d[marked], s[marked], s[marked] + window)
 
 
-def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, run: int = 4, block_bytes: int = 8 << 20, buckets_per_partition: int = 8) -> DataFrame:
+def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, run: int = 4, block_bytes: int = 8 << 20, buckets_per_partition: int = 8, hot_rows: int = 1000) -> DataFrame:
     """(id, start, stop): spans of words [start, stop) covered by windows whose words also start earlier.
 
     Earlier means a smaller id, or the same document and an earlier start. Spans of one document may
@@ -280,7 +280,7 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     counts = cut(minimiser_counts(docs, window, run, block_bytes))
     total = counts.agg(F.sum("n")).first()[0] or 0
     # At most 8 * buckets values can exceed this share of the total: a bound on what is collected.
-    least = max(1000, total // (8 * buckets))
+    least = max(hot_rows, total // (8 * buckets))
     hot = np.array([r[0] for r in counts.where(F.col("n") > least).select("minimiser").collect()], np.int64)
 
     def in_bucket(t: pa.Table) -> pa.Table:
