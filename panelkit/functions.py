@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Strings that stand for a missing value. Fixed values.
 MISSING = ("", "-", "--", "NA", "N/A", "NULL", "None")
@@ -109,13 +110,13 @@ def all_equal(a: Column, b: Column) -> Column:
 # -- text ------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     """Unicode NFKC, for which Spark has no function; an Arrow UDF."""
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t)).astype(object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(x: pd.Series) -> pd.Series:
     """HTML character references as characters; an Arrow UDF."""
     return x.map(lambda t: None if t is None else html.unescape(t)).astype(object)

@@ -129,7 +129,7 @@ def event_roster(df: DataFrame, entity: str, old: str, new: str, announcement: s
     block = [entity, old, new]
     rows = rows.withColumn("__id", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in rows.columns]))
     evidence = F.array_compact(F.array(F.concat(F.lit("a:"), F.col(announcement).cast("string")), F.concat(F.lit("d:"), F.col(date).cast("string")), F.when(F.col(date).isNull(), F.concat(F.lit("y:"), F.col(year).cast("string")))))
-    edges = rows.select("__id", F.xxhash64(*block, F.explode(evidence)).alias("e")) if False else rows.withColumn("ev", F.explode(evidence)).select("__id", F.xxhash64(*block, "ev").alias("e"))
+    edges = rows.withColumn("ev", F.explode(evidence)).select("__id", F.xxhash64(*block, "ev").alias("e"))
     labels = rows.select("__id", F.col("__id").alias("label"))
     while True:
         low = edges.join(labels, "__id").groupBy("e").agg(F.min("label").alias("label"))
