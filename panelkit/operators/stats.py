@@ -244,7 +244,7 @@ def models(df: DataFrame, specs: list[dict], entity: str, year: str, cluster: st
     for s in specs:
         part = df.where(s["where"]) if s.get("where") else df
         f = fit(gram(part, s["outcome"], [s["policy"], *s.get("controls", [])], entity, year, cluster))
-        rows.append((s["model"], f.beta, f.se, f.p, f.low, f.high, f.n, f.entities, f.clusters, f.within_r2))
+        rows.append((s["model"], *map(float, (f.beta, f.se, f.p, f.low, f.high)), f.n, f.entities, f.clusters, float(f.within_r2)))
     return df.sparkSession.createDataFrame(rows, "model string, beta double, se double, p double, low double, high double, n long, entities long, clusters long, within_r2 double")
 
 

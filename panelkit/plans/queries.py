@@ -322,9 +322,9 @@ def rule_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return audits.accuracy(p, "predicted", "quality", F.col("lang") == "en").withColumn("accuracy", r("accuracy"))
 
 
-@query("SELECT c_name AS name_key, count(DISTINCT c_custkey) AS n_entities FROM (SELECT regexp_replace(lower(substr(c_phone, 1, 4)), '[^0-9a-z_]', '', 'g') AS c_name, c_custkey FROM customer) GROUP BY 1 HAVING count(DISTINCT c_custkey) > 1")
+@query("SELECT c_name AS name_key, count(DISTINCT c_custkey) AS n_entities FROM (SELECT regexp_replace(lower(substr(c_name, 1, 17)), '[^0-9a-z_]', '', 'g') AS c_name, c_custkey FROM customer) GROUP BY 1 HAVING count(DISTINCT c_custkey) > 1")
 def name_collisions(spark: SparkSession, d: str) -> DataFrame:
-    c = sources.table(spark, d, "customer").select("c_custkey", fn.identity_key(F.substring("c_phone", 1, 4)).alias("name_key"), "c_nationkey", "c_mktsegment")
+    c = sources.table(spark, d, "customer").select("c_custkey", fn.identity_key(F.substring("c_name", 1, 17)).alias("name_key"), "c_nationkey", "c_mktsegment")
     return evidence.collisions(c, "c_custkey", "name_key", "c_nationkey", "c_mktsegment").select("name_key", "n_entities")
 
 
