@@ -1,8 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are positives, documents without a label are unlabelled; labels of clean documents
-only give the class prior. Features are words and their character n-grams that are commoner in positives
-than in unlabelled text; document frequencies in unlabelled text are counted over all documents. A linear
+Confirmed toxic documents are positives; the unlabelled side is all documents, whatever their labels, as the
+risk estimate takes it to be drawn from the whole. Labels of clean documents only give the class prior.
+Features are words and their character n-grams that are commoner in positives than in unlabelled text;
+document frequencies in unlabelled text are counted over all documents. A linear
 model minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with logistic losses by numpy on bounded
 samples, and then scores every whole text where it lies.
 """
@@ -10,6 +11,7 @@ samples, and then scores every whole text where it lies.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.llm.shared import cut
+
 _WORD = re.compile(r"[^\W\d_]+")
 _GRAMS = (4, 5, 6)
 
@@ -56,6 +60,17 @@ class Features:
         return out
 
 
+_latest: dict[str, Features] = {}
+
+
+def remembered(key: str, index: dict[str, int]) -> Features:
+    """The features of ``index``, named ``key``, with what this Python worker learned in earlier tasks."""
+    if key not in _latest:
+        _latest.clear()
+        _latest[key] = Features(index)
+    return _latest[key]
+
+
 @dataclass
 class Model:
     """index: feature to column; weights; bias. ``prior`` is the share of toxic documents that it was fitted with."""
@@ -74,9 +89,10 @@ def sampled(key: str, rows: int, total: int) -> Column:
 
 def _document_frequencies(texts: DataFrame, index: dict[str, int]) -> np.ndarray:
     """In how many of ``texts`` each feature occurs; tasks send one row a feature that they met."""
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, n = Features(index), np.zeros(len(index), np.int64)
+        of, n = remembered(key, index), np.zeros(len(index), np.int64)
         for b in batches:
             for t in b["text"]:
                 ids = of(t)
@@ -145,20 +161,20 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n: int, pri
 
 
 def train(docs: DataFrame, labels: DataFrame, *, most_positive: int = 4000, most_unlabelled: int = 30_000, most_features: int = 4000, least_lift: float = 2.5, least_evidence: float = 28.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 0) -> Model:
-    """Fit on hashed samples of about ``most_positive`` toxic and ``most_unlabelled`` unlabelled documents.
+    """Fit on hashed samples of about ``most_positive`` toxic and ``most_unlabelled`` of all documents.
 
     ``labels`` holds the labels that may be learned from; its null labels and ids count as none. Documents of
-    several labels are toxic if one is. Without a toxic or an unlabelled document the model knows only
-    the prior. Document frequencies are counted in all unlabelled documents. A feature counts if it is
-    ``least_lift`` times commoner in toxic than in unlabelled documents, and its count there has a
+    several labels are toxic if one is. Without a toxic document with a text the model knows only the prior.
+    Document frequencies are counted in all documents, so no text is shuffled. A feature counts if it is
+    ``least_lift`` times commoner in toxic documents than in all, and its count there has a
     log-likelihood ratio of ``least_evidence`` against chance, as thousands of features are tried.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = min(max(toxic / n if n else 0.0, 1e-4), 0.9)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    positive = texts.join(known.where("y = 1").where(sampled("id", most_positive, toxic)).select("id"), "id", "left_semi")
-    unlabelled = texts.join(known.select("id"), "id", "left_anti")
+    # About ``most_positive`` ids, whatever the input.
+    positive = cut(texts.join(F.broadcast(known.where("y = 1").where(sampled("id", most_positive, toxic)).select("id")), "id", "left_semi"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter[str] = Counter()
@@ -173,10 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, *, most_positive: int = 4000, most
     # Of one sampled document in two hundred at least: a few ten thousand, whatever the input.
     in_positive = dict(sorted(map(tuple, found.collect())))
     names = list(in_positive)
-    n_unlabelled = unlabelled.count()
-    if not names or not n_unlabelled:
+    if not names:
         return Model(prior)
-    in_unlabelled = _document_frequencies(unlabelled, {x: i for i, x in enumerate(names)})
+    n_unlabelled = texts.count()
+    in_unlabelled = _document_frequencies(texts, {x: i for i, x in enumerate(names)})
     p, u = np.array([in_positive[x] for x in names]), in_unlabelled
     expected = n_positive * (u + 1) / (n_unlabelled + 1)
     lift = p / expected
@@ -185,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_positive: int = 4000, most
     index = {names[i]: k for k, i in enumerate(order)}
     if not index:
         return Model(prior)
-    weights, bias = fit_nnpu(_rows(positive, index), _rows(unlabelled.where(sampled("id", most_unlabelled, n_unlabelled)), index), len(index), prior, seed=seed)
+    weights, bias = fit_nnpu(_rows(positive, index), _rows(texts.where(sampled("id", most_unlabelled, n_unlabelled)), index), len(index), prior, seed=seed)
     return Model(prior, index, weights, bias)
 
 
@@ -195,11 +211,11 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", name: str = "s
     Null and empty texts have no features and get the score of the bias alone. A column called ``name`` is
     replaced; all others are kept as they are.
     """
-    index, weights, bias = model.index, model.weights, model.bias if model.index else float(np.log(model.prior / (1 - model.prior)))
+    key, index, weights, bias = uuid.uuid4().hex, model.index, model.weights, model.bias if model.index else float(np.log(model.prior / (1 - model.prior)))
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        features = Features(index)
+        features = remembered(key, index)
         for texts in batches:
             z = np.fromiter((sum(weights[i] for i in sorted(features(t))) + bias for t in texts), float, len(texts))
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
