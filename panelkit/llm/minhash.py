@@ -15,7 +15,8 @@ Steps, each a Spark shuffle over narrow rows:
    again: each member outside the bucket's largest component is paired with the members of the others.
    A member of the largest component needs no further test against its own component, as components are
    what is returned, which keeps the pairs of a large group of copies from being formed. One bit of each
-   bin, compared inside the joins, leaves out pairs that can't link, before any text is fetched.
+   bin and a parity sketch of the whole set, compared inside the joins, leave out pairs that can't link,
+   before any text is fetched.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ from panelkit.llm.shared import components, cut
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
+#: Bits of a set's parity sketch.
+PARITY = 1024
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input moves every bit of the output."""
@@ -107,20 +111,40 @@ def bits(sig: np.ndarray) -> np.ndarray:
     return np.packbits(np.append(one, np.zeros(-len(one) % 64, np.uint8))).view(np.int64)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY bits in 64-bit words: whether an odd number of the elements falls on each."""
+    odd = np.bincount((mix(s + _SEED) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def may_link(bins: int, percent: int) -> Column:
-    """Whether bits (xb, yb) and sizes (xn, yn) of two sets leave a link at ``percent`` possible.
+    """Whether sketches (xb, yb: ``bits``, then ``parity``) and sizes (xn, yn) of two sets leave a link at ``percent`` possible.
 
     The differing bits of a linked pair stay within 5.5 standard deviations of what is expected at just the
     threshold but for one pair in ten million; a small set has no more independent bits than elements.
+
+    Every differing parity bit has an element of its own that only one set holds, and a linked pair has at
+    most a known number of those: below the parity sketch's size this test loses no link. For larger sets,
+    whose parity bits overlap, the bound is the expected number and 5.5 standard deviations again.
     """
-    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col("xb")[i].bitwiseXOR(F.col("yb")[i])) for i in range(-(-bins // 64))])
+
+    def differing(first: int, end: int) -> Column:
+        return reduce(lambda a, b: a + b, [F.bit_count(F.col("xb")[i].bitwiseXOR(F.col("yb")[i])) for i in range(first, end)])
+
+    words = -(-bins // 64)
     p = (100 - percent) / 200
     slack = 5.5 * (p * (1 - p)) ** 0.5 / F.sqrt(F.least("xn", "yn", F.lit(bins)))
-    return (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (differ <= bins * (p + slack))
+    # |A ^ B| of a linked pair: 1 - similarity over 1 + similarity of |A| + |B|.
+    apart = (F.col("xn") + F.col("yn")) * (100 - percent) / (100 + percent)
+    odd = PARITY / 2 * (1 - F.exp(-2 * apart / PARITY))
+    spread = PARITY**0.5 / 2 * F.sqrt(1 - F.exp(-4 * apart / PARITY))
+    by_size = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
+    by_bits = differing(0, words) <= bins * (p + slack)
+    return by_size & by_bits & (differing(words, words + PARITY // 64) <= F.least(apart, odd + 5.5 * spread))
 
 
 def sketches(df: DataFrame, words: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set_key, bands, bits): set_key identifies the set by 128 bits, bands are its bucket keys; null for an empty set."""
+    """(id, n_shingles, set_key, bands, bits): set_key identifies the set by 128 bits, bands are its bucket keys, bits its sketches; null for an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -135,7 +159,7 @@ def sketches(df: DataFrame, words: int, bands: int, rows: int, id_col: str = "do
                     "n_shingles": [len(s) for s in sets],
                     "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "bands": [None if x is None else band_keys(x, bands, rows) for x in sigs],
-                    "bits": [None if x is None else bits(x) for x in sigs],
+                    "bits": [None if x is None else np.concatenate([bits(x), parity(s)]) for x, s in zip(sigs, sets, strict=True)],
                 }
             )
 
@@ -198,8 +222,9 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     member = cut(every.join(bucket, "key"))
     degree = member.groupBy("id").agg(F.sum("size").alias("degree"))
     sketch = reps.select("id", "bits").join(degree, "id")
-    member = cut(member.join(sketch, "id").select("key", "id", "n", "bits", F.struct((-F.col("degree")).alias("d"), "id", "n", "bits").alias("rank")))
-    centre = member.groupBy("key").agg(F.min("rank").alias("c")).select("key", F.col("c.id").alias("y"), F.col("c.n").alias("yn"), F.col("c.bits").alias("yb"))
+    member = cut(member.join(sketch, "id").select("key", "id", "n", "bits", "degree"))
+    centre = member.groupBy("key").agg(F.min_by(F.struct("id", "n", "bits"), F.struct(-F.col("degree"), "id")).alias("c"))
+    centre = centre.select("key", F.col("c.id").alias("y"), F.col("c.n").alias("yn"), F.col("c.bits").alias("yb"))
     x = member.select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("bits").alias("xb"))
     linkable = may_link(bands * rows, percent)
     stars = cut(x.join(centre, (x["key"] == centre["key"]) & (F.col("x") != F.col("y")) & linkable).select("x", "y").distinct())

@@ -241,3 +241,19 @@ def test_toxicity(spark):
 
 def test_digest():
     assert substring.digest("a b") == hashlib.sha256(b"a b").hexdigest()
+
+
+def test_sketches_keep_links(spark):
+    """Pairs at and above the threshold pass the sketches, from small sets to such as overfill the parity bits."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (9, 45, 90, 450, 1800, 9000):
+        for _ in range(20):
+            pool = rng.integers(0, 1 << 62, n + n // 9, dtype=np.uint64)
+            # n - n // 9 elements in common of n + n // 9: similarity 0.8 where 9 divides n.
+            a, b = np.unique(pool[:n]), np.unique(pool[n // 9 :])
+            assert 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+            sketch = [np.concatenate([minhash.bits(minhash.signature(s, 240)), minhash.parity(s)]).tolist() for s in (a, b)]
+            rows.append((len(a), len(b), *sketch))
+    pairs = spark.createDataFrame(rows, "xn long, yn long, xb array<long>, yb array<long>")
+    assert pairs.where(minhash.may_link(240, 80)).count() == len(rows)
