@@ -58,7 +58,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: Learned scores and token ids have no SQL; tests compare the stages with brute force.
+#: Learned scores and token ids have no SQL.
 ORACLE_SQL = None
 
 
