@@ -16,11 +16,11 @@ from panelkit.llm.shared import shared_dir
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays under one half; only labels outside the held-out quarter are learned from."""
+    """Documents that op1 doesn't predict toxic; only labels outside the held-out quarter are learned from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = toxicity.train(docs, labels.where(~held_out))
-    return toxicity.score(docs, model, name="__score").where("__score < 0.5").drop("__score")
+    return toxicity.score(docs, model, name="__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,9 @@ from panelkit.llm.shared import cut
 _WORD = re.compile(r"[^\W\d_]+")
 _GRAMS = (4, 5, 6)
 
+#: A document of this score or more is predicted toxic, wherever the model is used.
+THRESHOLD = 0.3
+
 
 def grams(word: str) -> set[str]:
     """The word, and the n-grams of it with its bounds marked."""
