@@ -3,7 +3,8 @@
 Byte-level BPE first splits a text by a pattern and then merges inside each part, so a text may be cut at
 any boundary between such parts and its pieces encoded apart. Every blank that stands before a non-blank
 begins a part, and so does the end of a run of blanks, and a full stop or the like after a letter: these are
-the cuts used here. Each distinct chunk is encoded once by the library and remembered up to a bound.
+the cuts used here. Each distinct chunk is encoded once by the library and remembered up to a bound. A text
+that holds an added token, as <|endoftext|> written out, goes to the library whole, which looks for those first.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.most = most
         self._forget()
 
@@ -63,6 +65,16 @@ class Encoder:
         return out
 
     def _group(self, texts: list[str | None]) -> list[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if t and self.added and self.added.search(t)]
+        if whole:
+            found = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+            rest = list(texts)
+            for i in whole:
+                rest[i] = None
+            out = self._group(rest)
+            for i, e in zip(whole, found, strict=True):
+                out[i] = np.array(e.ids, np.uint32)
+            return out
         chunks = [_CHUNK.findall(t) if t else [] for t in texts]
         flat = [c for x in chunks for c in x]
         if len(self.place) > self.most:
