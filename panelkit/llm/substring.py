@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from panelkit.llm.minhash import mix
 from panelkit.llm.shared import cut, partitions
@@ -329,6 +330,35 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.mapInPandas(keep, "id long, text string, n_words long, n_removed long")
 
 
+def without(df: DataFrame, spans: DataFrame, *, id_col: str, text_col: str = "text") -> DataFrame:
+    """``df`` with the words of ``spans`` cut out of its texts, and with n_words and n_removed of each row.
+
+    ``spans`` are those of ``repeated_spans``; ``id_col`` names one row each, and rows that it leaves null stay
+    whole. All columns of ``df`` go along with their row. Kept words are joined by one blank.
+    """
+    names = df.columns
+    spans = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("__spans")).withColumnRenamed("id", "__of")
+    rows = df.join(spans, F.col(id_col) == F.col("__of"), "left").select(*names, F.col("__spans.start").alias("__start"), F.col("__spans.stop").alias("__stop"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, words, removed = [], [], []
+            for text, start, stop in zip(b[text_col].to_pylist(), b["__start"].to_pylist(), b["__stop"].to_pylist(), strict=True):
+                w = [x for x in _split(text) if x] if text else []
+                gone = np.zeros(len(w) + 1, np.int64)
+                if start:
+                    np.add.at(gone, np.minimum(start, len(w)), 1)
+                    np.subtract.at(gone, np.minimum(stop, len(w)), 1)
+                left = [x for x, g in zip(w, np.cumsum(gone).tolist(), strict=False) if not g]
+                texts.append(None if text is None else " ".join(left))
+                words.append(len(w))
+                removed.append(len(w) - len(left))
+            columns = [pa.array(texts, b[c].type) if c == text_col else b[c] for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_words", "n_removed"])
+
+    return rows.mapInArrow(keep, StructType([*df.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType())]))
+
+
 def _split(text: str) -> list[str]:
     for c in "\t\n\x0b\x0c\r":
         text = text.replace(c, " ")

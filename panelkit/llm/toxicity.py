@@ -112,7 +112,8 @@ def _rows(texts: DataFrame, index: dict[str, int]) -> list[list[int]]:
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "x": [sorted(of(t)) for t in b["text"]]})
 
-    return [r["x"] for r in sorted(texts.select("id", "text").mapInPandas(run, "id long, x array<int>").collect())]
+    rows = texts.select("id", "text").mapInPandas(run, "id long, x array<int>").collect()
+    return [r["x"] for r in sorted(rows, key=lambda r: (r["id"] is not None, r["id"] or 0, r["x"]))]
 
 
 def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n: int, prior: float, *, epochs: int = 60, rate: float = 0.1, decay: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:

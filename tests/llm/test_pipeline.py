@@ -1,5 +1,6 @@
 """The stages of the pipeline on small and awkward tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,3 +29,57 @@ def test_toxic_documents_are_those_op1_predicts(spark, monkeypatch):
     docs = frame(spark, enumerate(["0.1", "0.29", "0.3", "0.4", "0.49", "0.5", "0.9"]))
     got = corpus_pipeline.toxic(spark, docs, labelled(spark, [(0, 0)]))
     assert sorted(r["text"] for r in got.collect()) == ["0.1", "0.29"]
+
+
+WORDS = [f"w{i}" for i in range(300)]
+
+
+def text(seed, n=40):
+    return " ".join(np.random.default_rng(seed).choice(WORDS, n))
+
+
+def pairs(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_null_and_repeated_ids(spark):
+    """Each stage by itself: no row is lost or multiplied for its id."""
+    passage = text(99, 25)
+    null = [(None, text(1)), (None, text(2)), (None, None), (None, f"{passage} n")]
+    twice = [(5, text(5)), (5, text(5)), (5, text(6)), (6, None), (6, None), (7, ""), (7, "")]
+    other = [(8, f"a {passage}"), (9, f"b {passage}"), (9, f"c {passage} d"), (10, passage)]
+    rows = null + twice + other
+    docs = frame(spark, rows)
+    folder = labelled(spark, [(i, 0) for i in range(5, 11)])
+    # Nothing toxic to learn from: every row stays, as often as it stands there.
+    assert pairs(corpus_pipeline.toxic(spark, docs, folder)) == sorted(rows, key=str)
+    ids = spark.createDataFrame([(None, "a b"), (None, "a"), (2, "b"), (2, "a b")], "id long, text string")
+    assert sorted(toxicity._rows(ids, {"<a>": 0, "<b>": 1})) == [[0], [0, 1], [0, 1], [1]]
+
+    got = pairs(corpus_pipeline.near_duplicates(spark, docs, folder))
+    # 8 and the rows of 9 resemble 10 and each other.
+    left = [r for r in rows if r[0] is None] + [(5, text(5)), (5, text(6)), (6, None), (7, "")]
+    assert [r for r in got if r[0] not in (8, 9, 10)] == sorted(left, key=str)
+    assert len(set(got)) == len(got)
+
+    got = sorted(((i, t and " ".join(t.split())) for i, t in pairs(corpus_pipeline.repeated_passages(spark, docs, folder))), key=str)
+    # Of the first of 9's rows in the order of their contents and the second, each keeps what stands around the passage.
+    want = null + [(5, text(5)), (5, text(6)), (6, None), (6, None), (7, ""), (7, ""), (8, f"a {passage}"), (9, "b"), (9, "c d")]
+    assert got == sorted(want, key=str)
+
+    got = pairs(corpus_pipeline.mixed(spark, docs, folder))
+    # One source, whose target is its size: each document with words once.
+    assert got == sorted([r for r in rows if r[1]], key=str)
+
+    packed = corpus_pipeline.packed(spark, docs, folder).toPandas()
+    assert len(packed) == len(rows)
+    assert sorted(packed["doc_id"].dropna().astype(int)) == [i for i, _ in sorted(twice + other, key=lambda r: r[0])]
+
+
+def test_keys_do_not_depend_on_partitioning(spark):
+    rows = [(i % 7 if i % 5 else None, text(i % 11)) for i in range(60)]
+    a, b = (sorted(map(tuple, corpus_pipeline.keyed(frame(spark, rows).repartition(n)).select("__key", "doc_id", "text").collect())) for n in (1, 5))
+    assert a == b
+    assert [r[0] for r in a] == list(range(60))
+    ids = [r[1] for r in a if r[1] is not None]
+    assert ids == sorted(ids) and all(r[1] is None for r in a[: 60 - len(ids)])
