@@ -68,11 +68,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur earlier; documents of which nothing is left go.
 
+    Texts without such passages and their n_chars stay as they are, and so do all characters around what is cut.
     Rows that repeat an id are documents of their own, one after the other. Rows with a null id stay whole.
     """
     rows = keyed(docs)
     out = substring.without(rows, substring.repeated_spans(rows, id_col="__id"), id_col="__key").where("n_removed = 0 or n_removed < n_words")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

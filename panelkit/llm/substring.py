@@ -19,6 +19,7 @@ one packed string to the minimiser's bucket, so that equal windows, which have e
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from panelkit.llm.minhash import mix
-from panelkit.llm.shared import cut, partitions
+from panelkit.llm.shared import WORD, cut, partitions
 
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 _MARKS = "id long, start long, stop long"
+_WORD = re.compile(WORD)
 
 
 class Block:
@@ -334,7 +336,8 @@ def without(df: DataFrame, spans: DataFrame, *, id_col: str, text_col: str = "te
     """``df`` with the words of ``spans`` cut out of its texts, and with n_words and n_removed of each row.
 
     ``spans`` are those of ``repeated_spans``; ``id_col`` names one row each, and rows that it leaves null stay
-    whole. All columns of ``df`` go along with their row. Kept words are joined by one blank.
+    whole. All columns of ``df`` go along with their row. Characters outside the spans, blanks around them
+    included, stay as they are.
     """
     names = df.columns
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("__spans")).withColumnRenamed("id", "__of")
@@ -344,15 +347,21 @@ def without(df: DataFrame, spans: DataFrame, *, id_col: str, text_col: str = "te
         for b in batches:
             texts, words, removed = [], [], []
             for text, start, stop in zip(b[text_col].to_pylist(), b["__start"].to_pylist(), b["__stop"].to_pylist(), strict=True):
-                w = [x for x in _split(text) if x] if text else []
+                w = [m.span() for m in _WORD.finditer(text)] if text else []
                 gone = np.zeros(len(w) + 1, np.int64)
                 if start:
                     np.add.at(gone, np.minimum(start, len(w)), 1)
                     np.subtract.at(gone, np.minimum(stop, len(w)), 1)
-                left = [x for x, g in zip(w, np.cumsum(gone).tolist(), strict=False) if not g]
-                texts.append(None if text is None else " ".join(left))
+                gone = np.cumsum(gone)[: len(w)] > 0
+                # Where runs of words that go begin and end.
+                edge = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
+                kept, at = [], 0
+                for x, y in zip(edge[::2], edge[1::2], strict=True):
+                    kept.append(text[at : w[x][0]])
+                    at = w[y - 1][1]
+                texts.append("".join([*kept, text[at:]]) if kept else text)
                 words.append(len(w))
-                removed.append(len(w) - len(left))
+                removed.append(int(gone.sum()))
             columns = [pa.array(texts, b[c].type) if c == text_col else b[c] for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_words", "n_removed"])
 

@@ -83,3 +83,13 @@ def test_keys_do_not_depend_on_partitioning(spark):
     assert [r[0] for r in a] == list(range(60))
     ids = [r[1] for r in a if r[1] is not None]
     assert ids == sorted(ids) and all(r[1] is None for r in a[: 60 - len(ids)])
+
+
+def test_blanks_outside_of_passages_stay(spark):
+    passage, again = text(1, 25), text(1, 25).replace(" ", "\n\t")
+    clean = "  two  blanks\n\n\tindented line\r\n" + text(2).replace(" ", "\n") + " \n"
+    rows = [(1, clean), (2, f"\tx\n{passage}  y\n"), (3, f"p\n\n  q \n{again}\n\n\tr  s\n"), (4, f"{passage}\n t {passage}"), (5, passage), (6, " \n"), (7, None)]
+    docs = frame(spark, rows).withColumn("n_chars", F.when(F.col("doc_id") == 1, 7).otherwise(F.col("n_chars")).cast("long"))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    want = {1: (clean, 7), 2: (rows[1][1], len(rows[1][1])), 3: ("p\n\n  q \n\n\n\tr  s\n", 16), 4: ("\n t ", 4), 6: (" \n", 2), 7: (None, 0)}
+    assert got == want
