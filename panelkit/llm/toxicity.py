@@ -160,14 +160,13 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n: int, pri
     return w[:n], float(w[n])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_positive: int = 4000, most_unlabelled: int = 30_000, most_features: int = 4000, most_screened: int = 8000, least_lift: float = 2.5, least_evidence: float = 28.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, most_positive: int = 4000, most_unlabelled: int = 30_000, most_features: int = 4000, least_lift: float = 2.5, least_evidence: float = 28.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 0) -> Model:
     """Fit on hashed samples of about ``most_positive`` toxic and ``most_unlabelled`` of all documents.
 
     ``labels`` holds the labels that may be learned from; its null labels and ids count as none. Documents of
     several labels are toxic if one is. Without a toxic document with a text the model knows only the prior.
-    Features that a sample of about ``most_screened`` documents shows to be nowhere near ``least_lift`` are left
-    out first. Those that stay are counted in all documents, and no text is shuffled. A feature counts if it is
-    ``least_lift`` times commoner in toxic documents than in all, and its count there has a
+    Every feature of two and one in two hundred positives at least is counted in all documents, and no text is
+    shuffled. A feature counts if it is ``least_lift`` times commoner in toxic documents than in all, and its count there has a
     log-likelihood ratio of ``least_evidence`` against chance, as thousands of features are tried.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -193,12 +192,6 @@ def train(docs: DataFrame, labels: DataFrame, *, most_positive: int = 4000, most
     if not names:
         return Model(prior)
     n_unlabelled = texts.count()
-    screen = cut(texts.where(sampled("id", most_screened, n_unlabelled)))
-    p, u = np.array([in_positive[x] for x in names]), _document_frequencies(screen, {x: i for i, x in enumerate(names)})
-    # Half the lift leaves room for chance in the sample.
-    names = [names[i] for i in np.flatnonzero(p * (screen.count() + 1) >= least_lift / 2 * n_positive * (u + 1))]
-    if not names:
-        return Model(prior)
     p, u = np.array([in_positive[x] for x in names]), _document_frequencies(texts, {x: i for i, x in enumerate(names)})
     expected = n_positive * (u + 1) / (n_unlabelled + 1)
     lift = p / expected
