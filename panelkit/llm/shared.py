@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +17,41 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_scratch: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as in local tests, a
-    temporary folder of this machine takes its place.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset and Spark runs on this machine
+    alone, as in local tests, a temporary folder of it takes its place; elsewhere an unset one is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = _scratch[-1] if _scratch else spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is cut inside lies in one folder, which goes at the end: nothing lazy that reads it may come out."""
+    folder = shared_dir(spark)
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.remove(folder)
+        delete(spark, folder)
+
+
 def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a reader of it.
 
@@ -43,17 +70,43 @@ def drop(df: DataFrame) -> None:
     """Delete the files behind a frame that ``cut`` returned; call it once nothing reads them."""
     spark = df.sparkSession
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, name)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fits_broadcast(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows, found without counting further."""
-    return df.limit(rows + 1).count() <= rows
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):  # noqa: ANN201
+    """What ``make`` made under ``key`` in an earlier task of this Python worker, or makes now.
+
+    A worker keeps one such object: that of another operator goes when an operator asks for its own.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of text: Spark bounds a batch in rows, not in the length of texts."""
+    for b in batches:
+        for at, n in cuts(b[column], most):
+            yield b.slice(at, n)
+
+
+def cuts(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """(first, number) of neighbouring texts of about ``most`` bytes together, and of one text at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, at = [], 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, (int(size[at - 1]) if at else 0) + most, "right")))
+        out.append((at, end - at))
+        at = end
+    return out
 
 
 def text_or_empty(column: str = "text") -> Column:

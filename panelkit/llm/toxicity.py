@@ -10,22 +10,25 @@ samples, and then scores every whole text where it lies.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.shared import cut
+from panelkit.llm.minhash import mix
+from panelkit.llm.shared import cut, cuts, kept, text_slices
 
-_WORD = re.compile(r"[^\W\d_]+")
 _GRAMS = (4, 5, 6)
+_SLICE = 2 << 20
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
 
 #: A document of this score or more is predicted toxic, wherever the model is used.
 THRESHOLD = 0.3
@@ -40,34 +43,103 @@ def grams(word: str) -> set[str]:
     return out
 
 
-class Features:
-    """Ids of the known features in a text; remembers each word's up to a bound."""
-
-    def __init__(self, index: dict[str, int], most: int = 400_000):
-        self.index, self.most = index, most
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, text: str | None) -> set[int]:
-        if not text:
-            return set()
-        known, index = self.known, self.index
-        if len(known) > self.most:
-            known.clear()
-        words = set(_WORD.findall(text.lower()))
-        for w in words.difference(known):
-            known[w] = tuple(index[g] for g in grams(w) if g in index)
-        return set().union(*map(known.__getitem__, words))
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text, code, words): for each lower-case run of letters of each text its text and its place in ``words``.
 
-
-_latest: dict[str, Features] = {}
+    The empty word stands where a text begins or ends with something else; null texts have it alone.
+    """
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"[^\pL]+")
+    coded = pc.list_flatten(lists).dictionary_encode()
+    return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
-def remembered(key: str, index: dict[str, int]) -> Features:
-    """The features of ``index``, named ``key``, with what this Python worker learned in earlier tasks."""
-    if key not in _latest:
-        _latest.clear()
-        _latest[key] = Features(index)
-    return _latest[key]
+class Features:
+    """Ids of the known features in texts, found by 64-bit hashes of all their words' n-grams at once."""
+
+    def __init__(self, index: dict[str, int]):
+        names = list(index)
+        keys = self._hashes(*self._flat(pa.array(names, pa.large_string()), ""), None) if names else np.empty(0, np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], np.array(list(index.values()), np.int32)[order]
+        # Where the keys of each 20 upper bits begin.
+        self.begin = np.searchsorted(self.keys >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def _found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``h``, id) for the hashes that are keys, by place."""
+        upper = (h >> np.uint64(44)).astype(np.int32)
+        at, end = self.begin[upper], self.begin[upper + 1]
+        left = np.flatnonzero(at < end)
+        at, end, ids = at[left], end[left], np.full(len(h), -1, np.int32)
+        while len(left):
+            equal = self.keys[at] == h[left]
+            ids[left[equal]] = self.ids[at[equal]]
+            at += 1
+            go = ~equal & (at < end)
+            left, at, end = left[go], at[go], end[go]
+        place = np.flatnonzero(ids >= 0)
+        return place, ids[place]
+
+    @staticmethod
+    def _flat(words: pa.Array, mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of all words, each between the two characters of ``mark`` if there are such, and where each begins."""
+        left, right, none = (pa.scalar(x, words.type) for x in (mark[:1], mark[1:], ""))
+        marked = pc.binary_join_element_wise(left, words, right, none)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(marked)], pa.int32()), marked), none)[0].as_py() or ""
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + len(mark)
+        return points, np.concatenate([[0], np.cumsum(size)])
+
+    @staticmethod
+    def _hashes(points: np.ndarray, first: np.ndarray, n: int | None) -> np.ndarray:
+        """Of each word, or of the ``n`` characters from each place on: differences of one running sum of powers."""
+        power = np.full(len(points) + 1, np.uint64(_STEP))
+        power[0] = 1
+        power = np.cumprod(power)[:-1]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points + np.uint64(1)) * power)])
+        back = np.full(len(points) + 1, np.uint64(_BACK))
+        back[0] = 1
+        back = np.cumprod(back)
+        if n is None:
+            return mix((total[first[1:]] - total[first[:-1]]) * back[first[:-1]])
+        return mix((total[n:] - total[:-n]) * back[: len(points) - n + 1])
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): the features of each word, one word after the other."""
+        points, first = self._flat(words, "<>")
+        size = np.diff(first)
+        of = np.repeat(np.arange(len(size)), size)
+        left = np.repeat(first[1:], size) - np.arange(len(points))  # characters from here to the word's end
+        kinds = []
+        for n in (None, *_GRAMS):
+            if n is None:  # words that are as long as an n-gram are found as one
+                at = np.flatnonzero(~np.isin(size, _GRAMS))
+                word, h = at, self._hashes(points, first, None)[at]
+            elif len(points) < n:
+                continue
+            else:
+                at = np.flatnonzero(left[: len(points) - n + 1] >= n)
+                word, h = of[at], self._hashes(points, first, n)[at]
+            place, ids = self._found(h)
+            kinds.append((word[place], ids))
+        sizes = [np.bincount(w, minlength=len(size)) for w, _ in kinds]
+        ends = np.cumsum(sum(sizes, np.zeros(len(size), np.int64)))
+        first = np.concatenate([[0], ends])
+        out, at = np.empty(first[-1], np.int32), first[:-1].copy()
+        for (w, ids), n in zip(kinds, sizes, strict=True):
+            out[at[w] + np.arange(len(w)) - (np.cumsum(n) - n)[w]] = ids
+            at += n
+        return out, first
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(bounds, features): those of text i stand from bounds[i] to bounds[i + 1]; some come more than once."""
+        text, code, words = words_of(texts)
+        ids, first = self.of_words(words)
+        n = np.diff(first)[code]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        bounds = ends[np.searchsorted(text, np.arange(len(texts) + 1))]
+        some = n > 0
+        n, start = n[some], first[code[some]]
+        return bounds, ids[np.repeat((start - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(bounds[-1], dtype=np.int32)]
 
 
 @dataclass
@@ -90,29 +162,36 @@ def _document_frequencies(texts: DataFrame, index: dict[str, int]) -> np.ndarray
     """In how many of ``texts`` each feature occurs; tasks send one row a feature that they met."""
     key = uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, n = remembered(key, index), np.zeros(len(index), np.int64)
-        for b in batches:
-            for t in b["text"]:
-                ids = of(t)
-                if ids:
-                    n[list(ids)] += 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, n = kept((key,), lambda: Features(index)), np.zeros(len(index), np.int64)
+        for b in text_slices(batches, most=_SLICE):
+            bounds, feature = of(b["text"])
+            for x, y in pairwise(bounds.tolist()):
+                n[feature[x:y]] += 1  # by one, however often a feature stands there
         met = np.flatnonzero(n)
-        yield pd.DataFrame({"feature": met, "n": n[met]})
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met])], ["feature", "n"])
 
     out = np.zeros(len(index), np.int64)
-    for r in texts.select("text").mapInPandas(run, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect():  # as many as features
+    for r in texts.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect():  # as many as features
         out[r[0]] = r[1]
     return out
 
 
+def _distinct(bounds: np.ndarray, feature: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) once each, in order; text i's stand between its bounds and are below ``n``."""
+    pair = np.unique(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * max(n, 1) + feature)
+    return pair // max(n, 1), pair % max(n, 1)
+
+
 def _rows(texts: DataFrame, index: dict[str, int]) -> list[list[int]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features(index)
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "x": [sorted(of(t)) for t in b["text"]]})
+        for b in text_slices(batches, most=_SLICE):
+            text, feature = _distinct(*of(b["text"]), len(index))
+            ends = np.searchsorted(text, np.arange(b.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([b["id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))], ["id", "x"])
 
-    rows = texts.select("id", "text").mapInPandas(run, "id long, x array<int>").collect()
+    rows = texts.select("id", "text").mapInArrow(run, "id long, x array<int>").collect()
     return [r["x"] for r in sorted(rows, key=lambda r: (r["id"] is not None, r["id"] or 0, r["x"]))]
 
 
@@ -178,9 +257,11 @@ def train(docs: DataFrame, labels: DataFrame, *, most_positive: int = 4000, most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter[str] = Counter()
-        for b in batches:
-            for t in b["text"].to_pylist():
-                c.update(set().union(*(grams(w) for w in set(_WORD.findall(t.lower())))))
+        for b in text_slices(batches):
+            text, code, words = words_of(b["text"])
+            of, bounds = [grams(w) if w else set() for w in words.to_pylist()], np.searchsorted(text, np.arange(b.num_rows + 1))
+            for x, y in pairwise(bounds.tolist()):
+                c.update(set().union(*[of[k] for k in set(code[x:y].tolist())]))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["feature", "n"])
 
     n_positive = positive.count()
@@ -212,11 +293,14 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", name: str = "s
     """
     key, index, weights, bias = uuid.uuid4().hex, model.index, model.weights, model.bias if model.index else float(np.log(model.prior / (1 - model.prior)))
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        features = remembered(key, index)
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        features = kept((key,), lambda: Features(index))
         for texts in batches:
-            z = np.fromiter((sum(weights[i] for i in sorted(features(t))) + bias for t in texts), float, len(texts))
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+            z = np.full(len(texts), bias)
+            for at, n in cuts(texts, _SLICE):
+                text, feature = _distinct(*features(texts.slice(at, n)), len(index))
+                z[at : at + n] += np.bincount(text, weights[feature], n)
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
     return df.withColumn(name, of(F.col(text_col)))
