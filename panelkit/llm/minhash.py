@@ -25,11 +25,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.shared import components, cut
+from panelkit.llm.shared import components, cut, kept, text_slices
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 
@@ -146,56 +146,57 @@ def may_link(bins: int, percent: int) -> Column:
 def sketches(df: DataFrame, words: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, set_key, bands, bits): set_key identifies the set by 128 bits, bands are its bucket keys, bits its sketches; null for an empty set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes = WordHashes()
-        for b in batches:
-            sets = [shingle_set(t, hashes, words) for t in b["text"]]
-            sigs = [signature(s, bands * rows) if len(s) else None for s in sets]
-            yield pd.DataFrame(
-                {
-                    "id": b["id"],
-                    "n_shingles": [len(s) for s in sets],
-                    "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    "bands": [None if x is None else band_keys(x, bands, rows) for x in sigs],
-                    "bits": [None if x is None else np.concatenate([bits(x), parity(s)]) for x, s in zip(sigs, sets, strict=True)],
-                }
-            )
+        hashes = kept(("words",), WordHashes)
+        for b in text_slices(batches):
+            rows = []
+            for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                s = shingle_set(t, hashes, words)
+                if len(s):
+                    sig = signature(s, bands * rows_)
+                    rows.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(sig, bands, rows_), np.concatenate([bits(sig), parity(s)])))
+                else:
+                    rows.append((i, 0, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SKETCH, strict=True)], _SKETCH_NAMES)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
+    rows_ = rows
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+_SKETCH_NAMES = ["id", "n_shingles", "set_key", "bands", "bits"]
+_SKETCH = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, group: int = 64) -> DataFrame:
     """The (x, y) of ``pairs`` whose full sets have 100 * intersection >= percent * union, as (src, dst).
 
-    Only the texts in some pair are shuffled: as text they take half the room of their sets. The sets of
-    a task's latest documents are remembered, as a star's rows come together and share their centre.
+    Only the texts in some pair are shuffled: as text they take half the room of their sets. The pairs of a y
+    are dealt into groups of about ``group``, whatever their number; y's text goes once to each group and stands
+    before the group's others, so a task reads rows of one text and holds one set.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        latest: dict[int, np.ndarray] = {}
-
-        def of(i: int, text: str) -> np.ndarray:
-            if i not in latest:
-                if len(latest) >= 64:
-                    latest.pop(next(iter(latest)))
-                latest[i] = shingle_set(text, hashes, words)
-            return latest[i]
-
-        for b in batches:
-            ok = np.zeros(len(b), bool)
-            for i, (x, y, x_text, y_text) in enumerate(zip(b["x"], b["y"], b["x_text"], b["y_text"], strict=True)):
-                s, t = shingle_set(x_text, hashes, words), of(y, y_text)
-                both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
-                ok[i] = 100 * both >= percent * (len(s) + len(t) - both)
-            yield b.loc[ok, ["x", "y"]].rename(columns={"x": "src", "y": "dst"})
-
-    x = texts.select(F.col("id").alias("x"), F.col("text").alias("x_text"))
-    y = texts.select(F.col("id").alias("y"), F.col("text").alias("y_text"))
-    x, y = x.join(pairs.select("x").distinct(), "x", "left_semi"), y.join(pairs.select("y").distinct(), "y", "left_semi")
-    return pairs.join(x, "x").join(y, "y").mapInPandas(run, "src long, dst long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, centre = kept(("words",), WordHashes), np.empty(0, np.uint64)
+        for b in text_slices(batches):
+            found: list[tuple[int, int]] = []
+            for x, y, text in zip(b["x"].to_pylist(), b["y"].to_pylist(), b["text"].to_pylist(), strict=True):
+                s = shingle_set(text, hashes, words)
+                if x is None:
+                    centre = s
+                    continue
+                both = len(s) + len(centre) - len(np.unique(np.concatenate([s, centre])))
+                if 100 * both >= percent * (len(s) + len(centre) - both):
+                    found.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["src", "dst"])
+
+    groups = pairs.groupBy("y").agg(F.ceil(F.count("*") / group).cast("long").alias("groups"))
+    of = F.pmod(F.xxhash64("x"), F.col("groups"))
+    x = texts.select(F.col("id").alias("x"), "text").join(pairs.join(groups, "y").select("x", "y", of.alias("g")), "x").select("x", "y", "g", "text")
+    y = texts.select(F.col("id").alias("y"), "text").join(groups, "y")
+    y = y.select(F.lit(None).cast("long").alias("x"), "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"), "text")
+    return x.union(y).repartition("y", "g").sortWithinPartitions("y", "g", F.asc_nulls_first("x")).mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
