@@ -23,7 +23,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from panelkit.llm.minhash import mix
-from panelkit.llm.shared import WORD, cut, partitions
+from panelkit.llm.shared import WORD, cut, kept, partitions, text_slices
 
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 _MARKS = "id long, start long, stop long"
@@ -54,6 +53,7 @@ class Block:
         coded = words.dictionary_encode()
         self.code = coded.indices.to_numpy(zero_copy_only=False)
         self.words = coded.dictionary.cast(pa.large_binary())
+        self.bytes = int(pc.sum(pc.binary_length(words)).as_py() or 0)
         own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words.to_pylist()), np.uint64, len(self.words))
         self.hash = own[self.code] if len(own) else np.empty(0, np.uint64)
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))  # of each document's words
@@ -128,13 +128,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.n
 
 
 def minimiser_counts(docs: DataFrame, window: int, run: int, block_bytes: int) -> DataFrame:
-    """(minimiser, n): how many super-k-mers have it; those met once in a block are left out of its count."""
+    """(minimiser, n): how many super-k-mers have it; those met once in a block are left out of its count.
+
+    A null minimiser's n is the bytes of all super-k-mers.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("none",), dict)
         for _, b in _blocks(batches, block_bytes):
-            value, n = np.unique(super_kmers(b, window, run)[0], return_counts=True)
+            minimisers, _, windows = super_kmers(b, window, run)
+            value, n = np.unique(minimisers, return_counts=True)
             some = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(value[some].view(np.int64)), pa.array(n[some])], ["minimiser", "n"])
+            a_word = b.bytes / max(1, len(b.doc)) + 1
+            size = int(a_word * (windows.sum() + (window - 1) * len(windows)))
+            yield pa.RecordBatch.from_arrays([pa.array([None, *value[some].view(np.int64).tolist()], pa.int64()), pa.array([size, *n[some].tolist()], pa.int64())], ["minimiser", "n"])
 
     return docs.mapInArrow(count, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
 
@@ -150,6 +157,7 @@ def _pack(docs: DataFrame, hot: np.ndarray, buckets: int, window: int, run: int,
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        kept(("none",), dict)
         press = zstandard.ZstdCompressor(level=1)
         for ids, b in _blocks(batches, block_bytes):
             value, at, n = super_kmers(b, window, run)
@@ -270,7 +278,7 @@ def _repeated(payloads: list[bytes], window: int) -> tuple[np.ndarray, np.ndarra
     return _joined(d[marked], s[marked], s[marked] + window)
 
 
-def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, run: int = 4, block_bytes: int = 8 << 20, buckets_per_partition: int = 8, hot_rows: int = 1000) -> DataFrame:
+def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, run: int = 4, block_bytes: int = 3 << 20, buckets_per_partition: int = 8, bucket_bytes: int = 8 << 20, hot_rows: int = 1000) -> DataFrame:
     """(id, start, stop): spans of words [start, stop) covered by windows whose words also start earlier.
 
     Earlier means a smaller id, or the same document and an earlier start. Spans of one document may
@@ -279,14 +287,17 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    buckets = buckets_per_partition * partitions(spark)
     counts = cut(minimiser_counts(docs, window, run, block_bytes))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, size = counts.agg(F.sum(F.when(F.col("minimiser").isNotNull(), F.col("n"))), F.sum(F.when(F.col("minimiser").isNull(), F.col("n")))).first()
+    total = total or 0
+    # A bucket is held in memory: there are as many as keep it at about ``bucket_bytes``.
+    buckets = max(buckets_per_partition * partitions(spark), -(-(size or 0) // bucket_bytes))
     # At most 8 * buckets values can exceed this share of the total: a bound on what is collected.
     least = max(hot_rows, total // (8 * buckets))
-    hot = np.array([r[0] for r in counts.where(F.col("n") > least).select("minimiser").collect()], np.int64)
+    hot = np.array([r[0] for r in counts.where(F.col("minimiser").isNotNull() & (F.col("n") > least)).select("minimiser").collect()], np.int64)
 
     def in_bucket(t: pa.Table) -> pa.Table:
+        kept(("none",), dict)
         marked = t.filter(pc.is_null(t["payload"])).select(["id", "start", "stop"])
         payloads = t["payload"].drop_null().to_pylist()
         if not payloads:
@@ -311,25 +322,28 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     docs = docs.join(spans, F.col("doc") == spans["id"], "left").select("doc", "text", "spans.start", "spans.stop")
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches):
             texts, words, removed = [], [], []
-            for text, start, stop in zip(b["text"], b["start"], b["stop"], strict=True):
+            for text, start, stop in zip(b["text"].to_pylist(), b["start"].to_pylist(), b["stop"].to_pylist(), strict=True):
                 w = [x for x in _split(text) if x] if text else []
-                gone = np.zeros(len(w) + 1, np.int64)
-                if start is not None and len(w):
-                    np.add.at(gone, np.minimum(start, len(w)), 1)
-                    np.subtract.at(gone, np.minimum(stop, len(w)), 1)
-                    gone = np.cumsum(gone)
-                    w_kept = [x for x, g in zip(w, gone.tolist(), strict=False) if not g]
-                else:
-                    w_kept = w
+                gone = _covered(start, stop, len(w)).tolist()
+                w_kept = [x for x, g in zip(w, gone, strict=True) if not g]
                 texts.append(None if text is None else " ".join(w_kept))
                 words.append(len(w))
                 removed.append(len(w) - len(w_kept))
-            yield pd.DataFrame({"id": b["doc"], "text": pd.Series(texts, dtype=object), "n_words": words, "n_removed": removed})
+            yield pa.RecordBatch.from_arrays([b["doc"], pa.array(texts, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())], ["id", "text", "n_words", "n_removed"])
+
+    return docs.mapInArrow(keep, "id long, text string, n_words long, n_removed long")
+
 
-    return docs.mapInPandas(keep, "id long, text string, n_words long, n_removed long")
+def _covered(start: list[int] | None, stop: list[int] | None, n: int) -> np.ndarray:
+    """Whether some span [start, stop) covers each of ``n`` words."""
+    gone = np.zeros(n + 1, np.int64)
+    if start:
+        np.add.at(gone, np.minimum(start, n), 1)
+        np.subtract.at(gone, np.minimum(stop, n), 1)
+    return np.cumsum(gone)[:n] > 0
 
 
 def without(df: DataFrame, spans: DataFrame, *, id_col: str, text_col: str = "text") -> DataFrame:
@@ -344,15 +358,11 @@ def without(df: DataFrame, spans: DataFrame, *, id_col: str, text_col: str = "te
     rows = df.join(spans, F.col(id_col) == F.col("__of"), "left").select(*names, F.col("__spans.start").alias("__start"), F.col("__spans.stop").alias("__stop"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, text_col):
             texts, words, removed = [], [], []
             for text, start, stop in zip(b[text_col].to_pylist(), b["__start"].to_pylist(), b["__stop"].to_pylist(), strict=True):
                 w = [m.span() for m in _WORD.finditer(text)] if text else []
-                gone = np.zeros(len(w) + 1, np.int64)
-                if start:
-                    np.add.at(gone, np.minimum(start, len(w)), 1)
-                    np.subtract.at(gone, np.minimum(stop, len(w)), 1)
-                gone = np.cumsum(gone)[: len(w)] > 0
+                gone = _covered(start, stop, len(w))
                 # Where runs of words that go begin and end.
                 edge = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
                 kept, at = [], 0
