@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelkit.llm import minhash, mixing, packing, substring, toxicity
 from panelkit.llm.queries import tokenizer_path
-from panelkit.llm.shared import cut, partitions, shared_dir
+from panelkit.llm.shared import cut, partitions, scratch, shared_dir
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -105,6 +105,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         path = shared_dir(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
