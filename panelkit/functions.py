@@ -122,19 +122,24 @@ def unescape(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else html.unescape(t)).astype(object)
 
 
+def folded(x: Column) -> Column:
+    """Unicode NFKC; only texts with characters beyond ASCII go through Python."""
+    return F.coalesce(nfkc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
+
+
 def squeeze(x: Column) -> Column:
     """Trimmed, with each run of blanks as one space."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
 def identity_key(x: Column) -> Column:
-    """Lower-case word characters only: what two spellings of a name share."""
-    return F.lower(F.regexp_replace(x, r"(?U)[^\w]", ""))
+    """Lower-case word characters of the NFKC form only: what two spellings of a name share."""
+    return F.lower(F.regexp_replace(folded(x), r"(?U)[^\w]", ""))
 
 
 def vector_text(x: Column) -> Column:
-    """Lower-case CJK and ASCII letters and digits only."""
-    return F.regexp_replace(F.lower(x), r"[^一-鿿a-z0-9]", "")
+    """Lower-case CJK and ASCII letters and digits of the NFKC form only."""
+    return F.regexp_replace(F.lower(folded(x)), r"[^一-鿿a-z0-9]", "")
 
 
 def lines(x: Column, dropped_prefixes: tuple[str, ...] = ()) -> Column:
@@ -167,9 +172,10 @@ def occurrences(x: Column, term: Column | str) -> Column:
 
 
 def split_names(x: Column, delimiter: str = "→") -> Column:
-    """Trimmed parts in order, each once by its identity key."""
+    """Trimmed parts in order, each once by its identity key; ``x`` is in NFKC form, as of ``folded``."""
     parts = F.filter(F.transform(F.split(x, delimiter), F.trim), lambda t: t != "")
-    return F.filter(parts, lambda t, i: F.array_position(F.transform(parts, identity_key), identity_key(t)) == i + 1)
+    keys = F.transform(parts, lambda t: F.lower(F.regexp_replace(t, r"(?U)[^\w]", "")))
+    return F.transform(F.filter(F.arrays_zip(parts.alias("t"), keys.alias("k")), lambda p, i: F.array_position(keys, p["k"]) == i + 1), lambda p: p["t"])
 
 
 def excerpt(x: Column, terms: list[str], radius: int = 40) -> Column:

@@ -65,16 +65,10 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
 
     def ranks(c: str) -> DataFrame:
-        from panelkit.operators.panel import row_numbers
+        from panelkit.operators.panel import cumulated
 
         n = both.groupBy(c).agg(F.count("*").alias("n"))
-        ordered = row_numbers(n, [c], "i")
-        parts = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        block = ordered.withColumn("block", F.floor((F.col("i") - 1) / 4096))
-        # Running counts in blocks of 4096 values, and over the blocks' sums.
-        sums = block.groupBy("block").agg(F.sum("n").alias("s")).select("block", F.coalesce(F.sum("s").over(parts), F.lit(0)).alias("before"))
-        inside = F.sum("n").over(Window.partitionBy("block").orderBy("i"))
-        return block.withColumn("upto", inside).join(F.broadcast(sums), "block").select(c, (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
+        return cumulated(n, [c], "n", "upto").select(c, (F.col("upto") - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
 
     return both.join(ranks("a"), "a").join(ranks("b"), "b").agg(F.corr("rank_a", "rank_b").alias("rho"), F.count("*").alias("n"))
 

@@ -80,7 +80,7 @@ def name_universe(profiles: DataFrame, entity: str, current: str, former: str, r
     review knows are added. An unreviewed former name is unresolved and no query is made of it.
     """
     cur = profiles.select(entity, F.col(current).alias("name"), F.lit("current").alias("field"))
-    old = profiles.select(entity, F.explode(fn.split_names(F.coalesce(F.col(former), F.lit("")))).alias("name"), F.lit("former").alias("field"))
+    old = profiles.select(entity, fn.folded(F.coalesce(F.col(former), F.lit(""))).alias("__f")).select(entity, F.explode(fn.split_names(F.col("__f"))).alias("name"), F.lit("former").alias("field"))
     names = cur.union(old).where("name is not null").withColumn("name_key", fn.identity_key(F.col("name")))
     rank = F.when(F.col("field") == "current", 0).otherwise(1)
     names = names.groupBy(entity, "name_key").agg(F.min(F.struct(rank.alias("r"), "name", "field")).alias("b")).select(entity, "name_key", "b.name", "b.field")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.contracts import ContractError, assert_none, assert_subset, assert_unique, exact_fingerprint, fingerprint, key_differences, require_columns
+from panelkit.sources import written
 
 # -- joins -----------------------------------------------------------------------------------------
 
@@ -297,20 +298,26 @@ def discontinuities(df: DataFrame, entity: str, period: str, value: Column) -> D
     return out.withColumn("changed_from_previous", later).withColumn("changed_at_all", later | earlier).drop("__v")
 
 
-def row_numbers(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
-    """Numbers from 1 in a global order without one task holding all rows.
+def cumulated(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to each in a global order, without one task holding all rows.
 
-    A range-partitioned sort, counts a partition, and the numbers inside each plus the counts before.
+    A range partitioning is written once, so that the sums of its partitions belong to the same partitions as the
+    running sums inside them; two plans of it would each draw boundaries of their own.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
-    counts = p.groupBy("__p").agg(F.count("*").alias("__c"))
+    p = written(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()))
+    sums = p.groupBy("__p").agg(F.sum(value).alias("__c"))
     # One row a partition.
-    before = counts.select("__p", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    before = sums.select("__p", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    own = F.sum(value).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return p.withColumn("__o", own).join(F.broadcast(before), "__p").withColumn(name, F.col("__o") + F.col("__b")).drop("__p", "__o", "__b")
 
 
+def row_numbers(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+    """Numbers from 1 in a global order; rows that are equal in it are numbered in any order."""
+    return cumulated(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", name).drop("__one")
+
+
 def chunks(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """``df`` with chunk_id and chunk_position, both from 1, in a global order."""
     n = F.col("__n") - 1

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit import functions as fn
+from panelkit.sources import written
 
 # -- cleaning --------------------------------------------------------------------------------------
 
@@ -160,11 +161,11 @@ def document_review(text: Column, title: Column, year: Column, place: Column, ph
 # -- n-grams and vectors ---------------------------------------------------------------------------
 
 
-def ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
-    """All character n-grams of a text, repeats included."""
+def ngrams(chars: Column, low: int = 2, high: int = 4) -> Column:
+    """All n-grams of an array of characters, repeats included; linear in its length."""
     def of(n: int) -> Column:
-        count = F.length(text) - n + 1
-        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        count = F.size(chars) - n + 1
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
     return F.concat(*[of(n) for n in range(low, high + 1)])
 
@@ -172,7 +173,9 @@ def ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
 def term_counts(df: DataFrame, doc: list[str], text_col: str, low: int = 2, high: int = 4) -> DataFrame:
     """(doc, term, c): n-gram counts of each document's normalised text; combined in tasks before the shuffle."""
     t = fn.vector_text(F.coalesce(F.col(text_col), F.lit("")))
-    return df.select(*doc, t.alias("__t")).select(*doc, F.explode(ngrams(F.col("__t"), low, high)).alias("term")).groupBy(*doc, "term").agg(F.count("*").alias("c"))
+    # The characters that are left are single UTF-16 units.
+    chars = df.select(*doc, t.alias("__t")).select(*doc, F.split("__t", "").alias("__c")).select(*doc, F.filter("__c", lambda c: c != "").alias("__c"))
+    return chars.select(*doc, F.explode(ngrams(F.col("__c"), low, high)).alias("term")).groupBy(*doc, "term").agg(F.count("*").alias("c"))
 
 
 def tfidf(df: DataFrame, doc: list[str], text_col: str, low: int = 2, high: int = 4, min_df: int = 2) -> DataFrame:
@@ -181,7 +184,7 @@ def tfidf(df: DataFrame, doc: list[str], text_col: str, low: int = 2, high: int
     N counts all documents, empty ones too. Rare terms are dropped before the join back, which makes it
     much smaller; Spark splits the join where a term is hot.
     """
-    counts = term_counts(df, doc, text_col, low, high)
+    counts = written(term_counts(df, doc, text_col, low, high))
     n = df.select(*doc).distinct().agg(F.count("*").alias("n"))
     dfs = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     w = counts.join(dfs, "term").join(F.broadcast(n))  # one row
@@ -202,44 +205,49 @@ def continuity(df: DataFrame, entity: str, period: str, text_col: str, name: str
     Null in a first period, without exactly one earlier document, and where either has no term of the
     vocabulary; documents without a shared term have 0.
     """
-    vectors = tfidf(df, [entity, period], text_col, low, high, min_df)
+    vectors = written(tfidf(df, [entity, period], text_col, low, high, min_df))
     return _scored(df, vectors, pair_cosine(vectors, entity, period, name), entity, period, name)
 
 
 def _scored(df: DataFrame, vectors: DataFrame, cosines: DataFrame, entity: str, period: str, name: str) -> DataFrame:
     has = vectors.select(entity, period).distinct()
     both = has.join(has.withColumn(period, F.col(period) + 1), [entity, period])
-    scored = both.join(cosines, [entity, period], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
-    single = df.groupBy(entity, period).agg(F.count("*").alias("__n"))
-    return single.join(scored, [entity, period], "left").select(entity, period, F.when(F.col("__n") == 1, F.col(name)).alias(name))
+    return _singles(df, both.join(cosines, [entity, period], "left"), entity, period, name)
+
+
+def _singles(df: DataFrame, both: DataFrame, entity: str, period: str, name: str) -> DataFrame:
+    """(entity, period, name): ``both``'s values, 0 for null ones, where each of the two periods has exactly one document."""
+    n = df.groupBy(entity, period).agg(F.count("*").alias("__n"))
+    one = n.where("__n = 1").select(entity, period)
+    pairs = one.join(one.withColumn(period, F.col(period) + 1), [entity, period])
+    scored = both.join(pairs, [entity, period]).select(entity, period, F.coalesce(name, F.lit(0.0)).alias(name))
+    return n.join(scored, [entity, period], "left").select(entity, period, name)
 
 
 def expanding_continuity(df: DataFrame, entity: str, period: str, text_col: str, name: str = "continuity_expanding", low: int = 2, high: int = 4, min_df: int = 2) -> DataFrame:
     """As ``continuity``, with vocabulary, frequencies and N from documents up to the later period of a pair only.
 
-    Cumulative frequencies come from one window over (term, period) counts; each document is weighed as of
-    its own period and as of the next, no more.
+    Frequencies as of a period come from one window over (term, period) counts, which has a row for each period
+    in which a term is asked for: documents are weighed as of their own period and of the next, by an equi-join.
     """
-    counts = term_counts(df, [entity, period], text_col, low, high)
+    counts = written(term_counts(df, [entity, period], text_col, low, high))
     docs = df.select(entity, period).distinct()
     n_new = docs.groupBy(period).agg(F.count("*").alias("k"))
     n = n_new.select(F.col(period).alias("as_of"), F.sum("k").over(Window.orderBy(period)).alias("n"))  # one row a period
-    new = counts.groupBy("term", period).agg(F.count("*").alias("k"))
-    # A term's frequency as of any period, also ones without a new document.
-    periods = n.select("as_of")
-    spans = new.withColumn("df", F.sum("k").over(Window.partitionBy("term").orderBy(period))).withColumn("until", F.lead(period).over(Window.partitionBy("term").orderBy(period)))
-    wanted = counts.select(entity, period, "term", "c", F.explode(F.array(F.col(period), F.col(period) + 1)).alias("as_of")).join(F.broadcast(periods), "as_of")
-    known = spans.select("term", "df", F.col(period).alias("since"), "until")
-    hit = wanted.join(known, "term").where((F.col("since") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("until") > F.col("as_of")))).where(F.col("df") >= min_df)
-    w = hit.join(F.broadcast(n), "as_of").select(entity, period, "as_of", "term", ((1 + F.ln("c")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    wanted = counts.select(entity, period, "term", "c", F.explode(F.array(F.col(period), F.col(period) + 1)).alias("as_of")).join(F.broadcast(n), "as_of")
+    # A document's own period counts it, the next one only asks.
+    k = counts.select("term", F.col(period).alias("as_of"), F.lit(1).alias("k")).union(counts.select("term", F.col(period) + 1, F.lit(0)))
+    k = k.groupBy("term", "as_of").agg(F.sum("k").alias("k"))
+    known = k.select("term", "as_of", F.sum("k").over(Window.partitionBy("term").orderBy("as_of")).alias("df")).where(F.col("df") >= min_df)
+    w = wanted.join(known, ["term", "as_of"])
+    w = written(w.select(entity, period, "as_of", "term", ((1 + F.ln("c")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w")))
     norm = w.groupBy(entity, period, "as_of").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = w.join(norm, [entity, period, "as_of"]).select(entity, period, "as_of", "term", (F.col("w") / F.col("norm")).alias("w"))
     now = unit.where(F.col("as_of") == F.col(period)).drop("as_of")
     before = unit.where(F.col("as_of") == F.col(period) + 1).select(entity, F.col("as_of").alias(period), "term", F.col("w").alias("v"))
     cos = now.join(before, [entity, period, "term"]).groupBy(entity, period).agg(fn.clip01(F.sum(F.col("w") * F.col("v"))).alias(name))
     has = now.select(entity, period).distinct().join(before.select(entity, period).distinct(), [entity, period])
-    scored = has.join(cos, [entity, period], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
-    return docs.join(scored, [entity, period], "left")
+    return _singles(df, has.join(cos, [entity, period], "left"), entity, period, name)
 
 
 def theme_continuity(df: DataFrame, entity: str, period: str, text_col: str, themes: dict[str, list[str]], name: str = "continuity_theme") -> DataFrame:

@@ -15,8 +15,12 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def write_panel(df: DataFrame, path: str, period: str) -> None:
-    """Parquet, one folder a period, so that readers of few periods skip the others."""
-    df.repartition(period).write.partitionBy(period).parquet(path)
+    """Parquet, one folder a period, so that readers of few periods skip the others.
+
+    Rows are ranged by period and content: a large period is several tasks and files, not one.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(parts, F.col(period), F.xxhash64(*df.columns)).write.partitionBy(period).parquet(path)
 
 
 def read_strings(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -112,3 +116,24 @@ def freshness(df: DataFrame, date: str) -> DataFrame:
 def columns_of(df: DataFrame) -> DataFrame:
     """(name, type, nullable), one row a column."""
     return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields], "name string, type string, nullable boolean")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet and read again, so that what follows neither recomputes nor resamples it.
+
+    The folder is one that all executors share, named in spark.checkpoint.dir; only a local session without it
+    uses a temporary folder of this machine.
+    """
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
