@@ -14,40 +14,45 @@ Where no gap holds a waiting piece, new sequences open, as many as are sure to b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.llm.shared import cut, partitions
+from panelkit.llm.shared import cut, partitions, text_slices
 from panelkit.llm.tokens import encoder
 
 
-def pieces(df: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids, id_bytes): each document's ids with ``end_id`` after them, cut only where longer than ``capacity``.
+def pieces(df: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", fold: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids, id_bytes, folded): each document's ids with ``end_id`` after them, cut only where longer than ``capacity``.
 
-    ids are little-endian unsigned integers of id_bytes bytes, 2 where the vocabulary allows it and else 4.
-    All pieces but the first are then ``capacity`` long. Null and empty texts have the end id alone. Rows
-    that repeat a doc_id are documents of their own.
+    ids are little-endian unsigned integers of id_bytes bytes, 2 where the vocabulary allows it and else 4;
+    folded is what ``fold`` makes of a piece's ids, null without one. All pieces but the first are then
+    ``capacity`` long. Null and empty texts have the end id alone. Rows that repeat a doc_id are documents of their own.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(tokenizer)
         end = np.array([end_id], np.uint32)
         kind = np.dtype("<u2" if max(of.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        for b in batches:
+        for b in text_slices(batches):
             rows = []
-            for doc, ids in zip(b["id"], of(b["text"].tolist()), strict=True):
+            for doc, ids in zip(b["id"].to_pylist(), of(b["text"].to_pylist()), strict=True):
                 ids = np.append(ids, end)
                 first = len(ids) % capacity or capacity
                 starts = [0, *range(first, len(ids), capacity)]
-                rows += [(doc, k, s, e - s, ids[s:e].astype(kind).tobytes(), kind.itemsize) for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "id_bytes"])
+                for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+                    rows.append((doc, k, s, e - s, ids[s:e].astype(kind).tobytes(), kind.itemsize, fold(ids[s:e]) if fold else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECE, strict=True)], _PIECE_NAMES)
 
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return docs.mapInPandas(run, "doc_id long, piece int, start long, length long, ids binary, id_bytes int")
+    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, id_bytes int, folded long")
+
+
+_PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids", "id_bytes", "folded"]
+_PIECE = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
 
 
 def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -179,13 +184,15 @@ def _steps(plan: list[tuple], counts: dict[int, int], holes: dict[int, int], use
     return steps, {k: n for k, n in left.items() if n}, after
 
 
-def pack(df: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", fold: Callable[[np.ndarray], int] | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids, id_bytes, sequence_id, offset) for every piece of every row of ``df``.
 
     ids are the piece's token ids as little-endian unsigned integers of id_bytes bytes; offset is its place
-    in the sequence, without holes from 0. An empty table gives an empty frame; null texts hold their end id
-    alone; columns other than the two named are not read.
+    in the sequence, without holes from 0. With ``fold`` a column folded, what it makes of the ids, stands in
+    place of ids and id_bytes, which are then written with the pieces but not shuffled. An empty table gives an
+    empty frame; null texts hold their end id alone; columns other than the two named are not read.
     """
-    made = cut(pieces(df, tokenizer=tokenizer, end_id=end_id, capacity=capacity, id_col=id_col, text_col=text_col).withColumn("item", F.monotonically_increasing_id()))
+    made = pieces(df, tokenizer=tokenizer, end_id=end_id, capacity=capacity, id_col=id_col, text_col=text_col, fold=fold)
+    made = cut(made.withColumn("item", F.monotonically_increasing_id()))
     where = best_fit(made.select("item", "length"), capacity)
-    return made.join(where, "item").drop("item")
+    return made.drop("folded" if fold is None else "ids", *([] if fold is None else ["id_bytes"])).join(where, "item").drop("item")

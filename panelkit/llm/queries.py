@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,16 +38,15 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2).withColumnRenamed("id", "doc_id")
 
 
-def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(_table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
+def _crc32(ids: np.ndarray) -> int:
+    from zlib import crc32
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series, size: pd.Series) -> pd.Series:
-        from zlib import crc32
+    return crc32(ids.astype("<u4").tobytes())
 
-        return pd.Series([crc32(np.frombuffer(x, f"<u{n}").astype("<u4").tobytes()) for x, n in zip(ids, size, strict=True)], dtype="int64")
 
-    return packed.select("doc_id", "piece", "start", "length", crc("ids", "id_bytes").alias("ids_crc32"), "sequence_id", "offset")
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), fold=_crc32)
+    return packed.select("doc_id", "piece", "start", "length", F.col("folded").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +59,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.place(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = sharding.place(_table(spark, sf_dir, "documents").select("doc_id", "text", crc.alias("text_crc32")), carry=["doc_id", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +74,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     dac.write(_table(spark, sf_dir, "documents"), path, tokenizer=tokenizer_path(), end_id=2)
 
     def digest(doc: int | None, start: int, ids: np.ndarray) -> tuple:
-        from zlib import crc32
-
-        return doc, start, len(ids), crc32(ids.astype("<u4").tobytes())
+        return doc, start, len(ids), _crc32(ids)
 
     return dac.decoded(dac.read(spark.read.parquet(path)), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

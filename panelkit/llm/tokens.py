@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+
+from panelkit.llm.shared import kept
 
 #: Unicode's White_Space characters, which the tokenizer's own pattern calls blank. Fixed values.
 _BLANK = "\t-\r \x85\xa0  -     　"
@@ -25,9 +28,13 @@ _CHUNK = re.compile(f" ?[{_LETTER}]+(?![^{_BLANK}{_MARK}])|[{_MARK}]+(?![^{_BLAN
 
 
 class Encoder:
-    """Encodes batches of texts; keeps ids of up to ``most`` chunks between batches."""
+    """Encodes batches of texts; keeps ids of the first ``most`` chunks between batches.
+
+    Once they are full, other chunks are encoded where they occur. When those come to ``most`` in turn, the texts
+    have changed, and chunks are remembered anew.
+    """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -41,17 +48,24 @@ class Encoder:
         self.place: dict[str, int] = {}
         self.ids = np.empty(0, np.uint32)
         self.first = np.zeros(1, np.int64)
+        self.others = 0
 
-    def _learn(self, chunks: set[str]) -> None:
-        new = sorted(chunks)
+    def _with(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The remembered ids and where each chunk's begin, with those of ``new`` after them."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        n = len(self.place)
-        self.place.update(zip(new, range(n, n + len(new)), strict=True))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+        first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        if len(self.place) + len(new) <= self.most:
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.ids, self.first = ids, first
+        else:
+            self.others += len(new)
+            if self.others > self.most:
+                self._forget()
+        return ids, first
 
-    def __call__(self, texts: list[str | None], group_chars: int = 4 << 20) -> list[np.ndarray]:
+    def __call__(self, texts: list[str | None], group_chars: int = 2 << 20) -> list[np.ndarray]:
         """The ids of each text; null and empty texts have none."""
         out: list[np.ndarray] = []
         i = 0
@@ -76,21 +90,20 @@ class Encoder:
                 out[i] = np.array(e.ids, np.uint32)
             return out
         chunks = [_CHUNK.findall(t) if t else [] for t in texts]
-        flat = [c for x in chunks for c in x]
-        if len(self.place) > self.most:
-            self._forget()
-        new = set(flat).difference(self.place)
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        sizes = self.first[at + 1] - self.first[at]
+        coded = pa.array(list(chain.from_iterable(chunks)), pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        at = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.place) + np.arange(len(new))
+        all_ids, first = self._with([distinct[i] for i in new.tolist()]) if len(new) else (self.ids, self.first)
+        at = at[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = first[at + 1] - first[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(self.first[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        ids = all_ids[np.repeat(first[at] - ends[:-1], sizes) + np.arange(ends[-1])]
         cuts = ends[np.cumsum([0, *map(len, chunks)])]
         return [ids[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker, which Spark uses again for its next tasks."""
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))
