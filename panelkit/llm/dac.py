@@ -21,9 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkit.llm.shared import text_slices
 from panelkit.llm.tokens import encoder
 
 CHUNK = 8
@@ -105,10 +107,11 @@ def write(df: DataFrame, path: str, *, tokenizer: str, end_id: int, id_col: str
 
     The order is that of a range partitioning on the id: part is a partition's number and piece a segment's
     inside it. A document is never split; one longer than ``segment_ids`` has a segment of its own. Null and
-    empty texts have the end id alone. Null ids come first; rows that share an id are ordered by their texts.
+    empty texts have the end id alone. Null ids come first; rows that share an id are
+    ordered by a hash of their texts.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, piece = TaskContext.get().partitionId(), 0
@@ -117,29 +120,35 @@ def write(df: DataFrame, path: str, *, tokenizer: str, end_id: int, id_col: str
         held: list[np.ndarray] = []
         n = before = 0
 
-        def image() -> pd.DataFrame:
+        def image() -> pa.RecordBatch:
             ends = np.cumsum([len(x) for x in held])
-            return pd.DataFrame({"part": [part], "piece": [piece], "n_ids": [n], "before": [before], "n_docs": [len(held)], "doc_ids": [docs], "image": [encode(np.concatenate(held), ends)]})
+            row = {"part": part, "piece": piece, "n_ids": n, "before": before, "n_docs": len(held), "doc_ids": docs, "image": encode(np.concatenate(held), ends)}
+            return pa.RecordBatch.from_pylist([row], _SEGMENT)
 
         end = np.array([end_id], np.uint32)
-        for b in batches:
-            for doc, ids in zip(b["id"].tolist(), of(b["text"].tolist()), strict=True):
+        for b in text_slices(batches):
+            for doc, ids in zip(b["id"].to_pylist(), of(b["text"].to_pylist()), strict=True):
                 if held and n + len(ids) + 1 > segment_ids:
                     yield image()
                     docs, held, n, piece, before = [], [], 0, piece + 1, before + n
-                docs.append(None if pd.isna(doc) else int(doc))
+                docs.append(doc)
                 held.append(np.append(ids, end))
                 n += len(ids) + 1
         if held:
             yield image()
 
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "text").sortWithinPartitions("id", "text")
-    segments = rows.mapInPandas(run, "part int, piece int, n_ids long, before long, n_docs long, doc_ids array<long>, image binary")
+    order = ["id", "hash", "at"]
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("at"), F.col(text_col).alias("text"))
+    # Boundaries are sampled from three numbers a row, never from texts; the last divides equal rows.
+    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    segments = rows.select("id", "text").mapInArrow(run, "part int, piece int, n_ids long, before long, n_docs long, doc_ids array<long>, image binary")
     segments.write.option("compression", "none").parquet(path)
 
 
+_SEGMENT = pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("n_ids", pa.int64()), ("before", pa.int64()), ("n_docs", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("image", pa.binary())])
+
+
 def read(df: DataFrame) -> DataFrame:
     """The segments of ``df``, a reader of a written path, with ``start``: the ids in all segments before."""
     by_part = df.groupBy("part").agg(F.sum("n_ids").alias("n"))
