@@ -3,9 +3,9 @@
 A document's key is a 64-bit hash of its text, so that equal texts lie together. A size-weighted hashed sample
 of keys gives quantile boundaries of many small ranges, into which all documents are counted. A range that
 is overfull, by a bad draw or as its key alone is large, is divided again by boundaries sampled inside it:
-between its keys, or, where it holds one key, between hashes of the documents' ids. Consecutive ranges
-fill the shards to equal bytes. A document's place in its shard is its rank inside its range plus the counts
-of the shard's ranges before.
+between its keys, or, where it holds one key, between hashes of the documents' ids. Ranges of one key that
+fit a shard go to one shard; the other ranges, in the order of keys, fill what is left of the shards to equal
+bytes. A document's place in its shard is its rank inside its range plus the counts of the shard's ranges before.
 """
 
 from __future__ import annotations
@@ -78,30 +78,56 @@ def split(rows: DataFrame, parts: int, oversample: int = 16, rounds: int = 4) ->
     return bounds, counts
 
 
-def place(df: DataFrame, *, shards: int = 24, ranges_per_shard: int = 32, range_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with columns size, shard and slot.
+def assigned(bounds: list[tuple[int, int]], counts: list[tuple[int, int]], shards: int) -> list[int]:
+    """The shard of each range. Ranges of one divided key stay together if a shard holds them."""
+    total, by_key = sum(c[0] for c in counts), {}
+    for i, (key, _) in enumerate(bounds):
+        by_key.setdefault(key, []).append(i)
+    groups = [(sum(counts[i][0] for i in at), at) for at in by_key.values() if len(at) > 1]
+    filled, out = [0] * shards, [-1] * len(bounds)
+    for size, at in sorted(groups, reverse=True):
+        if size * shards <= total:
+            k = filled.index(min(filled))
+            filled[k] += size
+            for i in at:
+                out[i] = k
+    # Shards take the rest in turn, each up to the level at which all are full.
+    rest, level, low = total - sum(filled), 0.0, sorted(filled)
+    for n in range(1, shards + 1):
+        level = (rest + sum(low[:n])) / n
+        if n == shards or level <= low[n]:
+            break
+    ends = np.cumsum([max(0.0, level - f) for f in filled])
+    seen = 0
+    for i, (size, _) in enumerate(counts):
+        if out[i] < 0:  # to the shard in which the range's middle lies
+            out[i] = min(int(np.searchsorted(ends, seen + size / 2, "right")), shards - 1)
+            seen += size
+    return out
+
+
+def place(df: DataFrame, *, shards: int = 24, ranges_per_shard: int = 32, range_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``carry`` alone, with columns size, shard and slot.
 
     size is the UTF-8 bytes of the text, none for a null one, plus 8. Shards have nearly equal bytes: they
     differ by about a range, 1 / ``ranges_per_shard`` of a shard, and a document. There are more ranges where
-    else they would pass ``range_bytes``. Copies of a text share a range, and so a shard, unless they alone
-    overfill it. slot counts from 0 without holes in each shard, in the order of keys. Null ids and texts
+    else they would pass ``range_bytes``. Copies of a text share a shard, unless they alone are larger than one
+    shard's equal part. slot counts from 0 without holes in each shard, in the order of keys. Null ids and texts
     hash to keys of their own; identical rows lie in one range. An empty table gives an empty frame. Columns
     of ``df`` called size, shard or slot are replaced.
     """
-    keep = [c for c in df.columns if c not in ("size", "shard", "slot")]
+    keep = [c for c in (df.columns if carry is None else carry) if c not in ("size", "shard", "slot")]
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.select(*keep, (F.octet_length(text) + 8).cast("long").alias("size"), F.xxhash64(text).alias("__key"), F.xxhash64(F.col(id_col), F.lit(3)).alias("__sub"))
-    narrow = cut(df.select(F.col(id_col).alias("id"), "size", F.col("__key").alias("key"), F.col("__sub").alias("sub")))
+    df = df.select(*keep, F.col(id_col).alias("__id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.xxhash64(text).alias("__key"), F.xxhash64(F.col(id_col), F.lit(3)).alias("__sub"))
+    narrow = cut(df.select(F.col("__id").alias("id"), "size", F.col("__key").alias("key"), F.col("__sub").alias("sub")))
     total = narrow.agg(F.sum("size")).first()[0] or 0
     bounds, counts = split(narrow, max(shards * ranges_per_shard, total // range_bytes))
-    table, seen, placed = [], 0, [0] * shards
-    for i, (size, n) in enumerate(counts):
-        # A range goes to the shard in which its middle lies.
-        k = min(shards - 1, int((2 * seen + size) * shards // (2 * max(total, 1))))
+    table, placed = [], [0] * shards
+    for i, (k, (_, n)) in enumerate(zip(assigned(bounds, counts, shards), counts, strict=True)):
         table.append((i, k, placed[k]))
-        seen, placed[k] = seen + size, placed[k] + n
+        placed[k] += n
     # One row a range.
     ranges = F.broadcast(df.sparkSession.createDataFrame(table, "__r int, shard int, __before long"))
-    order = Window.partitionBy("__r").orderBy("__key", "__sub", F.col(id_col), "size")
+    order = Window.partitionBy("__r").orderBy("__key", "__sub", "__id", "size")
     out = df.withColumn("__r", located(bounds)("__key", "__sub")).withColumn("__own", F.row_number().over(order) - 1)
     return out.join(ranges, "__r").select(*keep, "size", "shard", (F.col("__before") + F.col("__own")).cast("long").alias("slot"))
