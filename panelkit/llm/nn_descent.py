@@ -141,7 +141,7 @@ def _local_join(met: DataFrame, sends: int) -> DataFrame:
     return met.mapInArrow(run, _LISTS)
 
 
-def build(coded: DataFrame, *, neighbours: int = 32, sample: int = 16, rounds: int = 7, sends: int = 8, seed: int = 0) -> DataFrame:
+def build(coded: DataFrame, *, neighbours: int = 32, sample: int = 16, rounds: int = 16, sends: int = 8, seed: int = 0) -> DataFrame:
     """(id, nbr, sim) for each (id, code): its near neighbours, best first. Stops early when few lists change."""
     spark = coded.sparkSession
     now = cut(_merged(_initial(coded, neighbours, 4, 256, seed), neighbours))
@@ -163,10 +163,11 @@ def build(coded: DataFrame, *, neighbours: int = 32, sample: int = 16, rounds: i
     return now
 
 
-def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int = 32, pool: int = 100, expand: int = 20, hops: int = 6, entries: int = 256) -> DataFrame:
+def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int = 32, pool: int = 100, expand: int = 20, hops: int = 100, entries: int = 256) -> DataFrame:
     """(query_id, id): the ``found`` nodes nearest to each of ``queries`` (query_id, code) that the search met, but not the query itself.
 
-    The pool of a query, and what it has seen, are bounded by what it may expand.
+    A query is at its end when it has expanded all of its ``found`` best nodes; ``hops`` only guards against no end.
+    The pool of a query is bounded, and what it has seen by what it may expand. Without nodes nothing is found.
     """
     n = coded.count()
     flat = graph.select("id", F.explode(F.arrays_zip("nbr", "sim")).alias("x")).select(F.col("x.nbr").alias("id"), F.col("id").alias("other"), F.col("x.sim").alias("s"))
@@ -236,6 +237,8 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int
         drop(now)
         now = after
         _release(now.sparkSession)
+        if not now.where(F.exists(F.slice("open", 1, found), lambda x: x)).limit(1).count():
+            break
     out = now.select("query_id", F.explode(F.slice(F.array_remove("ids", F.col("query_id")), 1, found)).alias("id"))
     return out
 
