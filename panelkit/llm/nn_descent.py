@@ -141,8 +141,11 @@ def _local_join(met: DataFrame, sends: int) -> DataFrame:
     return met.mapInArrow(run, _LISTS)
 
 
-def build(coded: DataFrame, *, neighbours: int = 32, sample: int = 16, rounds: int = 16, sends: int = 8, seed: int = 0) -> DataFrame:
-    """(id, nbr, sim) for each (id, code): its near neighbours, best first. Stops early when few lists change."""
+def build(coded: DataFrame, *, neighbours: int = 32, sample: int = 16, rounds: int = 16, changed: float = 0.01, sends: int = 8, seed: int = 0) -> DataFrame:
+    """(id, nbr, sim) for each (id, code): its near neighbours, best first.
+
+    Rounds end when less than a share ``changed`` of all entries is new, or after ``rounds``. The search makes good what lists still lack then.
+    """
     spark = coded.sparkSession
     now = cut(_merged(_initial(coded, neighbours, 4, 256, seed), neighbours))
     n = now.count()
@@ -158,12 +161,12 @@ def build(coded: DataFrame, *, neighbours: int = 32, sample: int = 16, rounds: i
         drop(now)
         now = after
         _release(spark)
-        if kept < 0.01 * neighbours * max(n, 1):
+        if kept < changed * neighbours * max(n, 1):
             break
     return now
 
 
-def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int = 32, pool: int = 100, expand: int = 20, hops: int = 100, entries: int = 256) -> DataFrame:
+def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int = 64, pool: int = 160, expand: int = 20, hops: int = 100, entries: int = 256) -> DataFrame:
     """(query_id, id): the ``found`` nodes nearest to each of ``queries`` (query_id, code) that the search met, but not the query itself.
 
     A query is at its end when it has expanded all of its ``found`` best nodes; ``hops`` only guards against no end.
@@ -255,7 +258,7 @@ def nearest(df: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec
     keyed = cut(rows.withColumn("key", F.md5(F.to_json(F.struct("v")).cast("binary"))))
     classes = cut(classes_of(keyed.select("id", "v")))
     coded = cut(codes(classes))
-    graph = build(coded, **{n: v for n, v in sizes.items() if n in ("neighbours", "sample", "rounds", "sends", "seed")})
+    graph = build(coded, **{n: v for n, v in sizes.items() if n in ("neighbours", "sample", "rounds", "changed", "sends", "seed")})
     asked = queries.select(F.col(id_col).cast("long").alias("query")).where("query is not null").distinct()
     asked = cut(keyed.join(asked, F.col("id") == F.col("query")).join(classes.select("key", F.col("id").alias("node")), "key").select("query", "node", "v"))
     nodes = asked.select(F.col("node").alias("query_id")).distinct().join(coded.withColumnRenamed("id", "query_id"), "query_id")
