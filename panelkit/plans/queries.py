@@ -336,7 +336,7 @@ def spending_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from panelkit.plans import more  # noqa: F401  registers its queries here
+    from panelkit.plans import evidence_queries, more  # noqa: F401  register their queries here
 
     return dict(_QUERIES)
 

@@ -24,12 +24,15 @@ def write_panel(df: DataFrame, path: str, period: str) -> None:
 
 
 def read_strings(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """CSV with all columns as strings, empty ones kept as values, and a byte order mark dropped from the first header."""
+    """CSV with all columns as strings, and a byte order mark dropped from the first header.
+
+    Cells that are empty, quoted or not, are empty strings, and so are those that a short row lacks; nothing is null.
+    """
     reader = spark.read.option("header", True).option("encoding", "UTF-8").option("nullValue", "\u0000").option("emptyValue", "").option("multiLine", True).option("escape", '"')
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     df = reader.csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    return df.toDF(*[c.lstrip("﻿") for c in df.columns]).fillna("")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

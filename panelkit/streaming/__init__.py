@@ -63,16 +63,21 @@ def changes(stream: DataFrame, entity: str, order: str, value: str) -> DataFrame
     return rows.groupBy("entity").applyInPandasWithState(step, "entity string, at long, old string, new string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+def _timed(stream: DataFrame, time: str, late: str) -> DataFrame:
+    """``stream`` with a watermark on its time, which is cast: watermarks need timestamps with a zone."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def outcome_counts(stream: DataFrame, time: str, outcome: str, width: str = "1 hour", late: str = "30 minutes", slide: str | None = None, extra: list[str] = ()) -> DataFrame:
     """(begin, end, outcome, n) by time windows; rows later than ``late`` are dropped. Tumbling, or sliding by ``slide``."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
-    out = stream.withWatermark(time, late).groupBy(w.alias("w"), outcome, *extra).agg(F.count("*").alias("n"))
+    out = _timed(stream, time, late).groupBy(w.alias("w"), outcome, *extra).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("begin"), F.col("w.end").alias("end"), outcome, *extra, "n")
 
 
 def session_counts(stream: DataFrame, time: str, entity: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(entity, begin, end, n): runs of rows without a gap as long as ``gap``."""
-    out = stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), entity).agg(F.count("*").alias("n"))
+    out = _timed(stream, time, late).groupBy(F.session_window(time, gap).alias("w"), entity).agg(F.count("*").alias("n"))
     return out.select(entity, F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n")
 
 
