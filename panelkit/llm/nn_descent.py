@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from panelkit.llm.shared import cut, drop, partitions
 from panelkit.llm.toxicity import sampled
 
 _LISTS = "id long, nbr array<long>, sim array<float>"
+#: Rows that a task compares at once.
+_ROWS = 1024
 
 
 def codes(classes: DataFrame) -> DataFrame:
@@ -41,11 +44,26 @@ def codes(classes: DataFrame) -> DataFrame:
     return classes.select("id", "v").mapInArrow(run, "id long, code binary")
 
 
-def decode(column: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+def decode(column: pa.Array | list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column), np.uint8).reshape(len(column), -1)
     return raw[:, :-4].view(np.int8).astype(np.float32) * raw[:, -4:].copy().view(np.float32)
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    """The row of each element of a column of arrays; a null array has none."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(n)), n)
+
+
+def _firsts(row: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where an id comes the first time in its row, both in order."""
+    return np.append(True, (row[1:] != row[:-1]) | (ids[1:] != ids[:-1]))[: len(row)]
+
+
+def _place(row: np.ndarray) -> np.ndarray:
+    return np.arange(len(row)) - np.searchsorted(row, row)
+
+
 def _release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of rounds that nothing refers to any more."""
     gc.collect()
@@ -61,7 +79,7 @@ def _initial(coded: DataFrame, neighbours: int, projections: int, block: int, se
         def project(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    x = decode(b["code"].to_pylist())
+                    x = decode(b["code"])
                     p = x @ np.random.default_rng(seed + k).normal(size=x.shape[1])
                     yield pa.RecordBatch.from_arrays([b["id"], b["code"], pa.array(p)], ["id", "code", "p"])
 
@@ -69,20 +87,23 @@ def _initial(coded: DataFrame, neighbours: int, projections: int, block: int, se
             for b in batches:
                 for s in range(0, b.num_rows, block):
                     ids = b["id"][s : s + block].to_numpy()
-                    x = decode(b["code"][s : s + block].to_pylist())
+                    x = decode(b["code"][s : s + block])
                     sim = x @ x.T
                     np.fill_diagonal(sim, -2)
                     m = min(neighbours // projections or 1, len(ids) - 1)
                     best = np.argsort(-sim, axis=1, kind="stable")[:, :m]
-                    yield _lists(ids, [ids[r] for r in best], [s_[r] for s_, r in zip(sim, best, strict=True)])
+                    yield _lists(ids, np.full(len(ids), m), ids[best].ravel(), np.take_along_axis(sim, best, 1).ravel())
 
         lists = coded.mapInArrow(project, "id long, code binary, p double").repartitionByRange(n, "p", "id").sortWithinPartitions("p", "id").mapInArrow(nearest, _LISTS)
         out = lists if out is None else out.union(lists)
     return out
 
 
-def _lists(ids, nbr, sim) -> pa.RecordBatch:  # noqa: ANN001
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nbr, pa.list_(pa.int64())), pa.array([np.asarray(s, np.float32) for s in sim], pa.list_(pa.float32()))], ["id", "nbr", "sim"])
+def _lists(ids: np.ndarray, counts: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+    """A batch of lists: ``counts`` of the entries of ``nbr`` and ``sim`` belong to each of ``ids``."""
+    ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((nbr, pa.int64()), (sim.astype(np.float32), pa.float32()))]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], ["id", "nbr", "sim"])
 
 
 def _merged(lists: DataFrame, neighbours: int) -> DataFrame:
@@ -91,52 +112,56 @@ def _merged(lists: DataFrame, neighbours: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nbr, sim = [], []
-            for u, s in zip(b["nbr"].to_pylist(), b["sim"].to_pylist(), strict=True):
-                u, first = np.unique(np.array(u, np.int64), return_index=True)
-                s = np.array(s, np.float32)[first]
-                o = np.lexsort((u, -s))[:neighbours]
-                nbr.append(u[o])
-                sim.append(s[o])
-            yield _lists(b["id"].to_pylist(), nbr, sim)
+            for at in range(0, b.num_rows, _ROWS):
+                part = b.slice(at, _ROWS)
+                row, u, s = _rows(part["nbr"]), part["nbr"].flatten().to_numpy(), part["sim"].flatten().to_numpy()
+                o = np.lexsort((-s, u, row))
+                o = o[_firsts(row[o], u[o])]
+                o = o[np.lexsort((u[o], -s[o], row[o]))]
+                o = o[_place(row[o]) < neighbours]
+                yield _lists(part["id"].to_numpy(), np.bincount(row[o], minlength=part.num_rows), u[o], s[o])
 
     return grouped.mapInArrow(run, _LISTS)
 
 
 def _edges(lists: DataFrame, most: int, salt: int) -> DataFrame:
-    """(id, other) in both directions: ``most`` of each list, and ``most`` of those that list an id, by hash."""
+    """(id, other) in both directions: ``most`` of each list, and ``most`` of those that list an id, by hash. A pair may come from both."""
     flat = lists.select("id", F.explode("nbr").alias("other"))
     h = F.xxhash64("id", "other", F.lit(salt))
     forward = lists.select("id", F.explode(F.slice(F.array_sort(F.transform("nbr", lambda u: F.struct(F.xxhash64(u, F.lit(salt)).alias("h"), u.alias("u")))), 1, most)).alias("x")).select("id", F.col("x.u").alias("other"))
     ranked = flat.select(F.col("other").alias("id"), F.col("id").alias("other"), h.alias("h"))
     backward = ranked.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("h"))).where(F.col("r") <= most)
-    return forward.union(backward.select("id", "other")).distinct()
+    return forward.union(backward.select("id", "other"))
 
 
 def _local_join(met: DataFrame, sends: int) -> DataFrame:
-    """Compare all pairs of each row's ``met``; what beats a member's worst entry goes to that member, ``sends`` at most."""
+    """Compare all pairs of each row's distinct ``met``; what beats a member's worst entry goes to that member, ``sends`` at most."""
+
+    def compared(met: pa.Array) -> pa.RecordBatch:
+        row, inner = _rows(met), met.flatten()
+        ids = inner.field("other").to_numpy()
+        o = np.lexsort((ids, row))
+        o = o[_firsts(row[o], ids[o])]
+        row, place = row[o], _place(row[o])
+        codes_ = decode(inner.field("code"))[o]
+        # Rows get as many places as the longest has; places that a row lacks are beaten by nothing and beat nothing.
+        shape = (len(met), place.max() + 1)
+        x, member, worst = np.zeros((*shape, codes_.shape[1]), np.float32), np.full(shape, -1, np.int64), np.full(shape, np.inf, np.float32)
+        lacks = np.ones(shape, bool)
+        x[row, place], member[row, place], worst[row, place], lacks[row, place] = codes_, ids[o], inner.field("worst").to_numpy()[o], False
+        sim = x @ x.transpose(0, 2, 1)
+        sim[lacks[:, None, :] | np.eye(shape[1], dtype=bool)] = -2
+        best = np.argpartition(-sim, min(sends, shape[1]) - 1, axis=2)[:, :, :sends]
+        top = np.take_along_axis(sim, best, 2)
+        better = top > worst[:, :, None]
+        counts = better.sum(axis=2).ravel()
+        nbr = member[np.arange(shape[0])[:, None, None], best]
+        return _lists(member.ravel()[counts > 0], counts[counts > 0], nbr[better], top[better])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            col = b["met"]
-            if not b.num_rows:
-                continue
-            inner = col.flatten()
-            ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(col).to_numpy())])
-            ids, worst = inner.field("other").to_numpy(), inner.field("worst").to_numpy()
-            x = decode(inner.field("code").to_pylist())
-            out_id, out_nbr, out_sim = [], [], []
-            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                sim = x[s:e] @ x[s:e].T
-                np.fill_diagonal(sim, -2)
-                best = np.argsort(-sim, axis=1)[:, :sends]
-                top = np.take_along_axis(sim, best, 1)
-                ok = top > worst[s:e, None]
-                for i in np.flatnonzero(ok.any(axis=1)).tolist():
-                    out_id.append(ids[s + i])
-                    out_nbr.append(ids[s + best[i][ok[i]]])
-                    out_sim.append(top[i][ok[i]])
-            yield _lists(np.array(out_id, np.int64), out_nbr, out_sim)
+            for at in range(0, b.num_rows, _ROWS):
+                yield compared(b["met"].slice(at, _ROWS))
 
     return met.mapInArrow(run, _LISTS)
 
@@ -184,11 +209,9 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int
     schema = "query_id long, code binary, seen array<long>, ids array<long>, sims array<float>, open array<boolean>"
 
     def state(b: pa.RecordBatch, rows: Iterator[tuple]) -> pa.RecordBatch:
-        seen, ids, sims, open_ = [], [], [], []
-        for s, u, v, o in rows:
-            seen.append(s), ids.append(u), sims.append(v), open_.append(o)
-        kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()))
-        return pa.RecordBatch.from_arrays([b["query_id"], b["code"], *(pa.array(x, k) for x, k in zip((seen, ids, sims, open_), kinds, strict=True))], ["query_id", "code", "seen", "ids", "sims", "open"])
+        kinds = (pa.int64(), pa.int64(), pa.float32(), pa.bool_())
+        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x), k)) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([b["query_id"], b["code"], *lists], ["query_id", "code", "seen", "ids", "sims", "open"])
 
     def best(u: np.ndarray, s: np.ndarray, o: np.ndarray) -> tuple:
         k = np.lexsort((u, -s))[:pool]
@@ -198,7 +221,7 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int
         e = decode([s[1] for s in start])
         for b in batches:
             if b.num_rows:
-                sims = decode(b["code"].to_pylist()) @ e.T
+                sims = decode(b["code"]) @ e.T
 
                 def rows(b: pa.RecordBatch = b, sims: np.ndarray = sims) -> Iterator[tuple]:
                     for q, s in zip(b["query_id"].to_pylist(), sims, strict=True):
@@ -216,13 +239,17 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int
                 continue
 
             def rows(b: pa.RecordBatch = b) -> Iterator[tuple]:
-                for code, seen, ids, sims, open_, got in zip(b["code"].to_pylist(), b["seen"].to_pylist(), b["ids"].to_pylist(), b["sims"].to_pylist(), b["open"].to_pylist(), b["got"].to_pylist(), strict=True):
-                    seen, ids, sims, open_ = np.array(seen), np.array(ids), np.array(sims, np.float32), np.array(open_)
+                fetched = b["got"].flatten()
+                ends = np.cumsum(np.bincount(_rows(b["got"]), minlength=b.num_rows))
+                query = decode(b["code"])
+                for k, end in enumerate(ends.tolist()):
+                    seen, ids, sims = (b[c][k].values.to_numpy() for c in ("seen", "ids", "sims"))
+                    open_ = b["open"][k].values.to_numpy(zero_copy_only=False).copy()
                     open_[np.flatnonzero(open_)[:expand]] = False
-                    got = {g["id"]: g["code"] for g in got or []}
-                    new = np.setdiff1d(np.fromiter(got, np.int64, len(got)), seen)
-                    if len(new):
-                        s = (decode([got[i] for i in new.tolist()]) @ decode([code])[0]).astype(np.float32)
+                    got = fetched.slice(ends[k - 1] if k else 0, end - (ends[k - 1] if k else 0))
+                    if len(got):
+                        new = got.field("id").to_numpy()
+                        s = decode(got.field("code")) @ query[k]
                         ids, sims, open_ = best(np.append(ids, new), np.append(sims, s), np.append(open_, np.ones(len(new), bool)))
                         seen = np.append(seen, new)
                     yield seen, ids, sims, open_
@@ -232,9 +259,9 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int
     now = cut(queries.select("query_id", "code").mapInArrow(begin, schema))
     for _ in range(hops):
         frontier = now.select("query_id", F.explode(F.slice(F.filter(F.transform(F.arrays_zip("ids", "open"), lambda x: F.when(x["open"], x["ids"])), lambda x: x.isNotNull()), 1, expand)).alias("id"))
-        # A query joins the pairs that it has seen before they are fetched, so that codes travel once.
-        next_ = frontier.join(links, "id").select("query_id", F.explode("nbr").alias("id")).distinct()
-        next_ = next_.join(now.select("query_id", F.explode("seen").alias("id")), ["query_id", "id"], "left_anti")
+        met = frontier.join(links, "id").groupBy("query_id").agg(F.flatten(F.collect_list("nbr")).alias("met"))
+        # A query leaves out what it has seen before codes are fetched, so that they travel once.
+        next_ = met.join(now.select("query_id", "seen"), "query_id").select("query_id", F.explode(F.array_except("met", "seen")).alias("id"))
         got = next_.join(coded, "id").groupBy("query_id").agg(F.collect_list(F.struct("id", "code")).alias("got"))
         after = cut(now.join(got, "query_id", "left").mapInArrow(closed, schema))
         drop(now)
