@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import dac, licenses, minhash, mixing, multi_index, nn_descent, packing, sharding, substring, toxicity
+from panelkit.llm import dac, licenses, minhash, mixing, multi_index, nn_descent, packing, periodic, sharding, substring, toxicity
 from panelkit.llm.shared import shared_dir
 
 
@@ -83,6 +83,28 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def _repeating(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every tenth document by its hash, the words from one of them on repeat a stretch."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    blanks = r"[\x20\x09-\x0D]+"
+    words = F.when(h % 10 == 0, F.filter(F.split("text", blanks), lambda w: w != ""))
+    rows = docs.select("doc_id", "text", F.expr("crc32(cast(cast(doc_id as string) as binary)) div 10").alias("g"), words.alias("w"))
+    rows = rows.select("doc_id", "text", "g", "w", F.nullif(F.size("w"), F.lit(0)).cast("long").alias("n"))
+    rows = rows.select("doc_id", "text", "g", "w", "n", (F.col("g") % F.col("n")).alias("a"))
+    rows = rows.select("doc_id", "text", "w", "a", F.expr("1 + (n - a) div (3 + g % 8)").alias("p"))
+    said = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.coalesce(F.when(F.col("p").isNotNull(), F.array_join(said, " ")), "text").alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(_repeating(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # Runs come by start and period, so of equal ones the first stays.
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda m, r: F.when(m.isNull() | (r["length"] * m["period"] > m["length"] * r["period"]), r).otherwise(m))
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.when(F.size("runs") > 0, F.concat(said, F.lit("\n"))).otherwise("").alias("said"), "text")
+    return found.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), F.sha2("said", 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +112,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_embedding_dedup, op3_minhash_dedup, op4_best_fit_packing, op5_substring_dedup, op6_mixing, op7_sharding, op8_nearest_neighbours, op9_token_files, op10_licenses, pipeline]
+    found = [op1_toxicity, op2_embedding_dedup, op3_minhash_dedup, op4_best_fit_packing, op5_substring_dedup, op6_mixing, op7_sharding, op8_nearest_neighbours, op9_token_files, op10_licenses, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -200,5 +222,43 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 """
 
 
+_OP13_SQL = r"""
+WITH hashed AS (
+  SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(doc_id::VARCHAR, '')])),
+      lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS h
+  FROM documents
+), counted AS (
+  SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM hashed
+), begun AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM counted
+), words AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE [CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END for i in range(n)] END AS w FROM begun
+), blocks AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1:i + 8], ' ') AS b FROM (SELECT *, unnest(range(0, n - 7)) AS i FROM words WHERE n >= 24)
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM blocks x JOIN blocks y ON x.doc_id = y.doc_id AND x.b = y.b AND x.i < y.i AND 3 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + 7 + q AS l
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs) GROUP BY doc_id, q, k
+), long AS (
+  SELECT * FROM stretches WHERE l >= greatest(24, 3 * q)
+), runs AS (
+  SELECT * FROM long x WHERE NOT EXISTS (SELECT 1 FROM long y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.s + y.l >= x.s + x.l)
+), digests AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS said FROM runs GROUP BY doc_id
+), best AS (
+  SELECT doc_id, s, l, q FROM runs x
+  WHERE NOT EXISTS (SELECT 1 FROM runs y WHERE y.doc_id = x.doc_id AND (y.l * x.q > x.l * y.q OR y.l * x.q = x.l * y.q AND (y.s, y.q) < (x.s, x.q)))
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(n)) AS i FROM words) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM words LEFT JOIN digests USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": _OP2_SQL, "op3_minhash_dedup": _OP3_SQL, "op5_substring_dedup": _OP5_SQL, "op8_nearest_neighbours": _OP8_SQL, "op10_licenses": _OP10_SQL}
+    return {"op2_embedding_dedup": _OP2_SQL, "op3_minhash_dedup": _OP3_SQL, "op5_substring_dedup": _OP5_SQL, "op8_nearest_neighbours": _OP8_SQL, "op10_licenses": _OP10_SQL, "op13_periodic_runs": _OP13_SQL}
