@@ -8,14 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import dac, licenses, minhash, mixing, multi_index, nn_descent, packing, periodic, sharding, substring, toxicity
+from panelkit.llm import alignment, dac, group_packing, licenses, minhash, mixing, multi_index, nn_descent, packing, periodic, sharding, substring, toxicity
 from panelkit.llm.shared import shared_dir
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_group_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = group_packing.pack(_table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("word_bpe_49k.json"), fold=_crc32)
+    return packed.select("doc_id", "start", "length", F.col("folded").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def _sha256(said: str) -> str:
+    from hashlib import sha256
+
+    return said and sha256(said.encode()).hexdigest()
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(_table(spark, sf_dir, "documents"), byte_path=tokenizer_path(), piece_path=tokenizer_path("piece_bpe_32k.model"), fold=_sha256)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 def _repeating(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in every tenth document by its hash, the words from one of them on repeat a stretch."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -112,7 +128,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_embedding_dedup, op3_minhash_dedup, op4_best_fit_packing, op5_substring_dedup, op6_mixing, op7_sharding, op8_nearest_neighbours, op9_token_files, op10_licenses, op13_periodic_runs, pipeline]
+    found = [op1_toxicity, op2_embedding_dedup, op3_minhash_dedup, op4_best_fit_packing, op5_substring_dedup, op6_mixing, op7_sharding, op8_nearest_neighbours, op9_token_files, op10_licenses, op11_group_packing, op12_alignment, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in found}
 
 

@@ -31,19 +31,27 @@ class Encoder:
     """Encodes batches of texts; keeps ids of the first ``most`` chunks between batches.
 
     Once they are full, other chunks are encoded where they occur. When those come to ``most`` in turn, the texts
-    have changed, and chunks are remembered anew.
+    have changed, and chunks are remembered anew. With ``plain`` the strings of added tokens are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    #: What a text is cut into.
+    chunk = _CHUNK
+
+    def __init__(self, path: str, most: int = 500_000, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = re.compile("|".join(map(re.escape, added))) if added and not plain else None
         self.most = most
         self._forget()
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The library's ids of each text or chunk."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
         self.ids = np.empty(0, np.uint32)
@@ -52,7 +60,7 @@ class Encoder:
 
     def _with(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The remembered ids and where each chunk's begin, with those of ``new`` after them."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        found = self.encode(new)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
         first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
@@ -81,15 +89,15 @@ class Encoder:
     def _group(self, texts: list[str | None]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if t and self.added and self.added.search(t)]
         if whole:
-            found = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+            found = self.encode([texts[i] for i in whole])
             rest = list(texts)
             for i in whole:
                 rest[i] = None
             out = self._group(rest)
-            for i, e in zip(whole, found, strict=True):
-                out[i] = np.array(e.ids, np.uint32)
+            for i, ids in zip(whole, found, strict=True):
+                out[i] = np.array(ids, np.uint32)
             return out
-        chunks = [_CHUNK.findall(t) if t else [] for t in texts]
+        chunks = [self.chunk.findall(t) if t else [] for t in texts]
         coded = pa.array(list(chain.from_iterable(chunks)), pa.large_string()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         at = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
@@ -104,6 +112,38 @@ class Encoder:
         return [ids[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
+class WordEncoder(Encoder):
+    """For vocabularies that drop white space and never join what it divides: chunks are words between ASCII blanks."""
+
+    chunk = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+class PieceEncoder(Encoder):
+    """For piece models that put a blank before a text, keep all blanks, and have no piece with a blank behind another character.
+
+    Texts come with that blank before them, and every chunk begins with a blank: the model adds the first one itself.
+    A text that holds the model's own sign for a blank goes to the library whole.
+    """
+
+    chunk = re.compile(" +[^ ]*")
+
+    def __init__(self, path: str, most: int = 500_000):
+        from sentencepiece import SentencePieceProcessor
+
+        self.processor = SentencePieceProcessor(model_file=path)
+        self.added, self.most = re.compile("\u2581"), most
+        self._forget()
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        blank = self.processor.piece_to_id("\u2581")  # the model gives a lone blank before nothing no id
+        return [ids or [blank] for ids in self.processor.encode([t[1:] for t in texts], num_threads=1)]
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker, which Spark uses again for its next tasks."""
     return kept(("encoder", path), lambda: Encoder(path))
+
+
+def word_encoder(path: str) -> Encoder:
+    """As ``encoder``, for vocabularies of words."""
+    return kept(("word encoder", path), lambda: WordEncoder(path))
