@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from panelkit import functions as fn
 from panelkit.contracts import ContractError, assert_none, assert_partition, assert_same_keys, assert_unique, assert_within
 from panelkit.operators.cleaning import keep_last
+from panelkit.operators.graph import components
 from panelkit.operators.panel import as_of, overlapping, previous
 from panelkit.operators.text import review_code
+from panelkit.sources import written
 
 # -- evidence --------------------------------------------------------------------------------------
 
@@ -118,28 +120,35 @@ def collision_details(found: DataFrame, names: DataFrame, entity: str, name_key:
 # -- events ----------------------------------------------------------------------------------------
 
 
-def event_roster(df: DataFrame, entity: str, old: str, new: str, announcement: str, date: str, year: str, official: Column) -> DataFrame:
-    """(entity, old, new, event_id, n_rows, date, conflict): rows of one change, joined by any shared evidence.
+def event_rows(df: DataFrame, entity: str, old: str, new: str, announcement: str, date: str, year: str, official: Column, source: str | None = None) -> DataFrame:
+    """(entity, old, new, announcement, date, year, source, label): distinct official rows with the event they belong to.
 
-    Official rows of an (entity, old, new) belong together if they share an announcement, an exact date, or a
-    year without a date; the classes are the components of that relation, found by spreading least labels
-    until none changes. An event with more than one exact date is a conflict and has no date.
+    Rows of an (entity, old, new) belong together if they share an announcement, an exact date, or a year without a
+    date: with ``source``, a column, a year of the same announcement or, where that is null, of the same source. Events
+    are the components of that relation, found by contraction in a number of rounds that grows with the logarithm of the longest chain.
     """
-    rows = df.where(official).select(entity, old, new, announcement, date, year).distinct()
+    named = [entity, old, new, announcement, date, year, *([source] if source else [])]
     block = [entity, old, new]
-    rows = rows.withColumn("__id", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in rows.columns]))
-    evidence = F.array_compact(F.array(F.concat(F.lit("a:"), F.col(announcement).cast("string")), F.concat(F.lit("d:"), F.col(date).cast("string")), F.when(F.col(date).isNull(), F.concat(F.lit("y:"), F.col(year).cast("string")))))
-    edges = rows.withColumn("ev", F.explode(evidence)).select("__id", F.xxhash64(*block, "ev").alias("e"))
-    labels = rows.select("__id", F.col("__id").alias("label"))
-    while True:
-        low = edges.join(labels, "__id").groupBy("e").agg(F.min("label").alias("label"))
-        spread = edges.join(low, "e").groupBy("__id").agg(F.min("label").alias("new"))
-        step = labels.join(spread, "__id", "left").select("__id", "label", F.least("label", F.coalesce("new", "label")).alias("new")).checkpoint()
-        moved = step.where("new < label").limit(1).count()
-        labels = step.select("__id", F.col("new").alias("label"))
-        if not moved:
-            break
-    out = rows.join(labels, "__id").groupBy(*block, "label").agg(F.count("*").alias("n_rows"), F.count_distinct(date).alias("n_dates"), F.min(date).alias("d"), F.min(F.coalesce(F.col(announcement).cast("string"), F.lit(""))).alias("a"), F.min(F.col(year)).alias("y"))
+    rows = df.where(official).select(*named).distinct()
+    rows = written(rows.withColumn("__id", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in named])))
+    text = F.concat(F.lit("y:"), F.col(year).cast("string"))
+    if source:
+        text = F.concat(text, F.lit("|"), F.coalesce(F.col(announcement).cast("string"), F.col(source).cast("string")))
+    shared = F.array_compact(F.array(F.concat(F.lit("a:"), F.col(announcement).cast("string")), F.concat(F.lit("d:"), F.col(date).cast("string")), F.when(F.col(date).isNull(), text)))
+    edges = rows.withColumn("ev", F.explode(shared)).select("__id", F.xxhash64(*block, "ev").alias("e"))
+    labels = components(edges, "__id", "e").select(F.col("node").alias("__id"), F.col("component").alias("label"))
+    # A row without any evidence is an event of its own.
+    return rows.join(labels, "__id", "left").select(*named, F.coalesce("label", "__id").alias("label"))
+
+
+def event_roster(df: DataFrame, entity: str, old: str, new: str, announcement: str, date: str, year: str, official: Column, source: str | None = None) -> DataFrame:
+    """(entity, old, new, event_id, n_rows, date, conflict): one row for each event of ``event_rows``.
+
+    An event with more than one exact date is a conflict and has no date.
+    """
+    block = [entity, old, new]
+    rows = event_rows(df, entity, old, new, announcement, date, year, official, source)
+    out = rows.groupBy(*block, "label").agg(F.count("*").alias("n_rows"), F.count_distinct(date).alias("n_dates"), F.min(date).alias("d"), F.min(F.coalesce(F.col(announcement).cast("string"), F.lit(""))).alias("a"), F.min(F.col(year)).alias("y"))
     ident = fn.short_id("EVT-", [F.col(c).cast("string") for c in (*block, "a", "d", "y")])
     return out.select(*block, ident.alias("event_id"), "n_rows", F.when(F.col("n_dates") == 1, F.col("d")).alias("date"), (F.col("n_dates") > 1).alias("conflict"))
 

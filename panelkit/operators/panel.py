@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.contracts import ContractError, assert_none, assert_subset, assert_unique, exact_fingerprint, fingerprint, key_differences, require_columns
-from panelkit.sources import written
+from panelkit.operators.ordered import cumulated, row_numbers, running_max  # noqa: F401  cumulated is used from here
 
 # -- joins -----------------------------------------------------------------------------------------
 
@@ -234,12 +234,13 @@ def as_of(periods: DataFrame, events: DataFrame, entity: str, year: str, date: s
 def overlapping(df: DataFrame, group: list[str], ident: str, begin: str, end: str) -> DataFrame:
     """(group, has_overlap): whether any two intervals of a group meet; ends belong to them, a null end is open.
 
-    Sorted by begin, an interval meets an earlier one if it begins by the latest end so far: no pairs.
+    Sorted by begin, an interval meets an earlier one if it begins by the latest end so far: no pairs, and no
+    task that holds a group.
     """
-    open_end = F.coalesce(F.col(end).cast("date"), F.lit("9999-12-31").cast("date"))
-    order = Window.partitionBy(*group).orderBy(F.col(begin).cast("date"), ident).rowsBetween(Window.unboundedPreceding, -1)
-    meets = F.col(begin).cast("date") <= F.max(open_end).over(order)
-    return df.select(*group, F.coalesce(meets, F.lit(False)).alias("m")).groupBy(*group).agg(F.bool_or("m").alias("has_overlap"))
+    spans = df.select(*group, ident, F.col(begin).cast("date").alias("__begin"), F.coalesce(F.col(end).cast("date"), F.lit("9999-12-31").cast("date")).alias("__end"))
+    seen = running_max(spans, group, ["__begin", ident], "__end", "__latest")
+    meets = F.coalesce(F.col("__begin") <= F.col("__latest"), F.lit(False))
+    return seen.groupBy(*group).agg(F.bool_or(meets).alias("has_overlap"))
 
 
 def event_timing(date: Column, precision: Column, year: Column) -> Column:
@@ -298,26 +299,6 @@ def discontinuities(df: DataFrame, entity: str, period: str, value: Column) -> D
     return out.withColumn("changed_from_previous", later).withColumn("changed_at_all", later | earlier).drop("__v")
 
 
-def cumulated(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows up to each in a global order, without one task holding all rows.
-
-    A range partitioning is written once, so that the sums of its partitions belong to the same partitions as the
-    running sums inside them; two plans of it would each draw boundaries of their own.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = written(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()))
-    sums = p.groupBy("__p").agg(F.sum(value).alias("__c"))
-    # One row a partition.
-    before = sums.select("__p", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    own = F.sum(value).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return p.withColumn("__o", own).join(F.broadcast(before), "__p").withColumn(name, F.col("__o") + F.col("__b")).drop("__p", "__o", "__b")
-
-
-def row_numbers(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
-    """Numbers from 1 in a global order; rows that are equal in it are numbered in any order."""
-    return cumulated(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", name).drop("__one")
-
-
 def chunks(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """``df`` with chunk_id and chunk_position, both from 1, in a global order."""
     n = F.col("__n") - 1

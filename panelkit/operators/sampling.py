@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.contracts import ContractError, assert_unique
+from panelkit.operators.ordered import batched
+from panelkit.sources import written
 
 
 def draw(key: str, stratum: Column, seed: int) -> Column:
@@ -110,45 +111,30 @@ def first_pure_chunk(df: DataFrame, chunk: str, group: str, size: int) -> DataFr
 
 
 def batches(df: DataFrame, group: str, value: str, most_items: int, most_chars: int, sep: str = " OR ") -> DataFrame:
-    """(group, batch, n_items, query): each group's sorted distinct strings, packed in order under two limits.
+    """(group, batch, n_items, query): each group's sorted distinct strings, packed in order under two limits; see ``ordered.batched``.
 
-    A fold, so a group is one pandas frame, of distinct names only; groups run in parallel. A string longer than the
-    limit is an error.
+    A string longer than the limit is an error.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        now: list[str] = []
-        chars = 0
-        for name in sorted(pdf["value"], key=lambda s: s.encode()):
-            if len(name) > most_chars:
-                raise ContractError(f"longer than a batch: {name[:40]}")
-            grown = chars + len(name) + (len(sep) if now else 0)
-            if now and (len(now) == most_items or grown > most_chars):
-                rows.append((len(rows) + 1, len(now), sep.join(now)))
-                now, grown = [], len(name)
-            now.append(name)
-            chars = grown
-        if now:
-            rows.append((len(rows) + 1, len(now), sep.join(now)))
-        out = pd.DataFrame(rows, columns=["batch", "n_items", "query"])
-        out.insert(0, "group", str(pdf["group"].iloc[0]))
-        return out
-
-    rows = df.where(F.col(value).isNotNull()).select(F.col(group).cast("string").alias("group"), F.col(value).alias("value")).distinct()
-    return rows.groupBy("group").applyInPandas(fold, "group string, batch int, n_items int, query string")
+    return batched(df, group, value, most_items, most_chars, sep)
 
 
 def batch_artifacts(names: DataFrame, entity: str, value: str, most_items: int, most_chars: int, sep: str = " OR ") -> tuple[DataFrame, DataFrame]:
-    """(batches, name map): the map has each (entity, name) with the number of entities that share the name and a status."""
-    shared = names.select(entity, value).distinct()
+    """(batches, name map): all names in one order, and each (entity, name) with the number of entities that share it, its attribution and its batch."""
+    shared = names.where(F.col(value).isNotNull()).select(entity, value).distinct()
     n = shared.groupBy(value).agg(F.count("*").alias("n_entities"))
+    made = written(batched(names.withColumn("__g", F.lit("all")), "__g", value, most_items, most_chars, sep).drop("group"))
+    inside = made.select("batch", F.explode(_parts("query", sep)).alias(value))
     mapped = shared.join(n, value).withColumn("attribution", F.when(F.col("n_entities") > 1, F.lit("collision")).otherwise(F.lit("unique")))
-    return batches(names.withColumn("__g", F.lit("all")), "__g", value, most_items, most_chars, sep), mapped
+    return made, mapped.join(inside, value, "left")
+
+
+def _parts(query: str, sep: str) -> Column:
+    return F.split(query, f"\\Q{sep}\\E")
 
 
 def assert_batches_cover(made: DataFrame, names: DataFrame, value: str, sep: str = " OR ") -> None:
     """Every distinct name must be in exactly one batch."""
-    inside = made.select(F.explode(F.split("query", f"\\Q{sep}\\E")).alias(value))
+    inside = made.select(F.explode(_parts("query", sep)).alias(value))
     assert_unique(inside, [value], "the batches")
     lack = names.select(value).where(F.col(value).isNotNull()).distinct().join(inside, value, "left_anti").limit(1).count()
     if lack:

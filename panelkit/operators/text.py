@@ -5,13 +5,16 @@ Vectors are long rows (document, term, weight), never a matrix; only adjacent do
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from panelkit import functions as fn
 from panelkit.sources import written
@@ -170,96 +173,178 @@ def ngrams(chars: Column, low: int = 2, high: int = 4) -> Column:
     return F.concat(*[of(n) for n in range(low, high + 1)])
 
 
+def _characters(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """``keep`` and __c, the characters of the normalised text: single UTF-16 units, all of them."""
+    t = fn.vector_text(F.coalesce(F.col(text_col), F.lit("")))
+    return df.select(*keep, t.alias("__t")).select(*keep, F.split("__t", "").alias("__c")).select(*keep, F.filter("__c", lambda c: c != "").alias("__c"))
+
+
 def term_counts(df: DataFrame, doc: list[str], text_col: str, low: int = 2, high: int = 4) -> DataFrame:
     """(doc, term, c): n-gram counts of each document's normalised text; combined in tasks before the shuffle."""
-    t = fn.vector_text(F.coalesce(F.col(text_col), F.lit("")))
-    # The characters that are left are single UTF-16 units.
-    chars = df.select(*doc, t.alias("__t")).select(*doc, F.split("__t", "").alias("__c")).select(*doc, F.filter("__c", lambda c: c != "").alias("__c"))
-    return chars.select(*doc, F.explode(ngrams(F.col("__c"), low, high)).alias("term")).groupBy(*doc, "term").agg(F.count("*").alias("c"))
+    grams = _characters(df, doc, text_col).select(*doc, F.explode(ngrams(F.col("__c"), low, high)).alias("term"))
+    return grams.groupBy(*doc, "term").agg(F.count("*").alias("c"))
+
+
+def _packed_counts(docs: DataFrame, keep: list[str], text_col: str, low: int, high: int) -> DataFrame:
+    """(__doc, keep, term, c): as ``term_counts``, with n-grams of up to four characters as one long of 16 bits each.
+
+    Texts are dealt out by document, as a table of few files would have few tasks; n-grams, many times their size, are counted as
+    arrays where the text lies and not shuffled. Longer n-grams are counted as texts.
+    """
+    if high > 4:
+        return term_counts(docs, ["__doc", *keep], text_col, low, high)
+    cols = ["__doc", *keep]
+    dealt = docs.select(*cols, text_col).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("__doc"))
+    texts = dealt.select(*cols, fn.vector_text(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, t in enumerate(b["__t"].to_pylist()):
+                units = np.frombuffer(t.encode("utf-16-le"), "<u2").astype(np.uint64)
+                grams, found = units, [units] if low == 1 else []
+                for n in range(2, high + 1):
+                    grams = (grams[: max(len(units) - n + 1, 0)] << np.uint64(16)) | units[n - 1 :]
+                    found += [grams] if n >= low else []
+                term, c = np.unique(np.concatenate(found), return_counts=True)
+                one = pa.array(np.full(len(term), row))
+                yield pa.RecordBatch.from_arrays([*[b[k].take(one) for k in cols], pa.array(term.view(np.int64)), pa.array(c)], [*cols, "term", "c"])
+
+    schema = StructType([*[texts.schema[k] for k in cols], StructField("term", LongType()), StructField("c", LongType())])
+    return texts.mapInArrow(_gathered(counted), schema)
+
+
+def _gathered(of: Callable, most: int = 1 << 16) -> Callable:
+    """``of``, with its many small batches joined to some of about ``most`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in of(batches):
+            held.append(b)
+            if sum(map(len, held)) >= most:
+                yield pa.concat_batches(held)
+                held = []
+        if held:
+            yield pa.concat_batches(held)
+
+    return run
+
+
+def _raw_weight(n: str = "n", df: str = "df") -> Column:
+    return (1 + F.ln("c")) * (F.ln((1 + F.col(n)) / (1 + F.col(df))) + 1)
 
 
 def tfidf(df: DataFrame, doc: list[str], text_col: str, low: int = 2, high: int = 4, min_df: int = 2) -> DataFrame:
     """(doc, term, w): (1 + ln c) * (ln((1 + N) / (1 + df)) + 1) of terms in ``min_df`` documents or more, of length 1.
 
-    N counts all documents, empty ones too. Rare terms are dropped before the join back, which makes it
-    much smaller; Spark splits the join where a term is hot.
+    A document is a row, so ``doc`` must name one row each; N counts all, empty ones too. Rare terms are dropped
+    before the join back, which makes it much smaller; Spark splits the join where a term is hot.
     """
     counts = written(term_counts(df, doc, text_col, low, high))
-    n = df.select(*doc).distinct().agg(F.count("*").alias("n"))
+    n = df.agg(F.count("*").alias("n"))
     dfs = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     w = counts.join(dfs, "term").join(F.broadcast(n))  # one row
-    w = w.select(*doc, "term", ((1 + F.ln("c")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    w = w.select(*doc, "term", _raw_weight().alias("w"))
     norm = w.groupBy(*doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, doc).select(*doc, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def pair_cosine(vectors: DataFrame, entity: str, period: str, name: str) -> DataFrame:
-    """(entity, period, name): cosine of unit vectors of a period and the one before; no row where none shares a term."""
-    before = vectors.select(entity, (F.col(period) + 1).alias(period), "term", F.col("w").alias("v"))
-    return vectors.join(before, [entity, period, "term"]).groupBy(entity, period).agg(fn.clip01(F.sum(F.col("w") * F.col("v"))).alias(name))
+def adjacent(df: DataFrame, entity: str, period: str, text_col: str, ident: str | None = None) -> DataFrame:
+    """(entity, period, ident, text_col, __doc, __before, __serves): every row as a document of its own.
 
+    __before is the entity's document of the period before, where that has exactly one; all documents of a period
+    may have the same. __serves tells whether the document is one that others have before them. Without ``ident``, a column that
+    names a row, rows are written once and numbered.
+    """
+    names = [entity, period, *([ident] if ident else []), text_col]
+    base = df.select(*names)
+    base = base.withColumn("__doc", F.col(ident)) if ident else written(base.withColumn("__doc", F.monotonically_increasing_id()))
+    keys = base.select(entity, period, "__doc")
+    one = keys.groupBy(entity, period).agg(F.count("*").alias("__n"), F.min("__doc").alias("__before")).where("__n = 1").drop("__n")
+    after = keys.select(entity, (F.col(period) - 1).alias(period)).distinct()
+    serves = one.join(after, [entity, period]).select(F.col("__before").alias("__doc"), F.lit(True).alias("__serves"))
+    before = keys.join(one.withColumn(period, F.col(period) + 1), [entity, period]).select("__doc", "__before")
+    return base.join(before, "__doc", "left").join(serves, "__doc", "left")
 
-def continuity(df: DataFrame, entity: str, period: str, text_col: str, name: str = "continuity", low: int = 2, high: int = 4, min_df: int = 2) -> DataFrame:
-    """(entity, period, name): similarity of each document to the entity's one of the period before.
 
-    Null in a first period, without exactly one earlier document, and where either has no term of the
-    vocabulary; documents without a shared term have 0.
-    """
-    vectors = written(tfidf(df, [entity, period], text_col, low, high, min_df))
-    return _scored(df, vectors, pair_cosine(vectors, entity, period, name), entity, period, name)
+def _scored(docs: DataFrame, dots: DataFrame, now: DataFrame, before: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name) for every document: ``dots`` over the norms of both, 0 without a shared term, null without a norm or a document before."""
+    out = docs.select("__doc", "__before", *keys).join(now.select("__doc", F.col("norm").alias("__a")), "__doc", "left")
+    out = out.join(before.select(F.col("__doc").alias("__before"), F.col("norm").alias("__b")), "__before", "left").join(dots, "__doc", "left")
+    value = F.when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), fn.clip01(F.coalesce("dot", F.lit(0.0)) / (F.col("__a") * F.col("__b"))))
+    return out.select(*keys, value.alias(name))
+
+
+def _dots(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(__doc, dot): products of (__doc, __before, term, w) with the vectors (__doc, term, w) of the documents before."""
+    v = before.select(F.col("__doc").alias("__before"), "term", F.col("w").alias("v"))
+    return now.join(v.hint("merge"), ["__before", "term"]).groupBy("__doc").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+
 
+def _norms(vectors: DataFrame) -> DataFrame:
+    """(__doc, norm), summed in tasks before the shuffle."""
+    return vectors.groupBy("__doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
-def _scored(df: DataFrame, vectors: DataFrame, cosines: DataFrame, entity: str, period: str, name: str) -> DataFrame:
-    has = vectors.select(entity, period).distinct()
-    both = has.join(has.withColumn(period, F.col(period) + 1), [entity, period])
-    return _singles(df, both.join(cosines, [entity, period], "left"), entity, period, name)
 
+def continuity(df: DataFrame, entity: str, period: str, text_col: str, name: str = "continuity", low: int = 2, high: int = 4, min_df: int = 2, ident: str | None = None) -> DataFrame:
+    """(ident, entity, period, name), a row a document: its similarity to the entity's one document of the period before.
 
-def _singles(df: DataFrame, both: DataFrame, entity: str, period: str, name: str) -> DataFrame:
-    """(entity, period, name): ``both``'s values, 0 for null ones, where each of the two periods has exactly one document."""
-    n = df.groupBy(entity, period).agg(F.count("*").alias("__n"))
-    one = n.where("__n = 1").select(entity, period)
-    pairs = one.join(one.withColumn(period, F.col(period) + 1), [entity, period])
-    scored = both.join(pairs, [entity, period]).select(entity, period, F.coalesce(name, F.lit(0.0)).alias(name))
-    return n.join(scored, [entity, period], "left").select(entity, period, name)
+    Null where the period before has none or several, and where either document has no term of the vocabulary; documents
+    without a shared term have 0. Several documents of a period each have their own value. N and the frequencies
+    count documents, empty ones too. ``ident`` names a row; without it rows are told apart, but not named.
 
+    Vectors are joined as they are and divided by both lengths at the end, so they travel by term once and by pair once.
+    Both joins are merges whatever the sizes: a table of vectors is many times as large as its compressed files look.
+    """
+    docs = adjacent(df, entity, period, text_col, ident)
+    counts = written(_packed_counts(docs, ["__before", "__serves"], text_col, low, high))
+    n = df.agg(F.count("*").alias("n"))
+    dfs = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    paired = counts.where("__before is not null or __serves")
+    w = written(paired.join(dfs.hint("merge"), "term").join(F.broadcast(n)).select("__doc", "__before", "__serves", "term", _raw_weight().alias("w")))  # n is one row
+    norms = _norms(w)
+    keys = [*([ident] if ident else []), entity, period]
+    return _scored(docs, _dots(w.where("__before is not null").drop("__serves"), w.where("__serves")), norms, norms, keys, name)
 
-def expanding_continuity(df: DataFrame, entity: str, period: str, text_col: str, name: str = "continuity_expanding", low: int = 2, high: int = 4, min_df: int = 2) -> DataFrame:
+
+def expanding_continuity(df: DataFrame, entity: str, period: str, text_col: str, name: str = "continuity_expanding", low: int = 2, high: int = 4, min_df: int = 2, ident: str | None = None) -> DataFrame:
     """As ``continuity``, with vocabulary, frequencies and N from documents up to the later period of a pair only.
 
     Frequencies as of a period come from one window over (term, period) counts, which has a row for each period
-    in which a term is asked for: documents are weighed as of their own period and of the next, by an equi-join.
+    in which a term is asked for: a document is weighed as of its own period where it has one before it, and as of
+    the next where it is one, by an equi-join.
     """
-    counts = written(term_counts(df, [entity, period], text_col, low, high))
-    docs = df.select(entity, period).distinct()
-    n_new = docs.groupBy(period).agg(F.count("*").alias("k"))
+    docs = adjacent(df, entity, period, text_col, ident)
+    with_period = docs.withColumn("__period", F.col(period))
+    counts = written(_packed_counts(with_period, ["__before", "__serves", "__period"], text_col, low, high))
+    n_new = df.groupBy(period).agg(F.count("*").alias("k"))
     n = n_new.select(F.col(period).alias("as_of"), F.sum("k").over(Window.orderBy(period)).alias("n"))  # one row a period
-    wanted = counts.select(entity, period, "term", "c", F.explode(F.array(F.col(period), F.col(period) + 1)).alias("as_of")).join(F.broadcast(n), "as_of")
+    roles = F.array(F.when(F.col("__before").isNotNull(), F.col("__period")), F.when(F.col("__serves"), F.col("__period") + 1))
+    wanted = counts.where("__before is not null or __serves").select("*", F.explode(F.array_compact(roles)).alias("as_of"))
     # A document's own period counts it, the next one only asks.
-    k = counts.select("term", F.col(period).alias("as_of"), F.lit(1).alias("k")).union(counts.select("term", F.col(period) + 1, F.lit(0)))
-    k = k.groupBy("term", "as_of").agg(F.sum("k").alias("k"))
+    k = counts.groupBy("term", F.col("__period").alias("as_of")).agg(F.count("*").alias("k"))
+    k = k.union(k.select("term", F.col("as_of") + 1, F.lit(0).cast("long"))).groupBy("term", "as_of").agg(F.sum("k").alias("k"))
     known = k.select("term", "as_of", F.sum("k").over(Window.partitionBy("term").orderBy("as_of")).alias("df")).where(F.col("df") >= min_df)
-    w = wanted.join(known, ["term", "as_of"])
-    w = written(w.select(entity, period, "as_of", "term", ((1 + F.ln("c")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w")))
-    norm = w.groupBy(entity, period, "as_of").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = w.join(norm, [entity, period, "as_of"]).select(entity, period, "as_of", "term", (F.col("w") / F.col("norm")).alias("w"))
-    now = unit.where(F.col("as_of") == F.col(period)).drop("as_of")
-    before = unit.where(F.col("as_of") == F.col(period) + 1).select(entity, F.col("as_of").alias(period), "term", F.col("w").alias("v"))
-    cos = now.join(before, [entity, period, "term"]).groupBy(entity, period).agg(fn.clip01(F.sum(F.col("w") * F.col("v"))).alias(name))
-    has = now.select(entity, period).distinct().join(before.select(entity, period).distinct(), [entity, period])
-    return _singles(df, has.join(cos, [entity, period], "left"), entity, period, name)
-
-
-def theme_continuity(df: DataFrame, entity: str, period: str, text_col: str, themes: dict[str, list[str]], name: str = "continuity_theme") -> DataFrame:
-    """Cosine of keyword shares by category with the period before; null where either has no keyword."""
+    w = wanted.join(known.hint("merge"), ["term", "as_of"]).join(F.broadcast(n), "as_of")
+    w = written(w.select("__doc", "__before", (F.col("as_of") == F.col("__period")).alias("__now"), "term", _raw_weight().alias("w")))
+    now, before = w.where("__now"), w.where("not __now")
+    keys = [*([ident] if ident else []), entity, period]
+    return _scored(docs, _dots(now.drop("__now"), before), _norms(now), _norms(before), keys, name)
+
+
+def theme_continuity(df: DataFrame, entity: str, period: str, text_col: str, themes: dict[str, list[str]], name: str = "continuity_theme", ident: str | None = None) -> DataFrame:
+    """(ident, entity, period, name), a row a document: cosine of keyword shares by category with the one document of the period before.
+
+    Null where there is none or several, and where either has no keyword.
+    """
+    docs = adjacent(df, entity, period, text_col, ident)
     t = F.coalesce(F.col(text_col), F.lit(""))
-    names = sorted(themes)
-    v = df.select(entity, period, *[_hits(t, themes[k]).alias(f"h{i}") for i, k in enumerate(names)])
-    hs = [f"h{i}" for i in range(len(names))]
-    b = v.select(entity, (F.col(period) + 1).alias(period), *[F.col(h).alias(f"b{h}") for h in hs])
+    hs = [f"__h{i}" for i in range(len(themes))]
+    v = docs.select(*[c for c in docs.columns if c != text_col], *[_hits(t, themes[k]).alias(h) for k, h in zip(sorted(themes), hs, strict=True)])
+    b = v.where("__serves").select(F.col("__doc").alias("__before"), *[F.col(h).alias(f"b{h}") for h in hs])
     dot = reduce(lambda x, y: x + y, [F.col(h) * F.col(f"b{h}") for h in hs]).cast("double")
     na, nb = (reduce(lambda x, y: x + y, [F.col(p + h) * F.col(p + h) for h in hs]).cast("double") for p in ("", "b"))
-    return v.join(b, [entity, period], "left").select(entity, period, F.when((na > 0) & (nb > 0), fn.clip01(dot / F.sqrt(na) / F.sqrt(nb))).alias(name))
+    keys = [*([ident] if ident else []), entity, period]
+    return v.join(b, "__before", "left").select(*keys, F.when((na > 0) & (nb > 0), fn.clip01(dot / F.sqrt(na) / F.sqrt(nb))).alias(name))
 
 
 def pair_controls(df: DataFrame, entity: str, period: str, length: str, tier: str) -> DataFrame:
@@ -281,14 +366,17 @@ def metric_flag(df: DataFrame, entity: str, period: str, metric: str) -> DataFra
     return j.withColumn("metric_flag", review_code([("first_period", F.col(period) == F.col("__f")), ("missing_previous", F.coalesce(F.col("__n") != 1, F.lit(True))), ("empty_vector", F.col(metric).isNull())])).drop("__f", "__n")
 
 
-def shared_terms(df: DataFrame, entity: str, period: str, text_col: str, k: int = 10, low: int = 2, high: int = 4) -> DataFrame:
-    """(entity, period, terms): the ``k`` n-grams that a document shares most with the one before; ties by term."""
-    c = term_counts(df, [entity, period], text_col, low, high)
-    b = c.select(entity, (F.col(period) + 1).alias(period), "term", F.col("c").alias("d"))
-    both = c.join(b, [entity, period, "term"]).select(entity, period, "term", F.least("c", "d").alias("m"))
-    r = F.row_number().over(Window.partitionBy(entity, period).orderBy(F.desc("m"), "term"))
+def shared_terms(df: DataFrame, entity: str, period: str, text_col: str, k: int = 10, low: int = 2, high: int = 4, ident: str | None = None) -> DataFrame:
+    """(ident, entity, period, terms): the ``k`` n-grams that a document shares most with the one before; ties by term."""
+    docs = adjacent(df, entity, period, text_col, ident)
+    paired = docs.where("__before is not null or __serves").select("__doc", "__before", "__serves", text_col)
+    c = written(term_counts(paired, ["__doc", "__before", "__serves"], text_col, low, high))
+    b = c.where("__serves").select(F.col("__doc").alias("__before"), "term", F.col("c").alias("d"))
+    both = c.where("__before is not null").join(b, ["__before", "term"]).select("__doc", "term", F.least("c", "d").alias("m"))
+    r = F.row_number().over(Window.partitionBy("__doc").orderBy(F.desc("m"), "term"))
     top = both.withColumn("r", r).where(F.col("r") <= k)
-    return top.groupBy(entity, period).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), " ").alias("terms"))
+    terms = top.groupBy("__doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), " ").alias("terms"))
+    return docs.join(terms, "__doc").select(*([ident] if ident else []), entity, period, "terms")
 
 
 # -- provenance and extraction ---------------------------------------------------------------------

@@ -265,33 +265,61 @@ def text_provenance(spark: SparkSession, d: str) -> DataFrame:
 
 # -- text ------------------------------------------------------------------------------------------
 
-_MERGED = "(SELECT conv_id, CASE WHEN turn >= 3 THEN turn - 1 ELSE turn END AS turn, text FROM conversations)"
+_PERIOD = "CASE WHEN turn >= 3 THEN turn - 1 ELSE turn END"
+_MERGED = f"(SELECT conv_id, {_PERIOD} AS turn, text FROM conversations)"
 _THEMES = {"a": ["the", "and"], "b": ["to"]}
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
     """Turns as documents of periods, where the second has two of them."""
-    turn = F.when(F.col("turn") >= 3, F.col("turn") - 1).otherwise(F.col("turn")).alias("turn")
-    return sources.table(spark, d, "conversations").select("conv_id", turn, "text")
-
-
-@query(f"""WITH t AS (SELECT conv_id, turn, regexp_replace(lower(coalesce(text, '')), '[^一-鿿a-z0-9]', '', 'g') AS x FROM {_MERGED}),
-g AS (SELECT conv_id, turn, substr(x, i, k) AS term FROM (SELECT conv_id, turn, x, k, unnest(range(1, length(x) - k + 2)) AS i FROM (SELECT *, unnest([2, 3, 4]) AS k FROM t) WHERE length(x) >= k)),
-c AS (SELECT conv_id, turn, term, count(*) AS c FROM g GROUP BY ALL), m AS (SELECT conv_id, turn, count(*) AS k FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM m), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= 2),
-w AS (SELECT conv_id, turn, term, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN f USING (term), n),
-u AS (SELECT conv_id, turn, term, w / sqrt(sum(w * w) OVER (PARTITION BY conv_id, turn)) AS w FROM w),
-h AS (SELECT DISTINCT conv_id, turn FROM u), p AS (SELECT a.conv_id, a.turn, least(greatest(sum(a.w * b.w), 0), 1) AS s FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 AND a.term = b.term GROUP BY 1, 2)
-SELECT m.conv_id, m.turn, round(CASE WHEN m.k = 1 AND b.k = 1 AND h.turn IS NOT NULL AND k.turn IS NOT NULL THEN coalesce(s, 0) END, 6) AS continuity
-FROM m LEFT JOIN m b ON m.conv_id = b.conv_id AND m.turn = b.turn + 1 LEFT JOIN h ON m.conv_id = h.conv_id AND m.turn = h.turn LEFT JOIN h k ON m.conv_id = k.conv_id AND m.turn = k.turn + 1 LEFT JOIN p ON m.conv_id = p.conv_id AND m.turn = p.turn""")
+    key = F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("s")).alias("key")
+    return sources.table(spark, d, "conversations").select("conv_id", F.expr(_PERIOD).alias("turn"), "text", key)
+
+
+# Written from the rule: a row is a document; it has a value if the entity has exactly one row in the period before, the
+# cosine of the two rows' vectors over all rows' terms, or over the rows up to its own period.
+_DOCS = f"""t AS (SELECT conv_id, said, turn, regexp_replace(lower(coalesce(text, '')), '[^一-鿿a-z0-9]', '', 'g') AS x, text FROM (SELECT conv_id, turn AS said, {_PERIOD} AS turn, text FROM conversations)),
+g AS (SELECT conv_id, said, turn, substr(x, i, k) AS term FROM (SELECT conv_id, said, turn, x, k, unnest(range(1, length(x) - k + 2)) AS i FROM (SELECT *, unnest([2, 3, 4]) AS k FROM t) WHERE length(x) >= k)),
+c AS (SELECT conv_id, said, turn, term, count(*) AS c FROM g GROUP BY ALL),
+pairs AS (SELECT a.conv_id, a.said, a.turn, (SELECT min(b.said) FROM t b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1 HAVING count(*) = 1) AS before FROM t a)"""
+
+
+@query(f"""WITH {_DOCS}, f AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+v AS (SELECT conv_id, said, term, (1 + ln(c)) * (ln((1 + (SELECT count(*) FROM t)) / (1 + df)) + 1) AS w FROM c JOIN f USING (term) WHERE df >= 2),
+l AS (SELECT conv_id, said, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1, 2),
+s AS (SELECT p.conv_id, p.said, sum(a.w * b.w) AS dot FROM pairs p JOIN v a ON a.conv_id = p.conv_id AND a.said = p.said JOIN v b ON b.conv_id = p.conv_id AND b.said = p.before AND b.term = a.term GROUP BY 1, 2)
+SELECT p.conv_id, p.said, p.turn, round(CASE WHEN a.norm IS NOT NULL AND b.norm IS NOT NULL THEN least(greatest(coalesce(dot, 0) / a.norm / b.norm, 0), 1) END, 6) AS continuity
+FROM pairs p LEFT JOIN l a ON a.conv_id = p.conv_id AND a.said = p.said LEFT JOIN l b ON b.conv_id = p.conv_id AND b.said = p.before LEFT JOIN s ON s.conv_id = p.conv_id AND s.said = p.said""")
 def repeated_turn_continuity(spark: SparkSession, d: str) -> DataFrame:
-    """Periods of two documents have no value, and none has the period after them."""
-    return text.continuity(_merged(spark, d), "conv_id", "turn", "text").withColumn("continuity", r("continuity"))
+    """Each document has its own value where the period before has exactly one, also where its own period has two."""
+    return text.continuity(_merged(spark, d), "conv_id", "turn", "text", ident="key").select(F.col("key.c").alias("conv_id"), F.col("key.s").alias("said"), "turn", r("continuity").alias("continuity"))
+
+
+@query(f"""WITH {_DOCS}, y AS (SELECT DISTINCT turn AS as_of FROM t), n AS (SELECT as_of, count(*) AS n FROM y JOIN t ON t.turn <= as_of GROUP BY 1),
+f AS (SELECT as_of, term, count(*) AS df FROM y JOIN c ON c.turn <= as_of GROUP BY 1, 2),
+v AS (SELECT conv_id, said, as_of, term, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN f USING (term) JOIN n USING (as_of) WHERE df >= 2 AND as_of BETWEEN c.turn AND c.turn + 1),
+l AS (SELECT conv_id, said, as_of, sqrt(sum(w * w)) AS norm FROM v GROUP BY ALL),
+s AS (SELECT p.conv_id, p.said, sum(a.w * b.w) AS dot FROM pairs p JOIN v a ON a.conv_id = p.conv_id AND a.said = p.said AND a.as_of = p.turn JOIN v b ON b.conv_id = p.conv_id AND b.said = p.before AND b.as_of = p.turn AND b.term = a.term GROUP BY 1, 2)
+SELECT p.conv_id, p.said, p.turn, round(CASE WHEN a.norm IS NOT NULL AND b.norm IS NOT NULL THEN least(greatest(coalesce(dot, 0) / a.norm / b.norm, 0), 1) END, 6) AS continuity_expanding
+FROM pairs p LEFT JOIN l a ON a.conv_id = p.conv_id AND a.said = p.said AND a.as_of = p.turn LEFT JOIN l b ON b.conv_id = p.conv_id AND b.said = p.before AND b.as_of = p.turn LEFT JOIN s ON s.conv_id = p.conv_id AND s.said = p.said""")
+def repeated_turn_continuity_expanding(spark: SparkSession, d: str) -> DataFrame:
+    out = text.expanding_continuity(_merged(spark, d), "conv_id", "turn", "text", ident="key")
+    return out.select(F.col("key.c").alias("conv_id"), F.col("key.s").alias("said"), "turn", r("continuity_expanding").alias("continuity_expanding"))
 
 
 def _count(term: str) -> str:
     return f"(length(text) - length(replace(text, '{term}', ''))) / {len(term)}"
 
 
+@query(f"""WITH t AS (SELECT conv_id, turn AS said, {_PERIOD} AS turn, text FROM conversations), v AS (SELECT conv_id, said, turn, {_count("the")} + {_count("and")} AS a, {_count("to")} AS b FROM t),
+b AS (SELECT conv_id, turn, min(a) AS a, min(b) AS b FROM v GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT v.conv_id, v.said, v.turn, round(CASE WHEN v.a + v.b > 0 AND b.a + b.b > 0 THEN least(greatest((v.a * b.a + v.b * b.b) / sqrt(v.a * v.a + v.b * v.b) / sqrt(b.a * b.a + b.b * b.b), 0), 1) END, 6) AS continuity_theme
+FROM v LEFT JOIN b ON v.conv_id = b.conv_id AND v.turn = b.turn + 1""")
+def repeated_theme_turns(spark: SparkSession, d: str) -> DataFrame:
+    out = text.theme_continuity(_merged(spark, d), "conv_id", "turn", "text", _THEMES, ident="key")
+    return out.select(F.col("key.c").alias("conv_id"), F.col("key.s").alias("said"), "turn", r("continuity_theme").alias("continuity_theme"))
+
+
 @query(f"""WITH v AS (SELECT conv_id, turn, {_count("the")} + {_count("and")} AS a, {_count("to")} AS b FROM conversations)
 SELECT v.conv_id, v.turn, round(CASE WHEN v.a + v.b > 0 AND p.a + p.b > 0 THEN least(greatest((v.a * p.a + v.b * p.b) / sqrt(v.a * v.a + v.b * v.b) / sqrt(p.a * p.a + p.b * p.b), 0), 1) END, 6) AS continuity_theme
 FROM v LEFT JOIN v p ON v.conv_id = p.conv_id AND v.turn = p.turn + 1""")
