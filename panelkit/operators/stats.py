@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from panelkit.contracts import ContractError
 
+#: Equal weights for all clusters give the data's own t again, but for rounding.
+_TIE = 1e-9
+
 #: The six points of Webb's distribution. Fixed values.
 WEBB = (-math.sqrt(1.5), -1.0, -math.sqrt(0.5), math.sqrt(0.5), 1.0, math.sqrt(1.5))
 
@@ -85,6 +88,7 @@ class Fit:
     clusters: int
     within_r2: float
     betas: dict[str, float] = field(default_factory=dict)
+    dof: float = math.nan
 
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
@@ -146,7 +150,7 @@ def fit(g: Gram, count_dummies: bool = True) -> Fit:
     years = [i for i, x in enumerate(g.names) if x.startswith("__y")]
     base = g.yy.sum() - (xy[years] @ np.linalg.pinv(xx[np.ix_(years, years)]) @ xy[years] if years else 0.0)
     rss = g.yy.sum() - xy @ b
-    return Fit(float(b[0]), se, p, float(b[0]) - half, float(b[0]) + half, g.n, g.entities, n_g, float(1 - rss / base) if base else math.nan, dict(zip(g.names, b.tolist(), strict=True)))
+    return Fit(float(b[0]), se, p, float(b[0]) - half, float(b[0]) + half, g.n, g.entities, n_g, float(1 - rss / base) if base else math.nan, dict(zip(g.names, b.tolist(), strict=True)), float(dof))
 
 
 def dropped(g: Gram, cluster: str) -> Gram:
@@ -203,36 +207,159 @@ def wild_bootstrap(spark: SparkSession, g: Gram, value: float = 0.0, reps: int =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             _, s = _bootstrap_t(g, value, cluster_weights(b["id"].to_numpy(), len(g.clusters), seed, webb))
-            yield pd.DataFrame({"below": [int((s <= t).sum())], "above": [int((s >= t).sum())], "n": [len(s)]})
+            yield pd.DataFrame({"below": [int((s <= t + _TIE).sum())], "above": [int((s >= t - _TIE).sum())], "n": [len(s)]})
 
     r = spark.range(reps).mapInPandas(run, "below long, above long, n long").agg(F.sum("below"), F.sum("above"), F.sum("n")).first()
     return t, min(1.0, 2 * min(r[0], r[1]) / r[2])
 
 
-def bootstrap_interval(g: Gram, reps: int = 999, seed: int = 0, level: float = 0.95, webb: bool = True) -> tuple[float, float]:
-    """The values whose null isn't rejected: both ends by bisection outward from the estimate."""
-    w = cluster_weights(np.arange(reps), len(g.clusters), seed, webb)
-    f = fit(g)
-
-    def p(value: float) -> float:
-        t, s = _bootstrap_t(g, value, w)
-        return min(1.0, 2 * min((s <= t).mean(), (s >= t).mean()))
-
-    ends = []
-    for sign in (-1, 1):
-        step = 2 * f.se or 1.0
-        outside = f.beta + sign * step
-        for _ in range(20):
-            if p(outside) <= 1 - level:
-                break
-            step *= 2
-            outside = f.beta + sign * step
-        inside = f.beta
-        for _ in range(40):
-            mid = (inside + outside) / 2
-            inside, outside = (mid, outside) if p(mid) > 1 - level else (inside, mid)
-        ends.append((inside + outside) / 2)
-    return ends[0], ends[1]
+@dataclass
+class PFunction:
+    """The bootstrap's p-value as a function of the tested value: steps between the places where some repetition's t crosses the data's."""
+
+    breaks: np.ndarray
+    below: np.ndarray
+    above: np.ndarray
+    reps: int
+
+    def __call__(self, value: float) -> float:
+        i = int(np.searchsorted(self.breaks, value, "right"))
+        return min(1.0, 2 * min(int(self.below[i]), int(self.above[i])) / self.reps)
+
+    def interval(self, estimate: float, level: float = 0.95) -> tuple[float, float]:
+        """The values around ``estimate`` that are not rejected: to the first step on each side where they are; infinite without one."""
+        rejected = 2 * np.minimum(self.below, self.above) / self.reps <= 1 - level
+        at = int(np.searchsorted(self.breaks, estimate, "right"))
+        left = np.flatnonzero(rejected[: at + 1])
+        right = np.flatnonzero(rejected[at:])
+        low = float(self.breaks[left[-1]]) if len(left) and left[-1] < at else -math.inf
+        high = float(self.breaks[at + right[0] - 1]) if len(right) and right[0] > 0 else math.inf
+        return (math.nan, math.nan) if rejected[at] else (low, high)
+
+
+def _t_lines(g: Gram, weights: np.ndarray) -> np.ndarray:
+    """(a, b, q0, q1, q2) of each repetition: its t against a tested value v is (a + b v) / sqrt(q0 + q1 v + q2 v^2).
+
+    The restricted scores are linear in the tested value, so the repetition's coefficient and its clusters' scores are too.
+    """
+    inv = np.linalg.pinv(g.xx.sum(0))
+    at_zero = g.xy - g.xx @ _restricted(g, 0.0)
+    slope = g.xy - g.xx @ _restricted(g, 1.0) - at_zero
+    hat = np.einsum("j,gjk->gk", inv[0], g.xx)
+
+    def moved(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first coefficient's move, and each cluster's score in its direction, by repetition."""
+        d = (weights @ u) @ inv
+        return d[:, 0], weights * (u @ inv[0]) - d @ hat.T
+
+    (a, e), (b, f) = moved(at_zero), moved(slope)
+    return np.stack([a, b, (e * e).sum(1), 2 * (e * f).sum(1), (f * f).sum(1)], 1)
+
+
+def _crossings(lines: np.ndarray, estimate: float, se: float) -> PFunction:
+    """Where each repetition's t crosses (estimate - v) / se: real roots of a polynomial of degree four, and the signs between them."""
+    a, b, q0, q1, q2 = lines.T
+    t = estimate
+    # (a + b v)^2 se^2 = (t - v)^2 (q0 + q1 v + q2 v^2), from v^4 down.
+    c = np.stack([-q2, 2 * t * q2 - q1, b * b * se**2 - q0 + 2 * t * q1 - t * t * q2, 2 * a * b * se**2 + 2 * t * q0 - t * t * q1, a * a * se**2 - t * t * q0], 1)
+    breaks: list[float] = []
+    steps: list[tuple[int, int]] = []
+    start = np.zeros(2, np.int64)
+
+    def signs(line: np.ndarray, v: float) -> tuple[int, int]:
+        q = line[2] + line[3] * v + line[4] * v * v
+        star = (line[0] + line[1] * v) / math.sqrt(q) if q > 0 else 0.0
+        own = (t - v) / se
+        return int(star <= own), int(star >= own)
+
+    size = np.abs(np.stack([q2, b * b * se**2, a * a * se**2, q0, t * q1, t * t * q2])).max(0)
+    for line, poly, most in zip(lines, c, size, strict=True):
+        if (np.abs(poly) <= _TIE * most).all():
+            # The data's own t for every value, or the same with the other sign.
+            spots = [signs(line, t - se), signs(line, t + se)]
+            if line[0] + line[1] * (t - se) > 0:
+                start += 1
+            else:
+                start += spots[0]
+                breaks.append(t)
+                steps.append((spots[1][0] - spots[0][0], spots[1][1] - spots[0][1]))
+            continue
+        roots = np.roots(poly)
+        real = np.sort(roots[np.abs(roots.imag) <= 1e-9 * (1 + np.abs(roots.real))].real)
+        spots = [real[0] - 1 - abs(real[0]), *((real[1:] + real[:-1]) / 2), real[-1] + 1 + abs(real[-1])] if len(real) else [t]
+        found = [signs(line, v) for v in spots]
+        start += found[0]
+        for v, x, y in zip(real, found[:-1], found[1:], strict=True):
+            if x != y:
+                breaks.append(v)
+                steps.append((y[0] - x[0], y[1] - x[1]))
+    order = np.argsort(breaks)
+    moves = np.concatenate([start[None], np.array(steps, np.int64).reshape(-1, 2)[order]])
+    below, above = np.cumsum(moves, 0).T
+    return PFunction(np.array(breaks)[order], below, above, len(lines))
+
+
+def bootstrap_p_function(spark: SparkSession, g: Gram, reps: int = 999, seed: int = 0, webb: bool = True) -> PFunction:
+    """The wild cluster bootstrap's p-value for every tested value, from one job.
+
+    A repetition is five numbers whatever value is tested: what reaches the driver is bounded by ``reps``.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(_t_lines(g, cluster_weights(b["id"].to_numpy(), len(g.clusters), seed, webb)), columns=list("abcde"))
+
+    found = spark.range(reps).mapInPandas(run, "a double, b double, c double, d double, e double").collect()
+    inv = np.linalg.pinv(g.xx.sum(0))
+    coef = inv @ g.xy.sum(0)
+    scores = (g.xy - g.xx @ coef) @ inv[0]
+    return _crossings(np.array([tuple(r) for r in found]), float(coef[0]), float(np.sqrt(scores @ scores)))
+
+
+def bootstrap_interval(spark: SparkSession, g: Gram, reps: int = 999, seed: int = 0, level: float = 0.95, webb: bool = True) -> tuple[float, float]:
+    """The values whose null isn't rejected, around the estimate: the inverted bootstrap test, in one job."""
+    return bootstrap_p_function(spark, g, reps, seed, webb).interval(fit(g).beta, level)
+
+
+def _root(symmetric: np.ndarray, power: float) -> np.ndarray:
+    """A power of a positive semidefinite matrix, by its eigenvalues; what is zero stays zero."""
+    values, vectors = np.linalg.eigh(symmetric)
+    good = values > 1e-10 * max(values.max(initial=0), 1e-300)
+    return (vectors[:, good] * values[good] ** power) @ vectors[:, good].T
+
+
+def fit_hc2(g: Gram, level: float = 0.95) -> Fit:
+    """``fit`` with cluster HC2 errors and Satterthwaite's degrees of freedom, after Bell and McCaffrey.
+
+    Each cluster's residuals are divided by the root of I - H of its own rows. With M the inverse of all cross products and
+    S those of a cluster, X' (I - X M X')^(-1/2) is (I - S M)^(-1/2) X', so a k * k matrix a cluster is enough, and rows are
+    not needed; entity effects lie inside clusters and in none of the demeaned columns, so they change nothing. A direction
+    that one cluster alone determines has no residual and is left out of the root. The degrees of freedom are those of the
+    chi-square whose mean and variance the error's square has under equal independent errors.
+    """
+    base = fit(g)
+    m = np.linalg.pinv(g.xx.sum(0))
+    half, back = _root(m, 0.5), _root(m, -0.5)
+    b = m @ g.xy.sum(0)
+    scores, p, own = [], [], []
+    for s, u in zip(g.xx, g.xy - g.xx @ b, strict=True):
+        inner = np.eye(len(m)) - half @ s @ half
+        scores.append(m[0] @ (back @ _root(inner, -0.5) @ half) @ u)
+        p.append(back @ _root(inner, -0.5) @ half @ s @ m[:, 0])
+        own.append(m[0] @ (back @ _root(inner, -1.0) @ half) @ s @ m[:, 0])
+    se = math.sqrt(float(np.sum(np.square(scores))))
+    cross = np.diag(own) - np.array(p) @ m @ np.array(p).T
+    dof = float(np.trace(cross) ** 2 / np.sum(cross * cross))
+    pv = t_p_value(b[0] / se, dof) if se > 0 else math.nan
+    width = t_quantile(1 - level, dof) * se if se > 0 else math.nan
+    return replace(base, beta=float(b[0]), se=se, p=pv, low=float(b[0]) - width, high=float(b[0]) + width, dof=dof)
+
+
+def lagged_regressors(df: DataFrame, entity: str, period: str, columns: list[str], suffix: str = "_lag") -> DataFrame:
+    """``df`` with ``columns`` of the entity's one row of the period before: null in a first period and after a gap."""
+    from panelkit.operators.panel import previous
+
+    return previous(df, entity, period, columns, suffix)
 
 
 def models(df: DataFrame, specs: list[dict], entity: str, year: str, cluster: str) -> DataFrame:
@@ -242,7 +369,7 @@ def models(df: DataFrame, specs: list[dict], entity: str, year: str, cluster: st
     """
     rows = []
     for s in specs:
-        part = df.where(s["where"]) if s.get("where") else df
+        part = df.where(s["where"]) if s.get("where") is not None else df
         f = fit(gram(part, s["outcome"], [s["policy"], *s.get("controls", [])], entity, year, cluster))
         rows.append((s["model"], *map(float, (f.beta, f.se, f.p, f.low, f.high)), f.n, f.entities, f.clusters, float(f.within_r2)))
     return df.sparkSession.createDataFrame(rows, "model string, beta double, se double, p double, low double, high double, n long, entities long, clusters long, within_r2 double")
