@@ -1,6 +1,9 @@
 """Readers and writers on files of a temporary folder; streams give what the same rows give as a batch."""
 
+import datetime
 import json
+import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -69,14 +72,69 @@ def _events(spark):
 def test_upsert_keeps_the_latest_row_of_each_key(spark, tmp_path):
     events = _events(spark)
     stream = _stream(spark, tmp_path, events)
-    streaming.upsert_latest(stream, f"{tmp_path}/out", ["user_id"], "event_id", f"{tmp_path}/cp").awaitTermination()
-    v = streaming.latest_version(spark, f"{tmp_path}/out")
-    got = spark.read.parquet(f"{tmp_path}/out/v={v}")
+    streaming.upsert_latest(stream, f"{tmp_path}/out", ["user_id"], "event_id", f"{tmp_path}/cp", 8).awaitTermination()
+    assert streaming.latest_version(spark, f"{tmp_path}/out") == 2
+    got = streaming.read_latest(spark, f"{tmp_path}/out")
+    assert got.columns == events.columns
     want = events.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    assert v == 2
     assert sorted(tuple(r) for r in got.select("user_id", "event_id").collect()) == sorted(tuple(r) for r in want.collect())
 
 
+def _files(path):
+    return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet") and "manifest" not in d}
+
+
+def test_an_upsert_writes_the_buckets_of_its_batch(spark, tmp_path):
+    """After a first large batch one key changes: one bucket is written again, and the old version of it goes two batches later."""
+    rows = spark.range(4000).select("id", F.lit(0).alias("stamp"), F.repeat(F.lit("x"), 200).alias("pad"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    run = lambda: streaming.upsert_latest(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", ["id"], "stamp", f"{tmp_path}/cp", 16).awaitTermination()
+    run()
+    first = _files(f"{tmp_path}/out")
+    for k in (1, 2):
+        spark.createDataFrame([(7, k, "new")], rows.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run()
+        now = _files(f"{tmp_path}/out")
+        fresh = [f for f in now if f not in first and f"v={k}" in f]
+        assert len({os.path.dirname(f) for f in fresh}) == 1
+        assert sum(now[f] for f in fresh) < 0.3 * sum(first.values())
+    got = streaming.read_latest(spark, f"{tmp_path}/out", rows.schema)
+    assert got.count() == 4000 and got.where("id = 7").select("stamp", "pad").first() == (2, "new")
+    gone = [f for f in first if not os.path.exists(f)]
+    assert gone and len({os.path.dirname(f) for f in gone}) == 1
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    """The last batch's commit is taken away, as if the driver had died before it: the restart writes the same table."""
+    events = _events(spark)
+    stream = _stream(spark, tmp_path, events)
+    streaming.upsert_latest(stream, f"{tmp_path}/out", ["user_id"], "event_id", f"{tmp_path}/cp", 8).awaitTermination()
+    want = sorted(map(str, streaming.read_latest(spark, f"{tmp_path}/out").collect()))
+    for f in (f"{tmp_path}/cp/commits/2", f"{tmp_path}/cp/commits/.2.crc"):
+        os.remove(f)
+    again = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    streaming.upsert_latest(again, f"{tmp_path}/out", ["user_id"], "event_id", f"{tmp_path}/cp", 8).awaitTermination()
+    assert streaming.latest_version(spark, f"{tmp_path}/out") == 2
+    assert sorted(map(str, streaming.read_latest(spark, f"{tmp_path}/out").collect())) == want
+
+
+def test_late_rows_are_compared_in_the_order_of_time(spark, tmp_path):
+    """Batches of shuffled rows, none an hour late, give what the batch operator gives of all rows the watermark passed."""
+    rng = random.Random(1)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(f"e{i % 5}", start + datetime.timedelta(minutes=i), rng.choice([None, "x", "y", "z"])) for i in range(600)]
+    order = sorted(range(600), key=lambda i: i + rng.uniform(0, 55))
+    df = spark.createDataFrame([rows[i] for i in order] + [("end", start + datetime.timedelta(days=2), "x")], "entity string, at timestamp, value string")
+    parts = [[rows[i] for i in order[k : k + 60]] for k in range(0, 600, 60)] + [[("end", start + datetime.timedelta(days=2), "x")]]
+    for part in parts:
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = streaming.ordered_changes(stream, "entity", "at", "value", "1 hour")
+    found.writeStream.format("memory").queryName("ordered").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    want = streaming.value_changes(df, "entity", "at", "value")
+    assert sorted(map(tuple, spark.table("ordered").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_windowed_counts_equal_the_batch(spark, tmp_path):
     events = _events(spark)
     counts = streaming.outcome_counts(_stream(spark, tmp_path, events), "ts", "event_type", "1 hour", "60 days")
