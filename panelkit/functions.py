@@ -232,12 +232,3 @@ def title_year(title: Column, full_pattern: str, summary_pattern: str) -> Column
     y = F.regexp_extract(title, r"((?:19|20)[0-9]{2})", 1).try_cast("int")
     kind = F.when(title.rlike(summary_pattern), F.lit("summary")).when(title.rlike(full_pattern), F.lit("full"))
     return F.struct(F.when(kind.isNotNull(), y).alias("year"), kind.alias("kind"))
-
-
-def prefix_class(x: Column, prefixes: dict[str, str]) -> Column:
-    """The class of the longest prefix of a text."""
-    t = F.regexp_replace(x, r"[\s\"']", "")
-    out = F.lit(None).cast("string")
-    for p, label in sorted(prefixes.items(), key=lambda kv: len(kv[0])):
-        out = F.when(t.startswith(p), F.lit(label)).otherwise(out)
-    return out

@@ -370,3 +370,24 @@ def frozen_manifest(df: DataFrame, universe: DataFrame, key: list[str], counts:
 
 def ranked_names(names: DataFrame, entity: str, order: list[str]) -> DataFrame:
     return names.withColumn("rank", F.row_number().over(Window.partitionBy(entity).orderBy(*order)))
+
+
+# -- prefixes --------------------------------------------------------------------------------------
+
+
+def longest_prefix(df: DataFrame, text: str, prefixes: DataFrame, name: str = "label") -> DataFrame:
+    """``df`` with the label of the first class of ``prefixes`` (prefix, label, class) that has a prefix of the text, of its longest; null without one.
+
+    Classes go in ascending order; of one prefix with several labels the least counts. Blanks and leading quotes of the text don't
+    count. Every distinct text is cut at each length that a prefix has, which is bounded by the longest prefix, and joined by equality,
+    so neither side is compared with all of the other, and a text that a third of the rows share is looked up once.
+    """
+    known = prefixes.where(F.length("prefix") > 0).groupBy("prefix").agg(F.min(F.struct(F.col("class").alias("c"), F.col("label").alias("l"))).alias("__k"))
+    lengths = known.agg(F.sort_array(F.collect_set(F.length("prefix"))).alias("__lengths"))  # one row
+    texts = df.select(F.col(text).alias("__text")).where("__text is not null").distinct()
+    plain = F.regexp_replace(F.regexp_replace("__text", r"\s+", ""), "^[\u201c\u201d\u2018\u2019\"']+", "")
+    cuts = texts.join(F.broadcast(lengths)).select("__text", plain.alias("__p"), F.explode("__lengths").alias("__n")).where(F.length("__p") >= F.col("__n"))
+    cuts = cuts.select("__text", "__n", F.expr("left(__p, __n)").alias("prefix"))
+    best = cuts.join(known, "prefix").groupBy("__text").agg(F.min(F.struct("__k.c", -F.col("__n"), "__k.l")).alias("__best"))
+    best = best.select("__text", F.col("__best.l").alias(name))
+    return df.join(best, df[text].eqNullSafe(best["__text"]), "left").drop("__text")

@@ -5,8 +5,11 @@ Vectors are long rows (document, term, weight), never a matrix; only adjacent do
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import reduce
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,65 +28,136 @@ from panelkit.sources import written
 SKIPPED = frozenset(("script", "style", "noscript", "nav", "footer", "form"))
 BLOCKS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "li"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+#: Classes of elements that hold a page's content. Fixed values.
+CONTAINERS = "TRS_.*EDITOR|main_inner|article|content|正文|文章|detail"
+#: Beginnings of lines that belong to the site and not to its text. Fixed values.
+BOILERPLATE = ("责任编辑", "扫一扫", "网站地图", "主办单位", "版权所有", "备案号", "打印", "字体", "分享", "收藏", "关闭", "首页", "当前位置")
 
 
 class _Page(HTMLParser):
-    """Collects block texts, and all text, outside skipped elements."""
+    """Texts of a page in order, and which of them each block and each container spans.
 
-    def __init__(self) -> None:
+    An element lasts to its end tag or to that of one around it, so spans nest as elements do; a text inside a block inside
+    another block belongs to both.
+    """
+
+    def __init__(self, containers: re.Pattern, tags: frozenset[str]) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip, self.blocks, self.all, self.now = 0, [], [], None
+        self.containers, self.tags = containers, tags
+        self.texts: list[str] = []
+        self.open: list[tuple] = []  # tag, first text, number, whether it holds content, whether it is skipped
+        self.blocks: list[tuple[int, int, int]] = []  # number, first text, end
+        self.held: list[tuple[int, int, int]] = []
+        self.seen = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SKIPPED:
-            self.skip += 1
-        elif tag in BLOCKS:
-            self._end()
-            self.now = []
+        if tag in VOID:
+            return
+        skipped = tag in SKIPPED or bool(self.open and self.open[-1][4])
+        holds = tag in self.tags or bool(self.containers.search(dict(attrs).get("class") or ""))
+        self.open.append((tag, len(self.texts), self.seen, holds, skipped))
+        self.seen += 1
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED and self.skip:
-            self.skip -= 1
-        elif tag in BLOCKS:
-            self._end()
+        if any(e[0] == tag for e in self.open):
+            while self._end() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.all.append(data)
-            if self.now is not None:
-                self.now.append(data)
+        if data.strip() and not (self.open and self.open[-1][4]):
+            self.texts.append(data.strip())
+
+    def close(self) -> None:
+        super().close()
+        while self.open:
+            self._end()
+
+    def _end(self) -> str:
+        tag, first, number, holds, skipped = self.open.pop()
+        if not skipped:
+            span = (number, first, len(self.texts))
+            if tag in BLOCKS:
+                self.blocks.append(span)
+            if holds:
+                self.held.append(span)
+        return tag
+
+
+def normal_lines(text: str, boilerplate: tuple[str, ...] = BOILERPLATE) -> str:
+    """NFKC, entities resolved, control characters out, blanks squeezed; empty lines and those that begin with boilerplate left out."""
+    t = unicodedata.normalize("NFKC", unescape(text)).replace("\r\n", "\n").replace("\r", "\n")
+    t = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", t)
+    lines = [re.sub(r"[ \t\f\v]+", " ", line).strip() for line in t.split("\n")]
+    return "\n".join(x for x in lines if x and not x.startswith(boilerplate))
 
-    def _end(self) -> None:
-        if self.now:
-            self.blocks.append(" ".join("".join(self.now).split()))
-        self.now = None
 
+def page_text(markup: str | None, containers: str = CONTAINERS, tags: frozenset[str] = frozenset(), boilerplate: tuple[str, ...] = BOILERPLATE) -> str | None:
+    """The readable text of a page: blocks of its longest content container by line.
 
-def page_text(markup: str | None) -> str | None:
-    """Block texts by line; all text if the blocks hold less than half of it."""
+    Containers are elements with a class that ``containers`` finds, in any case, or one of ``tags``; of equally long ones the first;
+    without one, the page. All text of the container if its blocks hold less than half of it, all of the page if it has none.
+    """
     if markup is None:
         return None
-    p = _Page()
+    p = _Page(re.compile(containers, re.I), tags)
     p.feed(markup)
     p.close()
-    p._end()
-    blocks = [b for b in p.blocks if b]
-    everything = [t for t in (" ".join(x.split()) for x in p.all) if t]
-    chosen = blocks if 2 * sum(map(len, blocks)) >= sum(map(len, everything)) else everything
-    return "\n".join(chosen)
+    number, first, end = max(sorted(p.held), key=lambda c: len(" ".join(p.texts[c[1] : c[2]])), default=(-1, 0, len(p.texts)))
+    blocks = [" ".join(p.texts[s:e]) for n, s, e in sorted(p.blocks) if n > number and first <= s and e <= end and s < e]
+    chosen = normal_lines("\n\n".join(blocks), boilerplate)
+    whole = normal_lines("\n".join(p.texts[first:end]), boilerplate)
+    if not blocks or 2 * len(chosen) < len(whole):
+        chosen = whole
+    return chosen or normal_lines("\n".join(p.texts), boilerplate)
 
 
-def clean_pages(df: DataFrame, html_col: str, out: str = "text") -> DataFrame:
-    """``df`` with the readable text of each page: an Arrow UDF around the standard library's parser."""
+def clean_pages(df: DataFrame, html_col: str, out: str = "text", containers: str = CONTAINERS, tags: tuple[str, ...] = (), boilerplate: tuple[str, ...] = BOILERPLATE) -> DataFrame:
+    """``df`` with the readable text of each page, see ``page_text``: an Arrow UDF around the standard library's parser."""
 
     @F.pandas_udf("string")
     def cleaned(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in pages:
-            yield x.map(page_text).astype(object)
+            yield x.map(lambda t: page_text(t, containers, frozenset(tags), boilerplate)).astype(object)
 
     return df.withColumn(out, cleaned(F.col(html_col)))
 
 
+def decoded_page(payload: bytes, content_type: str | None = None) -> tuple[str, str, str]:
+    """(text, encoding, status): by the charset of the content type, of the page's head, UTF-8 or GB18030, the first that fits; else UTF-8 with replacements and a warning."""
+    asked = [re.search(r"charset=([\w-]+)", content_type or "", re.I), re.search(r"charset\s*=\s*[\"']?([\w-]+)", payload[:4096].decode("ascii", "replace"), re.I)]
+    for name in dict.fromkeys([*(m.group(1).lower() for m in asked if m), "utf-8", "gb18030"]):
+        try:
+            return payload.decode(name), name, "ok"
+        except (UnicodeDecodeError, LookupError):
+            continue
+    return payload.decode("utf-8", "replace"), "utf-8", "warning"
+
+
+def page_corpus(df: DataFrame, payload: str, core: list[str], context: list[str], content_type: str | None = None, containers: str = CONTAINERS, tags: tuple[str, ...] = (), short_full: int = 500, short_kept: int = 80, high_share: float = 0.95) -> DataFrame:
+    """``df`` without its bytes, with full_text, kept_text, their lengths and share, hits, encoding, decode_status and quality_flags.
+
+    One pass from the bytes of a page to a row of the corpus: decoded, cleaned, paragraphs with a core term kept, hits counted,
+    flags set. Decoding and parsing are one Arrow UDF, the rest built-in functions; nothing is shuffled. A null payload is an empty text.
+    """
+
+    @F.pandas_udf("struct<text:string,encoding:string,status:string>")
+    def read(payloads: pd.Series, types: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, kind in zip(payloads, types, strict=True):
+            t, encoding, status = decoded_page(x or b"", kind)
+            rows.append((page_text(t, containers, frozenset(tags)), encoding, status))
+        return pd.DataFrame(rows, columns=["text", "encoding", "status"], dtype=object)
+
+    kind = F.col(content_type) if content_type else F.lit(None).cast("string")
+    rows = df.withColumn("__r", read(F.col(payload), kind)).drop(payload)
+    rows = rows.select(*[c for c in rows.columns if c != "__r"], F.col("__r.text").alias("full_text"), F.col("__r.encoding").alias("encoding"), F.col("__r.status").alias("decode_status"))
+    out = keyword_paragraphs(rows, "full_text", core, context)
+    full, kept = F.length("full_text"), F.length("kept_text")
+    out = out.withColumns({"full_chars": full, "kept_chars": kept, "kept_share": F.when(full > 0, kept / full).otherwise(0.0), "hits": F.col("core_hits") + F.col("context_hits")})
+    flags = {"empty_text": F.col("full_chars") == 0, "short_text": F.col("full_chars").between(1, short_full - 1), "empty_kept": F.col("kept_chars") == 0, "short_kept": F.col("kept_chars").between(1, short_kept - 1), "high_share": F.col("kept_share") > high_share, "decode_warning": F.col("decode_status") != "ok"}
+    return out.withColumn("quality_flags", fn.flag_list(flags))
+
+
 def clean_pages_by_pattern(df: DataFrame, html_col: str, out: str = "text") -> DataFrame:
     """A JVM-only variant by regular expressions: skipped elements out, tags to blanks, blanks squeezed."""
     x = F.regexp_replace(F.col(html_col), r"(?is)<(script|style|noscript|nav|footer|form)\b.*?</\1\s*>", " ")
@@ -122,7 +196,7 @@ def _hits(text: Column, terms: list[str]) -> Column:
 
 
 def keyword_paragraphs(df: DataFrame, text_col: str, core: list[str], context: list[str]) -> DataFrame:
-    """``df`` with kept_text (paragraphs with a core term), core_hits and context_hits over all paragraphs, and kept_paragraphs.
+    """``df`` with kept_text (paragraphs with a core term, blank lines between), core_hits and context_hits over all paragraphs, and kept_paragraphs.
 
     Higher-order functions inside a row: no shuffle.
     """
@@ -133,7 +207,7 @@ def keyword_paragraphs(df: DataFrame, text_col: str, core: list[str], context: l
     def total(f: str) -> Column:
         return F.aggregate("__p", F.lit(0).cast("long"), lambda a, p: a + p[f])
 
-    return out.withColumns({"kept_text": F.array_join(F.transform(kept, lambda p: p["t"]), "\n"), "core_hits": total("core"), "context_hits": total("context"), "kept_paragraphs": F.size(kept)}).drop("__p")
+    return out.withColumns({"kept_text": F.array_join(F.transform(kept, lambda p: p["t"]), "\n\n"), "core_hits": total("core"), "context_hits": total("context"), "kept_paragraphs": F.size(kept)}).drop("__p")
 
 
 def clean_corpus(df: DataFrame, text_col: str, core: list[str], context: list[str], short_full: int = 500, short_kept: int = 80, high_share: float = 0.95) -> DataFrame:

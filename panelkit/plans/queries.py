@@ -258,11 +258,36 @@ def nation_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return contracts.exact_fingerprint(sources.table(spark, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
 
 
-@query()
+def _fold_sql(names: str) -> str:
+    """Names of each group g in order, one after the other: a batch takes a name if it has under 12 and comes to 240 characters at most."""
+    return f"""WITH RECURSIVE s AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) AS n FROM ({names})),
+f AS (SELECT g, n, v, 1 AS batch, 1 AS items, length(v) AS chars FROM s WHERE n = 1 UNION ALL
+  SELECT s.g, s.n, s.v, CASE WHEN items = 12 OR chars + 4 + length(s.v) > 240 THEN batch + 1 ELSE batch END, CASE WHEN items = 12 OR chars + 4 + length(s.v) > 240 THEN 1 ELSE items + 1 END,
+    CASE WHEN items = 12 OR chars + 4 + length(s.v) > 240 THEN length(s.v) ELSE chars + 4 + length(s.v) END FROM f JOIN s ON s.g = f.g AND s.n = f.n + 1)"""
+
+
+@query(_fold_sql("SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS g, c_name AS v FROM customer") + """
+SELECT g AS "group", CAST(batch AS INTEGER) AS batch, CAST(count(*) AS INTEGER) AS n_items, string_agg(v, ' OR ' ORDER BY v) AS query FROM f GROUP BY 1, 2""")
 def query_batches(spark: SparkSession, d: str) -> DataFrame:
     return sampling.batches(sources.table(spark, d, "customer"), "c_nationkey", "c_name", 12, 240)
 
 
+@query(_fold_sql("SELECT DISTINCT 'all' AS g, c_name AS v FROM customer") + """
+SELECT CAST(batch AS INTEGER) AS batch, CAST(count(*) AS INTEGER) AS n_items, string_agg(v, ' OR ' ORDER BY v) AS query FROM f GROUP BY 1""")
+def name_batches(spark: SparkSession, d: str) -> DataFrame:
+    """All customers' names in one order."""
+    made, _ = sampling.batch_artifacts(sources.table(spark, d, "customer"), "c_custkey", "c_name", 12, 240)
+    return made
+
+
+@query(_fold_sql("SELECT DISTINCT 'all' AS g, p_name AS v FROM part") + """
+SELECT p_partkey, p_name, n_entities, CASE WHEN n_entities > 1 THEN 'collision' ELSE 'unique' END AS attribution, CAST(batch AS INTEGER) AS batch
+FROM part JOIN (SELECT p_name, count(DISTINCT p_partkey) AS n_entities FROM part GROUP BY 1) USING (p_name) JOIN f ON v = p_name""")
+def name_attributions(spark: SparkSession, d: str) -> DataFrame:
+    _, mapped = sampling.batch_artifacts(sources.table(spark, d, "part"), "p_partkey", "p_name", 12, 240)
+    return mapped
+
+
 # -- text ------------------------------------------------------------------------------------------
 
 _GRAMS = """
@@ -305,12 +330,74 @@ def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
     return text.keyword_paragraphs(docs, "text", ["the"], ["and"]).select("doc_id", "core_hits", "context_hits")
 
 
-@query()
+def _page_sql(root: str, after: str) -> str:
+    """Texts of pages from their tags: a block lasts to the end tag that closes it or what is around it, counted by depth."""
+    return rf"""WITH raw AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(html, '<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gs'), '<(?:script|style|nav|footer)>.*?</(?:script|style|nav|footer)>', '', 'gs') AS h FROM pages
+), tokens AS (
+  SELECT page_id, x, i, x LIKE '<%' AS tag FROM (SELECT page_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT page_id, regexp_extract_all(h, '<[^>]*>|[^<]+') AS l FROM raw))
+), placed AS (
+  SELECT *, sum(CASE x WHEN '<p>' THEN 1 WHEN '</p>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth,
+    sum(CASE x WHEN '<article>' THEN 1 WHEN '</article>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS inside FROM tokens
+), t AS (
+  SELECT page_id, i, trim(replace(replace(replace(x, '&amp;', '&'), '&amp', '&'), '&quot;', '"'), E' \n\t') AS v FROM placed WHERE NOT tag AND ({root}) AND trim(x, E' \n\t') <> ''
+), opened AS (
+  SELECT a.page_id, a.i, (SELECT min(b.i) FROM placed b WHERE b.page_id = a.page_id AND b.i > a.i
+    AND (b.x = '</article>' OR a.x = '<h1>' AND b.x = '</h1>' OR a.x = '<p>' AND b.depth < a.depth)) AS e FROM placed a WHERE a.x IN ('<p>', '<h1>')
+), blocks AS (
+  SELECT o.page_id, o.i, string_agg(v, ' ' ORDER BY t.i) AS v FROM opened o JOIN t ON t.page_id = o.page_id AND t.i > o.i AND t.i < o.e GROUP BY 1, 2
+), lines AS (
+  SELECT page_id, 1 AS kind, string_agg(v, chr(10) ORDER BY i) AS v FROM blocks GROUP BY 1 UNION ALL SELECT page_id, 2, string_agg(v, chr(10) ORDER BY i) FROM t GROUP BY 1
+), clean AS (
+  SELECT page_id, kind, array_to_string([y for y in [trim(regexp_replace(z, '[ \t]+', ' ', 'g')) for z in string_split(v, chr(10))] if y <> ''], chr(10)) AS v FROM lines
+), texts AS (
+  SELECT page_id, url, CASE WHEN a.v IS NULL OR 2 * length(a.v) < length(b.v) THEN coalesce(b.v, '') ELSE a.v END AS text
+  FROM raw LEFT JOIN (SELECT page_id, v FROM clean WHERE kind = 1) a USING (page_id) LEFT JOIN (SELECT page_id, v FROM clean WHERE kind = 2) b USING (page_id)
+) {after}"""
+
+
+@query(_page_sql("true", "SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, length(text) AS chars, sha256(text) AS sha256 FROM texts"))
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
     pages = text.clean_pages(sources.table(spark, d, "pages"), "html")
     return pages.select("page_id", fn.host(F.col("url")).alias("host"), F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
+def _hits_sql(x: str, terms: list[str]) -> str:
+    return " + ".join(f"(length({x}) - length(replace({x}, '{t}', ''))) // {len(t)}" for t in terms)
+
+
+_CORE, _CONTEXT = ["thing", "ation", "eau"], ["and", "der"]
+
+
+@query(_page_sql("inside > 0", f"""SELECT page_id, full_chars, kept_chars, round(CASE WHEN full_chars > 0 THEN kept_chars / full_chars ELSE 0 END, 6) AS kept_share, core_hits, context_hits, kept_paragraphs, sha256(kept) AS kept_sha256, 'ok' AS decode_status,
+  CASE WHEN flags = '' THEN 'ok' ELSE flags END AS quality_flags FROM (
+  SELECT *, concat_ws(';', CASE WHEN full_chars = 0 THEN 'empty_text' WHEN full_chars < 500 THEN 'short_text' END, CASE WHEN kept_chars = 0 THEN 'empty_kept' WHEN kept_chars < 80 THEN 'short_kept' END,
+    CASE WHEN full_chars > 0 AND kept_chars / full_chars > 0.95 THEN 'high_share' END) AS flags FROM (
+  SELECT page_id, length(text) AS full_chars, length(kept) AS kept_chars, kept, {_hits_sql("text", _CORE)} AS core_hits, {_hits_sql("text", _CONTEXT)} AS context_hits, n AS kept_paragraphs FROM (
+  SELECT page_id, text, array_to_string(k, chr(10) || chr(10)) AS kept, CAST(len(k) AS INTEGER) AS n FROM (SELECT page_id, text, [p for p in string_split(text, chr(10)) if {_hits_sql("p", _CORE)} > 0] AS k FROM texts))))"""))
+def page_corpus(spark: SparkSession, d: str) -> DataFrame:
+    pages = sources.table(spark, d, "pages").select("page_id", F.encode("html", "utf-8").alias("payload"))
+    out = text.page_corpus(pages, "payload", _CORE, _CONTEXT, tags=("article",))
+    return out.select("page_id", "full_chars", "kept_chars", r("kept_share").alias("kept_share"), "core_hits", "context_hits", "kept_paragraphs", F.sha2("kept_text", 256).alias("kept_sha256"), "decode_status", "quality_flags")
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS a FROM pages), k AS (
+  SELECT DISTINCT regexp_extract(a, '^[^/?#]+/[^/?#]+', 0) AS prefix, 'section' AS label, 1 AS class FROM p UNION SELECT DISTINCT regexp_extract(a, '^[^/?#]+/', 0), 'site', 2 FROM p UNION SELECT DISTINCT substr(a, 1, 1), substr(a, 1, 1), 3 FROM p),
+q AS (SELECT page_id, a AS address FROM p UNION ALL SELECT page_id + 1000000, substr(a, 1, 9) || ' ' || substr(a, 10, 6) FROM p UNION ALL SELECT page_id + 2000000, '-' || a FROM p)
+SELECT page_id, address, (SELECT label FROM k WHERE prefix <> '' AND starts_with(replace(address, ' ', ''), prefix) ORDER BY class, length(prefix) DESC, label LIMIT 1) AS label FROM q""")
+def address_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Sections before sites before first letters, whatever is longer, of whole addresses, cut ones and others."""
+    p = sources.table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("address"))
+
+    def known(pattern: str, label: Column, rank: int) -> DataFrame:
+        return p.select(F.regexp_extract("address", pattern, 0).alias("prefix"), label.alias("label"), F.lit(rank).alias("class")).distinct()
+
+    prefixes = known("^[^/?#]+/[^/?#]+", F.lit("section"), 1).union(known("^[^/?#]+/", F.lit("site"), 2)).union(known("^.", F.substring("address", 1, 1), 3))
+    cut = p.select((F.col("page_id") + 1_000_000).alias("page_id"), F.concat(F.substring("address", 1, 9), F.lit(" "), F.substring("address", 10, 6)).alias("address"))
+    other = p.select((F.col("page_id") + 2_000_000).alias("page_id"), F.concat(F.lit("-"), "address").alias("address"))
+    return evidence.longest_prefix(p.union(cut).union(other), "address", prefixes)
+
+
 # -- scoring and classes ---------------------------------------------------------------------------
 
 
