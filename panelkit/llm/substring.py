@@ -309,18 +309,32 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return _pack(docs, hot, buckets, window, run, block_bytes).groupBy("bucket").applyInArrow(in_bucket, _MARKS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc, text) with a key that orders documents: the id, or where ids are repeated the place of (id, SHA-256 of the text) among all; null where the id is."""
+    ids = docs.where("doc is not null").groupBy("doc").count().where("count > 1").limit(1)
+    if not ids.count():
+        return docs.withColumn("key", F.col("doc"))
+    order = ["doc", "digest"]
+    docs = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    places = docs.where("doc is not null").select(*order).distinct().repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    # Partitions are ranges in order and sorted, so these numbers ascend over all of them.
+    places = cut(places.withColumn("key", F.monotonically_increasing_id()))
+    return docs.join(places, order, "left").select("doc", "text", "key")
+
+
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, run: int = 4, **sizes: int) -> DataFrame:
     """(id, text, n_words, n_removed): each row of ``df`` with its kept words, joined by one blank.
 
     A word goes when some window over it also starts earlier in the input. A null text stays null, with
-    no words; an empty one stays empty. Rows that repeat an id and its text come out alike; a row with a
+    no words; an empty one stays empty. Rows that repeat an id and its text come out alike; rows that repeat an
+    id with other texts are documents of their own, one after the other by the SHA-256 of their texts; a row with a
     null id stays whole. Columns of ``df`` other than the two named are not read.
     """
-    spans = repeated_spans(df, id_col=id_col, text_col=text_col, window=window, run=run, **sizes)
+    docs = keyed(df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")))
+    spans = repeated_spans(docs, id_col="key", window=window, run=run, **sizes)
     # A document's spans are at most as many as its words.
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    docs = docs.join(spans, F.col("doc") == spans["id"], "left").select("doc", "text", "spans.start", "spans.stop")
+    docs = docs.join(spans, F.col("key") == spans["id"], "left").select("doc", "text", "spans.start", "spans.stop")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):

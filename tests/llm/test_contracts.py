@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("panelkit.llm")
-from panelkit.llm import queries, sharding  # noqa: E402
+from panelkit.llm import queries, sharding, substring  # noqa: E402
 from panelkit.llm.shared import shared_dir  # noqa: E402
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -83,6 +83,18 @@ def test_op5(spark, folder):
         assert got[i] == (len(w), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_repeated_ids_keep_the_words_of_each_text(spark):
+    """Rows of one id with other texts are documents of their own: spans of one are not cut out of the other."""
+    rng = np.random.default_rng(4)
+    some = lambda n: " ".join(rng.choice(WORDS, n))
+    long, other = some(30), some(40)
+    rows = [(5, long), (5, "few words"), (6, f"{other} {long}"), (6, "short text"), (6, "short text"), (None, long), (7, None), (7, other)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r["id"], r["text"], r["n_words"], r["n_removed"]) for r in got), key=repr) == sorted(
+        [(5, long, 30, 0), (5, "few words", 2, 0), (6, other, 70, 30), (6, "short text", 2, 0), (6, "short text", 2, 0), (None, long, 30, 0), (7, None, 0, 0), (7, "", 40, 40)], key=repr
+    )
+
+
 def test_op7(spark, folder):
     got = queries.op7_sharding(spark, folder).toPandas()
     text = dict(table())
