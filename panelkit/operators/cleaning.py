@@ -135,6 +135,16 @@ def row_hash(df: DataFrame, columns: list[str]) -> Column:
     return F.xxhash64(*[x for c in sorted(columns) for x in (F.col(c).isNull(), F.col(c))])
 
 
+def distinct_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` with each row once, and one row with n_rows, n_distinct and n_removed; nulls are values.
+
+    Equal rows are combined in tasks before the shuffle, so a row that a third of the table repeats costs no more than others.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    log = counted.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct")).withColumn("n_removed", F.col("n_rows") - F.col("n_distinct"))
+    return counted.drop("__n"), log
+
+
 def duplicate_classes(df: DataFrame, key: list[str]) -> DataFrame:
     """(key, n_rows, kind) of keys with several rows: ``exact`` if all are alike, else ``conflict``."""
     rest = [c for c in df.columns if c not in key]

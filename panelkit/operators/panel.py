@@ -143,6 +143,25 @@ def with_boundary(stage: DataFrame, earlier: DataFrame, period: str) -> DataFram
     return stage.withColumn("is_boundary", F.lit(False)).unionByName(before.withColumn("is_boundary", F.lit(True)), allowMissingColumns=True)
 
 
+def aligned_union(pieces: dict[str, DataFrame], piece: str = "piece") -> DataFrame:
+    """All rows of several tables with the name of theirs in ``piece``; a column that a table lacks is null there, of the type it has elsewhere.
+
+    Types that differ between tables must be numbers, which become the widest of them; others are a ContractError, not a cast.
+    """
+    kinds: dict[str, set[str]] = {}
+    for df in pieces.values():
+        for f in df.schema.fields:
+            kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
+    widest = ("double", "float", "bigint", "int", "smallint", "tinyint")
+    types = {}
+    for name, found in kinds.items():
+        if len(found) > 1 and not found <= set(widest):
+            raise ContractError(f"{name} is {' and '.join(sorted(found))}")
+        types[name] = next((k for k in widest if k in found), None) or next(iter(found))
+    parts = [df.select(F.lit(k).alias(piece), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()]) for k, df in pieces.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def restricted(df: DataFrame, scope: DataFrame, key: list[str]) -> DataFrame:
     return df.join(scope.select(*key).distinct(), key, "left_semi")
 

@@ -409,21 +409,62 @@ def rule_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return audits.accuracy(p, "predicted", "quality", F.col("lang") == "en").withColumn("accuracy", r("accuracy"))
 
 
-@query("SELECT c_name AS name_key, count(DISTINCT c_custkey) AS n_entities FROM (SELECT regexp_replace(lower(substr(c_name, 1, 17)), '[^0-9a-z_]', '', 'g') AS c_name, c_custkey FROM customer) GROUP BY 1 HAVING count(DISTINCT c_custkey) > 1")
+@query("""WITH k AS (SELECT regexp_replace(lower(p_name), '[^0-9a-z_]', '', 'g') AS name_key, p_partkey, p_brand, p_type FROM part)
+SELECT 'COL-' || substr(sha256(name_key), 1, 16) AS collision_id, name_key, count(DISTINCT p_partkey) AS n_entities, count(DISTINCT p_brand) AS n_orgs, count(DISTINCT p_type) AS n_securities,
+  CASE WHEN count(DISTINCT p_brand) = 1 AND count(DISTINCT p_type) > 1 THEN 'shared_entity' ELSE 'unresolved' END AS kind FROM k GROUP BY 2 HAVING count(DISTINCT p_partkey) > 1""")
 def name_collisions(spark: SparkSession, d: str) -> DataFrame:
-    c = sources.table(spark, d, "customer").select("c_custkey", fn.identity_key(F.substring("c_name", 1, 17)).alias("name_key"), "c_nationkey", "c_mktsegment")
-    return evidence.collisions(c, "c_custkey", "name_key", "c_nationkey", "c_mktsegment").select("name_key", "n_entities")
-
-
-@query()
+    """Whole names that several parts have."""
+    c = sources.table(spark, d, "part").select("p_partkey", fn.identity_key(F.col("p_name")).alias("name_key"), "p_brand", "p_type")
+    return evidence.collisions(c, "p_partkey", "name_key", "p_brand", "p_type")
+
+
+def _model_sql(model: str, features: list[str]) -> str:
+    """A fixed-effects model from its normal equations: year indicators, all demeaned by entity, solved and inverted by elimination."""
+    p = f"(SELECT len(ys) + {len(features)} FROM yrs)"
+    return f"""SELECT * FROM (WITH RECURSIVE raw AS (
+  SELECT row_number() OVER () AS i, o_custkey, n_name, [y, {", ".join(features)}] || [CASE WHEN year = v THEN 1.0 ELSE 0.0 END for v in ys] AS f FROM f, yrs
+), long AS (
+  SELECT i, o_custkey, n_name, j, f[j + 1] AS v FROM (SELECT *, unnest(range(len(f))) AS j FROM raw)
+), dm AS (
+  SELECT i, n_name, j, v - avg(v) OVER (PARTITION BY o_custkey, j) AS v FROM long
+), g AS (
+  SELECT a.j AS j, b.j AS k, sum(a.v * b.v) AS s FROM dm a JOIN dm b USING (i) GROUP BY 1, 2
+), m AS (
+  SELECT list(l || [CASE WHEN j = k THEN 1.0 ELSE 0.0 END for k in range(1, {p} + 1)] || [y] ORDER BY j) AS m
+  FROM (SELECT j, list(s ORDER BY k) FILTER (WHERE k > 0) AS l, max(s) FILTER (WHERE k = 0) AS y FROM g WHERE j > 0 GROUP BY 1)
+), e(k, m) AS (
+  SELECT 1, m FROM m UNION ALL
+  SELECT k + 1, [CASE WHEN i = k THEN [m[k][j] / m[k][k] for j in range(1, len(m[1]) + 1)] ELSE [m[i][j] - m[i][k] / m[k][k] * m[k][j] for j in range(1, len(m[1]) + 1)] END for i in range(1, len(m) + 1)] FROM e WHERE k <= len(m)
+), done AS (
+  SELECT [r[-1] for r in m] AS b, m[1][len(m) + 1:2 * len(m)] AS inv FROM e ORDER BY k DESC LIMIT 1
+), res AS (
+  SELECT i, any_value(n_name) AS n_name, sum(CASE WHEN j = 0 THEN v ELSE -b[j] * v END) AS u, sum(CASE WHEN j > 0 THEN inv[j] * v ELSE 0 END) AS w FROM dm, done GROUP BY i
+), s AS (
+  SELECT n_name, sum(w * u) AS s FROM res GROUP BY 1
+), size AS (
+  SELECT count(*) AS n, count(DISTINCT o_custkey) AS entities, count(DISTINCT n_name) AS clusters FROM raw
+), se AS (
+  SELECT b[1] AS beta, sqrt(clusters / (clusters - 1) * (n - 1) / (n - entities - {p}) * (SELECT sum(s * s) FROM s)) AS se, (SELECT sum(u * u) FROM res) AS rss, n, entities, clusters FROM done, size
+) SELECT '{model}' AS model, beta, se, rss, n, entities, clusters FROM se)"""
+
+
+@query(f"""WITH {_PANEL}, f AS (SELECT o_custkey, year, n_name, ln(spent) AS y, CAST(n_orders AS DOUBLE) AS x, CAST(record_present AS DOUBLE) AS z FROM panel WHERE spent > 0),
+yrs AS (SELECT list(DISTINCT year ORDER BY year)[2:] AS ys FROM f),
+est AS ({_model_sql("base", ["x"])} UNION ALL {_model_sql("controls", ["x", "z"])}), yearly AS ({_model_sql("years", [])}),
+-- Student's t with an even number of degrees of freedom is a finite sum; the value that 5 % exceed with 24 of them is a constant.
+t AS (SELECT *, beta / se AS t, 24 / (24 + beta * beta / se / se) AS c FROM est)
+SELECT t.model, round(t.beta, 6) AS beta, round(t.se, 6) AS se,
+  round(1 - abs(t) / sqrt(24 + t * t) * list_sum([list_product([(2 * q - 1) / (2 * q) for q in range(1, o + 1)]) * c ** o for o in range(1, 12)] || [1.0]), 6) AS p,
+  round(t.beta - 2.0638985616280205 * t.se, 6) AS low, round(t.beta + 2.0638985616280205 * t.se, 6) AS high, round(1 - t.rss / yearly.rss, 6) AS within_r2, t.n, t.entities, t.clusters FROM t, yearly""")
 def spending_model(spark: SparkSession, d: str) -> DataFrame:
     p = joined_panel(spark, d).select("o_custkey", "year", "n_name", F.ln("spent").alias("y"), F.col("n_orders").cast("double").alias("x"), F.col("record_present").cast("double").alias("z"))
-    out = stats.models(p, [{"model": "base", "outcome": "y", "policy": "x"}, {"model": "controls", "outcome": "y", "policy": "x", "controls": ["z"]}], "o_custkey", "year", "n_name")
+    # Both models and their years read the panel: it is joined once.
+    out = stats.models(sources.written(p), [{"model": "base", "outcome": "y", "policy": "x"}, {"model": "controls", "outcome": "y", "policy": "x", "controls": ["z"]}], "o_custkey", "year", "n_name")
     return out.select("model", *[r(c).alias(c) for c in ("beta", "se", "p", "low", "high", "within_r2")], "n", "entities", "clusters")
 
 
 def queries() -> dict[str, Query]:
-    from panelkit.plans import evidence_queries, more  # noqa: F401  register their queries here
+    from panelkit.plans import evidence_queries, more, samples  # noqa: F401  register their queries here
 
     return dict(_QUERIES)
 

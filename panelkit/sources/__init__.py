@@ -121,6 +121,16 @@ def columns_of(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields], "name string, type string, nullable boolean")
 
 
+def write_sorted(df: DataFrame, path: str, order: list[str], kind: str = "parquet", **options: str) -> None:
+    """Write ``df`` in one global order: file after file by name, and row after row in each; ties by all other columns.
+
+    Ranges of the order are sorted in many tasks; none holds all rows.
+    """
+    rest = [c for c in df.columns if c not in order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(parts, *order, *rest).sortWithinPartitions(*order, *rest).write.format(kind).options(**options).save(path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet and read again, so that what follows neither recomputes nor resamples it.
 
