@@ -41,6 +41,32 @@ def assert_unique(df: DataFrame, key: list[str], name: str = "table") -> DataFra
     return df
 
 
+#: What two sides of a join can break: of each a condition over a key's rows on the left (l) and on the right (r), and what it means.
+_JOIN_RULES = {
+    "left_unique": (lambda l, r, null: (l > 1) | (null & (l > 0)), "the left side repeats keys or has nulls in them"),
+    "right_unique": (lambda l, r, null: (r > 1) | (null & (r > 0)), "the right side repeats keys or has nulls in them"),
+    "right_within_left": (lambda l, r, null: (r > 0) & ((l == 0) | null), "the right side has keys that the left has not"),
+    "left_within_right": (lambda l, r, null: (l > 0) & ((r == 0) | null), "rows without a match"),
+}
+
+
+def assert_join(left: DataFrame, right: DataFrame, key: list[str], rules: list[str], name: str = "join") -> None:
+    """All of ``rules`` (left_unique, right_unique, right_within_left, left_within_right) in one job that reads each side's keys once.
+
+    Rows are counted by key, in tasks before the shuffle; what reaches the driver is a count and one example a rule.
+    """
+    require_columns(left, key, f"the left side of the {name}")
+    require_columns(right, key, f"the right side of the {name}")
+    sides = [df.select(*key, F.lit(int(n == 0)).alias("__l"), F.lit(n).alias("__r")) for n, df in enumerate((left, right))]
+    counts = sides[0].union(sides[1]).groupBy(*key).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
+    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+    found = {k: _JOIN_RULES[k][0](F.col("__l"), F.col("__r"), null) for k in rules}
+    row = counts.agg(*[x for k, c in found.items() for x in (F.count_if(c).alias(k), F.min(F.when(c, F.struct(*key))).alias(f"{k}_key"))]).first()
+    bad = [f"{_JOIN_RULES[k][1]}: {row[k]}, as {tuple(row[f'{k}_key'])}" for k in rules if row[k]]
+    if bad:
+        raise ContractError(f"{name}: " + "; ".join(bad))
+
+
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, n): how many rows meet each rule, which names what must not be; one pass over ``df``."""
     counts = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in rules.items()])

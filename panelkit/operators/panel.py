@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.contracts import ContractError, assert_none, assert_subset, assert_unique, exact_fingerprint, fingerprint, key_differences, require_columns
+from panelkit.contracts import ContractError, assert_join, assert_none, assert_subset, assert_unique, exact_fingerprint, fingerprint, key_differences, require_columns
 from panelkit.operators.ordered import cumulated, row_numbers, running_max  # noqa: F401  cumulated is used from here
 
 # -- joins -----------------------------------------------------------------------------------------
@@ -15,13 +15,8 @@ from panelkit.operators.ordered import cumulated, row_numbers, running_max  # no
 
 def lookup(left: DataFrame, right: DataFrame, key: list[str], require_match: bool = True) -> DataFrame:
     """Many-to-one left join: ``key`` must be unique on the right, and every left row must match unless told otherwise."""
-    assert_unique(right, key, "the right side")
-    out = left.join(right.withColumn("__m", F.lit(1)), key, "left")
-    if require_match:
-        found = out.where("__m is null").select(*key).limit(3).collect()
-        if found:
-            raise ContractError(f"rows without a match: {[tuple(r) for r in found]}")
-    return out.drop("__m")
+    assert_join(left, right, key, ["right_unique", *(["left_within_right"] if require_match else [])], "lookup")
+    return left.join(right, key, "left")
 
 
 def with_record(skeleton: DataFrame, records: DataFrame, key: list[str], flag: str = "record_present", checked: bool = True) -> DataFrame:
@@ -30,17 +25,14 @@ def with_record(skeleton: DataFrame, records: DataFrame, key: list[str], flag: s
     ``checked`` asserts that the key is unique on both sides and that no record lies outside the skeleton.
     """
     if checked:
-        assert_unique(skeleton, key, "the skeleton")
-        assert_unique(records, key, "the records")
-        assert_subset(records, skeleton, key, "the records")
+        assert_join(skeleton, records, key, ["left_unique", "right_unique", "right_within_left"], "skeleton and records")
     out = skeleton.join(records.withColumn("__m", F.lit(1)), key, "left")
     return out.withColumn(flag, F.coalesce("__m", F.lit(0))).drop("__m")
 
 
 def aligned(left: DataFrame, right: DataFrame, key: list[str], suffixes: tuple[str, str] = ("_left", "_right")) -> DataFrame:
     """Full outer join on ``key`` with both sides' values suffixed and flags ``in_left`` and ``in_right``."""
-    assert_unique(left, key, "the left side")
-    assert_unique(right, key, "the right side")
+    assert_join(left, right, key, ["left_unique", "right_unique"], "alignment")
     a = left.select(*key, *[F.col(c).alias(c + suffixes[0]) for c in left.columns if c not in key], F.lit(True).alias("in_left"))
     b = right.select(*key, *[F.col(c).alias(c + suffixes[1]) for c in right.columns if c not in key], F.lit(True).alias("in_right"))
     return a.join(b, key, "full").fillna(False, ["in_left", "in_right"])
@@ -50,7 +42,7 @@ def joined_reviews(predictions: DataFrame, reviews: DataFrame, provenance: DataF
     """Predictions with their reviews and provenance, each one-to-one; shared column names get a suffix."""
     out = predictions
     for df, suffix in ((reviews, "_review"), (provenance, "_source")):
-        assert_unique(df, key)
+        assert_join(out, df, key, ["left_unique", "right_unique"], f"predictions and {suffix[1:]}")
         taken = set(out.columns) - set(key)
         df = df.select(*key, *[F.col(c).alias(c + suffix if c in taken else c) for c in df.columns if c not in key])
         out = out.join(df, key, "left")

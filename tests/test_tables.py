@@ -1,5 +1,6 @@
 """Small operators on tables: aligned unions, exact copies, sorted files."""
 
+import contextlib
 import glob
 
 import pandas as pd
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelkit import sources
-from panelkit.contracts import ContractError
+from panelkit.contracts import ContractError, assert_join
 from panelkit.operators import cleaning, panel
 
 
@@ -34,3 +35,29 @@ def test_sorted_files_are_in_one_order(spark, tmp_path):
     files = sorted(glob.glob(f"{tmp_path}/out/part-*.parquet"))
     got = pd.concat([pd.read_parquet(f) for f in files])
     assert len(files) > 1 and list(zip(got["k"], got["id"], strict=True)) == sorted(zip(got["k"], got["id"], strict=True)) and len(got) == 5000
+
+
+@pytest.mark.parametrize(
+    ("left", "right", "broken"),
+    [
+        ([(1, "a"), (2, "a")], [(1, "a"), (2, "a")], set()),
+        ([(1, "a"), (1, "a")], [(1, "a")], {"left_unique"}),
+        ([(1, "a")], [(1, "a"), (1, "a"), (2, "b")], {"right_unique", "right_within_left"}),
+        ([(1, "a"), (3, "c")], [(1, "a")], {"left_within_right"}),
+        ([(None, "a")], [(1, "a")], {"left_unique", "left_within_right", "right_within_left"}),
+        ([(None, "a")], [(None, "a")], {"left_unique", "right_unique", "left_within_right", "right_within_left"}),
+        ([], [(1, "a")], {"right_within_left"}),
+        ([], [], set()),
+    ],
+)
+def test_join_contracts_in_one_job(spark, left, right, broken):
+    a, b = (spark.createDataFrame(x, "k int, s string") for x in (left, right))
+    for rule in ("left_unique", "right_unique", "right_within_left", "left_within_right"):
+        if rule in broken:
+            with pytest.raises(ContractError):
+                assert_join(a, b, ["k", "s"], [rule])
+        else:
+            assert_join(a, b, ["k", "s"], [rule])
+    with pytest.raises(ContractError) if broken else contextlib.nullcontext() as caught:
+        assert_join(a, b, ["k", "s"], ["left_unique", "right_unique", "right_within_left", "left_within_right"])
+    assert not broken or str(caught.value).count(";") == len(broken) - 1
