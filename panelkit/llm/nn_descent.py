@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,14 @@ def _firsts(row: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.append(True, (row[1:] != row[:-1]) | (ids[1:] != ids[:-1]))[: len(row)]
 
 
+def _firsts_of(row: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """As ``_firsts`` for ids in any order within their row."""
+    o = np.lexsort((np.arange(len(row)), ids, row))
+    out = np.zeros(len(row), bool)
+    out[o[_firsts(row[o], ids[o])]] = True
+    return out
+
+
 def _place(row: np.ndarray) -> np.ndarray:
     return np.arange(len(row)) - np.searchsorted(row, row)
 
@@ -134,8 +143,12 @@ def _edges(lists: DataFrame, most: int, salt: int) -> DataFrame:
     return forward.union(backward.select("id", "other"))
 
 
-def _local_join(met: DataFrame, sends: int) -> DataFrame:
-    """Compare all pairs of each row's distinct ``met``; what beats a member's worst entry goes to that member, ``sends`` at most."""
+def _local_join(met: DataFrame, sends: int, neighbours: int) -> DataFrame:
+    """Compare all pairs of each row's distinct ``met``; what beats a member's worst entry goes to that member, ``sends`` at most a row.
+
+    A member of many rows gets one list of its ``neighbours`` best from all of them that are compared at once, so a hub
+    sends no more than others.
+    """
 
     def compared(met: pa.Array) -> pa.RecordBatch:
         row, inner = _rows(met), met.flatten()
@@ -154,9 +167,13 @@ def _local_join(met: DataFrame, sends: int) -> DataFrame:
         best = np.argpartition(-sim, min(sends, shape[1]) - 1, axis=2)[:, :, :sends]
         top = np.take_along_axis(sim, best, 2)
         better = top > worst[:, :, None]
-        counts = better.sum(axis=2).ravel()
-        nbr = member[np.arange(shape[0])[:, None, None], best]
-        return _lists(member.ravel()[counts > 0], counts[counts > 0], nbr[better], top[better])
+        to = np.broadcast_to(member[:, :, None], better.shape)[better]
+        nbr, sim = member[np.arange(shape[0])[:, None, None], best][better], top[better]
+        o = np.lexsort((nbr, -sim, to))
+        o = o[_firsts_of(to[o], nbr[o])]
+        o = o[_place(to[o]) < neighbours]
+        ids, counts = np.unique(to[o], return_counts=True)
+        return _lists(ids, counts, nbr[o], sim[o])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,7 +197,7 @@ def build(coded: DataFrame, *, neighbours: int = 32, sample: int = 16, rounds: i
         worst = now.select("id", F.when(F.size("nbr") < neighbours, -2.0).otherwise(F.element_at("sim", -1)).cast("float").alias("worst"))
         other = coded.join(worst, "id", "left").select(F.col("id").alias("other"), "code", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"))
         met = edges.join(other, "other").groupBy("id").agg(F.collect_list(F.struct("other", "worst", "code")).alias("met"))
-        sent = _local_join(met.select("met"), sends)
+        sent = _local_join(met.select("met"), sends, neighbours)
         after = cut(_merged(now.union(sent), neighbours))
         kept = after.select(F.col("id"), F.col("nbr").alias("new")).join(now.select("id", "nbr"), "id").agg(F.sum(F.size(F.array_except("new", "nbr")))).first()[0] or 0
         drop(now)
@@ -191,11 +208,13 @@ def build(coded: DataFrame, *, neighbours: int = 32, sample: int = 16, rounds: i
     return now
 
 
-def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int = 64, pool: int = 160, expand: int = 20, hops: int = 100, entries: int = 256) -> DataFrame:
+def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int = 64, pool: int = 160, expand: int = 64, hops: int = 100, entries: int = 256) -> DataFrame:
     """(query_id, id): the ``found`` nodes nearest to each of ``queries`` (query_id, code) that the search met, but not the query itself.
 
-    A query is at its end when it has expanded all of its ``found`` best nodes; ``hops`` only guards against no end.
-    The pool of a query is bounded, and what it has seen by what it may expand. Without nodes nothing is found.
+    A query is at its end when it has expanded all of its ``found`` best nodes, and takes part in hops until then; a search
+    that is not at its end after ``hops`` is an error. A query's state is its pool, which is bounded and only gets better: a
+    node that fell out of it is worse than all in it and stays out when it is met again, so no list of what was seen is kept.
+    Without nodes nothing is found.
     """
     n = coded.count()
     flat = graph.select("id", F.explode(F.arrays_zip("nbr", "sim")).alias("x")).select(F.col("x.nbr").alias("id"), F.col("id").alias("other"), F.col("x.sim").alias("s"))
@@ -206,12 +225,12 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int
     if not start:
         return queries.select("query_id", F.col("query_id").alias("id")).limit(0)
     start_ids = np.array([s[0] for s in start])
-    schema = "query_id long, code binary, seen array<long>, ids array<long>, sims array<float>, open array<boolean>"
+    schema = "query_id long, code binary, ids array<long>, sims array<float>, open array<boolean>"
 
     def state(b: pa.RecordBatch, rows: Iterator[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.float32(), pa.bool_())
+        kinds = (pa.int64(), pa.float32(), pa.bool_())
         lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x), k)) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([b["query_id"], b["code"], *lists], ["query_id", "code", "seen", "ids", "sims", "open"])
+        return pa.RecordBatch.from_arrays([b["query_id"], b["code"], *lists], ["query_id", "code", "ids", "sims", "open"])
 
     def best(u: np.ndarray, s: np.ndarray, o: np.ndarray) -> tuple:
         k = np.lexsort((u, -s))[:pool]
@@ -228,7 +247,7 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int
                         other = start_ids != q
                         # The query's own node, if the graph has it, is expanded first; it is never a result.
                         u, v = np.append(start_ids[other], q), np.append(s[other], np.float32(2))
-                        yield (u, *best(u, v, np.ones(len(u), bool)))
+                        yield best(u, v, np.ones(len(u), bool))
 
                 yield state(b, rows())
 
@@ -243,7 +262,7 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int
                 ends = np.cumsum(np.bincount(_rows(b["got"]), minlength=b.num_rows))
                 query = decode(b["code"])
                 for k, end in enumerate(ends.tolist()):
-                    seen, ids, sims = (b[c][k].values.to_numpy() for c in ("seen", "ids", "sims"))
+                    ids, sims = (b[c][k].values.to_numpy() for c in ("ids", "sims"))
                     open_ = b["open"][k].values.to_numpy(zero_copy_only=False).copy()
                     open_[np.flatnonzero(open_)[:expand]] = False
                     got = fetched.slice(ends[k - 1] if k else 0, end - (ends[k - 1] if k else 0))
@@ -251,24 +270,30 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int
                         new = got.field("id").to_numpy()
                         s = decode(got.field("code")) @ query[k]
                         ids, sims, open_ = best(np.append(ids, new), np.append(sims, s), np.append(open_, np.ones(len(new), bool)))
-                        seen = np.append(seen, new)
-                    yield seen, ids, sims, open_
+                    yield ids, sims, open_
 
             yield state(b, rows())
 
     now = cut(queries.select("query_id", "code").mapInArrow(begin, schema))
+    ended: list[DataFrame] = []
     for _ in range(hops):
         frontier = now.select("query_id", F.explode(F.slice(F.filter(F.transform(F.arrays_zip("ids", "open"), lambda x: F.when(x["open"], x["ids"])), lambda x: x.isNotNull()), 1, expand)).alias("id"))
-        met = frontier.join(links, "id").groupBy("query_id").agg(F.flatten(F.collect_list("nbr")).alias("met"))
-        # A query leaves out what it has seen before codes are fetched, so that they travel once.
-        next_ = met.join(now.select("query_id", "seen"), "query_id").select("query_id", F.explode(F.array_except("met", "seen")).alias("id"))
+        met = frontier.join(links, "id").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("nbr"))).alias("met"))
+        # A query leaves out what its pool holds before codes are fetched.
+        next_ = met.join(now.select("query_id", "ids"), "query_id").select("query_id", F.explode(F.array_except("met", "ids")).alias("id"))
         got = next_.join(coded, "id").groupBy("query_id").agg(F.collect_list(F.struct("id", "code")).alias("got"))
         after = cut(now.join(got, "query_id", "left").mapInArrow(closed, schema))
-        drop(now)
-        now = after
+        if not ended:
+            drop(now)
+        going = F.exists(F.slice("open", 1, found), lambda x: x)
+        ended.append(after.where(~going).select("query_id", "ids"))
+        now = after.where(going)
         _release(now.sparkSession)
-        if not now.where(F.exists(F.slice("open", 1, found), lambda x: x)).limit(1).count():
+        if now.isEmpty():
             break
+    else:
+        raise RuntimeError(f"the search is not at its end after {hops} hops")
+    now = reduce(DataFrame.union, ended)
     out = now.select("query_id", F.explode(F.slice(F.array_remove("ids", F.col("query_id")), 1, found)).alias("id"))
     return out
 
@@ -279,9 +304,10 @@ def nearest(df: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec
     ``queries`` are rows of ``df``. score is the cosine in double precision on the original vectors; ties
     go to the smaller id. Rows without a usable vector or id take no part. Equal vectors are one node of
     the graph; a node brings as many of its smallest ids as a result can hold. With fewer candidates
-    than ``k``, all are returned.
+    than ``k``, all are returned. Of rows that repeat an id the one of the least vector counts, in the order of its numbers. Other columns
+    are not read; an empty table gives no rows.
     """
-    rows = usable(df, id_col, vec_col).dropDuplicates(["id"])
+    rows = usable(df, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
     keyed = cut(rows.withColumn("key", F.md5(F.to_json(F.struct("v")).cast("binary"))))
     classes = cut(classes_of(keyed.select("id", "v")))
     coded = cut(codes(classes))
