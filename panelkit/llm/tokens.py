@@ -46,10 +46,45 @@ class Encoder:
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added and not plain else None
         self.most = most
+        self._measure()
         self._forget()
 
+    #: Chunks that are one part each for the library, also behind one another.
+    whole = re.compile(f" [{_LETTER}]+")
+    between = ""
+
+    def _measure(self) -> None:
+        """Bytes of every id: each character of a byte-level token stands for one."""
+        n = self.tokenizer.get_vocab_size()
+        self.bytes = np.fromiter((len(self.tokenizer.id_to_token(i)) for i in range(n)), np.int64, n)
+
+    def _ends(self, ids: list[int], chunks: list[str]) -> list[int] | None:
+        """Where each chunk's ids end among those of all of them behind one another; None if they can't be told apart."""
+        at, ends = np.cumsum(self.bytes[ids]), np.cumsum([len(c.encode()) for c in chunks])
+        found = np.searchsorted(at, ends)
+        return (found + 1).tolist() if len(at) and at[-1] == ends[-1] and (at[found] == ends).all() else None
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """The library's ids of each text or chunk."""
+        """The library's ids of each text or chunk.
+
+        A call of the library costs more than a word, so chunks of letters are encoded a few hundred behind one another and told apart afterwards.
+        """
+        out: list[list[int]] = [[]] * len(texts)
+        words = [i for i, t in enumerate(texts) if self.whole.fullmatch(t)]
+        groups = [words[k : k + 256] for k in range(0, len(words), 256)]
+        rest = sorted(set(range(len(texts))).difference(words))
+        for group, ids in zip(groups, self._library([self.between.join([texts[i] for i in g]) for g in groups]), strict=True):
+            ends = self._ends(ids, [texts[i] for i in group])
+            if ends is None:
+                rest += group
+                continue
+            for i, begin, end in zip(group, [0, *ends], ends, strict=False):
+                out[i] = ids[begin:end]
+        for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
@@ -89,7 +124,7 @@ class Encoder:
     def _group(self, texts: list[str | None]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if t and self.added and self.added.search(t)]
         if whole:
-            found = self.encode([texts[i] for i in whole])
+            found = self._library([texts[i] for i in whole])
             rest = list(texts)
             for i in whole:
                 rest[i] = None
@@ -113,37 +148,20 @@ class Encoder:
 
 
 class WordEncoder(Encoder):
-    """For vocabularies that drop white space and mark the ends of words: chunks are words between ASCII blanks, without marks at their end.
-
-    Words of letters alone are one part each for such a model, so many are encoded as one text and told apart by their ends.
-    """
+    """For vocabularies that drop white space and mark the ends of words: chunks are words between ASCII blanks, without marks at their end."""
 
     chunk = re.compile(f"[{_LETTER}]+(?![^\x20\x09-\x0D{_MARK}$&*%#])|[{_MARK}$&*%#]+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]+")
-    _letters = re.compile(f"[{_LETTER}]+")
+    whole = re.compile(f"[{_LETTER}]+")
+    between = " "
+    suffix = "</w>"
 
-    def __init__(self, path: str, most: int = 500_000, plain: bool = False, suffix: str = "</w>"):
-        super().__init__(path, most, plain)
+    def _measure(self) -> None:
         n = self.tokenizer.get_vocab_size()
-        self.last = np.fromiter((self.tokenizer.id_to_token(i).endswith(suffix) for i in range(n)), bool, n)
+        self.last = np.fromiter((self.tokenizer.id_to_token(i).endswith(self.suffix) for i in range(n)), bool, n)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(texts)
-        words = [i for i, t in enumerate(texts) if self._letters.fullmatch(t)]
-        # Long texts take more than their share of time, so a few hundred words at once.
-        groups = [words[k : k + 256] for k in range(0, len(words), 256)]
-        rest = sorted(set(range(len(texts))).difference(words))
-        for group, ids in zip(groups, super().encode([" ".join([texts[i] for i in g]) for g in groups]), strict=True):
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) != len(group):
-                rest += group
-                continue
-            begin = 0
-            for i, end in zip(group, ends, strict=True):
-                out[i] = ids[begin:end]
-                begin = end
-        for i, ids in zip(rest, super().encode([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
+    def _ends(self, ids: list[int], chunks: list[str]) -> list[int] | None:
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        return ends if len(ends) == len(chunks) else None
 
 
 class PieceEncoder(Encoder):
@@ -163,6 +181,9 @@ class PieceEncoder(Encoder):
         self._forget()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return self._library(texts)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
         blank = self.processor.piece_to_id("\u2581")  # the model gives a lone blank before nothing no id
         return [ids or [blank] for ids in self.processor.encode([t[1:] for t in texts], num_threads=1)]
 
