@@ -3,13 +3,16 @@
 A document's key is a 64-bit hash of its text, so that equal texts lie together. A size-weighted hashed sample
 of keys gives quantile boundaries of many small ranges, into which all documents are counted. A range that
 is overfull, by a bad draw or as its key alone is large, is divided again by boundaries sampled inside it:
-between its keys, or, where it holds one key, between hashes of the documents' ids. Ranges of one key that
-fit a shard go to one shard; the other ranges, in the order of keys, fill what is left of the shards to equal
-bytes. A document's place in its shard is its rank inside its range plus the counts of the shard's ranges before.
+between its keys, or, where it holds one key, between hashes of the documents' ids. The ranges of one key go
+together if they fit a shard. Shards are made of ranges by their exact bytes, the largest first, each to the
+shard that has least: they differ by no more than the last small ranges. A document's place in its shard is its rank inside
+its range plus the counts of the shard's ranges before.
 """
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -79,30 +82,20 @@ def split(rows: DataFrame, parts: int, oversample: int = 16, rounds: int = 4) ->
 
 
 def assigned(bounds: list[tuple[int, int]], counts: list[tuple[int, int]], shards: int) -> list[int]:
-    """The shard of each range. Ranges of one divided key stay together if a shard holds them."""
+    """The shard of each range: the largest first, to the shard with least. Ranges of one divided key stay together if a shard holds them."""
     total, by_key = sum(c[0] for c in counts), {}
     for i, (key, _) in enumerate(bounds):
         by_key.setdefault(key, []).append(i)
-    groups = [(sum(counts[i][0] for i in at), at) for at in by_key.values() if len(at) > 1]
-    filled, out = [0] * shards, [-1] * len(bounds)
-    for size, at in sorted(groups, reverse=True):
-        if size * shards <= total:
-            k = filled.index(min(filled))
-            filled[k] += size
-            for i in at:
-                out[i] = k
-    # Shards take the rest in turn, each up to the level at which all are full.
-    rest, level, low = total - sum(filled), 0.0, sorted(filled)
-    for n in range(1, shards + 1):
-        level = (rest + sum(low[:n])) / n
-        if n == shards or level <= low[n]:
-            break
-    ends = np.cumsum([max(0.0, level - f) for f in filled])
-    seen = 0
-    for i, (size, _) in enumerate(counts):
-        if out[i] < 0:  # to the shard in which the range's middle lies
-            out[i] = min(int(np.searchsorted(ends, seen + size / 2, "right")), shards - 1)
-            seen += size
+    units: list[tuple[int, list[int]]] = []
+    for at in by_key.values():
+        size = sum(counts[i][0] for i in at)
+        units += [(size, at)] if size * shards <= total else [(counts[i][0], [i]) for i in at]
+    filled, out = [(0, k) for k in range(shards)], [-1] * len(bounds)
+    for size, at in sorted(units, key=lambda u: (-u[0], u[1])):
+        least, k = heappop(filled)
+        heappush(filled, (least + size, k))
+        for i in at:
+            out[i] = k
     return out
 
 
@@ -110,7 +103,7 @@ def place(df: DataFrame, *, shards: int = 24, ranges_per_shard: int = 32, range_
     """``df``, or its columns ``carry`` alone, with columns size, shard and slot.
 
     size is the UTF-8 bytes of the text, none for a null one, plus 8. Shards have nearly equal bytes: they
-    differ by about a range, 1 / ``ranges_per_shard`` of a shard, and a document. There are more ranges where
+    differ by less than a range, 1 / ``ranges_per_shard`` of a shard, or a document larger than that. There are more ranges where
     else they would pass ``range_bytes``. Copies of a text share a shard, unless they alone are larger than one
     shard's equal part. slot counts from 0 without holes in each shard, in the order of keys. Null ids and texts
     hash to keys of their own; identical rows lie in one range. An empty table gives an empty frame. Columns

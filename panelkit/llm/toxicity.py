@@ -239,14 +239,14 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n: int, pri
     return w[:n], float(w[n])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_positive: int = 4000, most_unlabelled: int = 30_000, most_features: int = 4000, least_lift: float = 2.5, least_evidence: float = 28.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, most_positive: int = 4000, most_unlabelled: int = 30_000, least_lift: float = 2.5, least_evidence: float = 28.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 0) -> Model:
     """Fit on hashed samples of about ``most_positive`` toxic and ``most_unlabelled`` of all documents.
 
     ``labels`` holds the labels that may be learned from; its null labels and ids count as none. Documents of
     several labels are toxic if one is. Without a toxic document with a text the model knows only the prior.
     Every feature of two and one in two hundred positives at least is counted in all documents, and no text is
     shuffled. A feature counts if it is ``least_lift`` times commoner in toxic documents than in all, and its count there has a
-    log-likelihood ratio of ``least_evidence`` against chance, as thousands of features are tried.
+    log-likelihood ratio of ``least_evidence`` against chance, as thousands of features are tried; all that do are kept.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -277,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_positive: int = 4000, most
     expected = n_positive * (u + 1) / (n_unlabelled + 1)
     lift = p / expected
     evidence = 2 * (p * np.log(lift) - (p - expected))
-    order = sorted(np.flatnonzero((lift >= least_lift) & (evidence >= least_evidence)).tolist(), key=lambda i: (-evidence[i], names[i]))[:most_features]
+    order = sorted(np.flatnonzero((lift >= least_lift) & (evidence >= least_evidence)).tolist(), key=lambda i: (-evidence[i], names[i]))
     index = {names[i]: k for k, i in enumerate(order)}
     if not index:
         return Model(prior)
