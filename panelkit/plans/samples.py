@@ -130,11 +130,11 @@ def sentinel_log(spark: SparkSession, d: str) -> DataFrame:
     return log
 
 
-@query("""SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE month(o_orderdate) = 12 AND day(o_orderdate) = 31 AND year(o_orderdate) BETWEEN 1993 AND 1997 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+@query("""SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE month(o_orderdate) = 12 AND day(o_orderdate) = 31 AND year(o_orderdate) BETWEEN 1992 AND 1998 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < -500)""")
 def year_end_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders of a year's last day, but for customers on an exclusion list."""
-    out = _customers(spark, d).where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return cleaning.without(cleaning.period_end(sources.table(spark, d, "orders"), "o_orderdate", (1993, 1997)), out, ["o_custkey"]).select("o_orderkey", "year")
+    out = _customers(spark, d).where("c_acctbal < -500").select(F.col("c_custkey").alias("o_custkey"))
+    return cleaning.without(cleaning.period_end(sources.table(spark, d, "orders"), "o_orderdate", (1992, 1998)), out, ["o_custkey"]).select("o_orderkey", "year")
 
 
 @query("""WITH o AS (SELECT o_custkey AS k, count(*) AS n, any_value(CAST(o_totalprice AS DOUBLE)) AS price FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1), e AS (SELECT user_id AS k, count(*) AS n, any_value(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1)
