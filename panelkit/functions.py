@@ -123,7 +123,7 @@ def unescape(x: pd.Series) -> pd.Series:
 
 
 def folded(x: Column) -> Column:
-    """Unicode NFKC; only texts with characters beyond ASCII go through Python."""
+    """Unicode NFKC. Every row goes through Python's worker, but those of ASCII alone as nulls, so their texts are neither sent nor normalised."""
     return F.coalesce(nfkc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
 
 
