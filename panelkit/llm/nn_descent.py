@@ -2,12 +2,12 @@
 
 The graph starts from neighbours inside small blocks along random projections. In each round a vector meets a
 sample of its neighbours and of those whose neighbour it is: Spark joins bring their codes together, every
-pair of them is compared, and those that improve a list are sent to it. Codes are vectors in single bytes; lists
-hold ``neighbours`` entries.
+pair of them is compared of which one is new there, and those that improve a list are sent to it. Codes are
+vectors in single bytes; lists hold ``neighbours`` entries.
 
 A query starts from its own place in the graph, if it has one, and from fixed entry points. In each hop it
-expands the best not yet expanded nodes of its pool: joins fetch their neighbours in both directions and
-the neighbours' codes. The best of the pool are at last compared exactly, on the original vectors.
+expands the best not yet expanded nodes of its pool: its code goes to them and is compared there with those of their
+neighbours in both directions. The best of the pool are at last compared exactly, on the original vectors.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelkit.llm.minhash import mix
 from panelkit.llm.multi_index import classes_of, matrix, unit, usable
 from panelkit.llm.shared import cut, drop, partitions
 from panelkit.llm.toxicity import sampled
@@ -29,6 +30,7 @@ from panelkit.llm.toxicity import sampled
 _LISTS = "id long, nbr array<long>, sim array<float>"
 #: Rows that a task compares at once.
 _ROWS = 1024
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def codes(classes: DataFrame) -> DataFrame:
@@ -81,31 +83,34 @@ def _release(spark: SparkSession) -> None:
 
 def _initial(coded: DataFrame, neighbours: int, projections: int, block: int, seed: int) -> DataFrame:
     """Lists from the nearest inside blocks of consecutive vectors along random projections."""
-    n = partitions(coded.sparkSession)
-    out = None
-    for k in range(projections):
-
-        def project(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    x = decode(b["code"])
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = decode(b["code"])
+                for k in range(projections):
                     p = x @ np.random.default_rng(seed + k).normal(size=x.shape[1])
-                    yield pa.RecordBatch.from_arrays([b["id"], b["code"], pa.array(p)], ["id", "code", "p"])
+                    yield pa.RecordBatch.from_arrays([b["id"], b["code"], pa.array(np.full(len(x), k, np.int32)), pa.array(p)], ["id", "code", "k", "p"])
 
-        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for s in range(0, b.num_rows, block):
-                    ids = b["id"][s : s + block].to_numpy()
-                    x = decode(b["code"][s : s + block])
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # A block lies on one projection.
+            ends = np.append(np.flatnonzero(np.diff(b["k"].to_numpy())) + 1, b.num_rows)
+            for begin, end in zip([0, *ends], ends, strict=False):
+                for s in range(begin, end, block):
+                    part = b.slice(s, min(block, end - s))
+                    ids = part["id"].to_numpy()
+                    x = decode(part["code"])
                     sim = x @ x.T
                     np.fill_diagonal(sim, -2)
                     m = min(neighbours // projections or 1, len(ids) - 1)
                     best = np.argsort(-sim, axis=1, kind="stable")[:, :m]
                     yield _lists(ids, np.full(len(ids), m), ids[best].ravel(), np.take_along_axis(sim, best, 1).ravel())
 
-        lists = coded.mapInArrow(project, "id long, code binary, p double").repartitionByRange(n, "p", "id").sortWithinPartitions("p", "id").mapInArrow(nearest, _LISTS)
-        out = lists if out is None else out.union(lists)
-    return out
+    # All projections go through one shuffle, ordered by their number first.
+    order = ["k", "p", "id"]
+    projected = coded.mapInArrow(project, "id long, code binary, k int, p double")
+    return projected.repartitionByRange(partitions(coded.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(nearest, _LISTS)
 
 
 def _lists(ids: np.ndarray, counts: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
@@ -115,58 +120,95 @@ def _lists(ids: np.ndarray, counts: np.ndarray, nbr: np.ndarray, sim: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], ["id", "nbr", "sim"])
 
 
-def _merged(lists: DataFrame, neighbours: int) -> DataFrame:
-    """One list an id: its best distinct entries. Each partial list is bounded, and an id gets one from each place that met it."""
-    grouped = lists.groupBy("id").agg(F.flatten(F.collect_list("nbr")).alias("nbr"), F.flatten(F.collect_list("sim")).alias("sim"))
+def _merged(lists: DataFrame, neighbours: int, sample: int = 16, salt: int = 0) -> DataFrame:
+    """One list an id: its best distinct entries. Each partial list is bounded, and an id gets one from each place that met it.
+
+    ``lists`` has (id, code, nbr, sim, state): a list of the round before has a code and a state for each entry, what was
+    sent has neither. States of what comes out: _OLD and _NEW, and ``sample`` of each by hash as _OLD_MEETS and _NEW_MEETS,
+    which meet in the next round; came counts the entries that were not there before.
+    """
+    # An entry that was sent is new, unless the list held it.
+    state = F.coalesce("state", F.transform("nbr", lambda _: F.lit(_SENT).cast("tinyint")))
+    grouped = lists.withColumn("state", state).groupBy("id").agg(F.first("code", ignorenulls=True).alias("code"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("nbr", "sim", "state")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, _ROWS):
                 part = b.slice(at, _ROWS)
-                row, u, s = _rows(part["nbr"]), part["nbr"].flatten().to_numpy(), part["sim"].flatten().to_numpy()
-                o = np.lexsort((-s, u, row))
-                o = o[_firsts(row[o], u[o])]
-                o = o[np.lexsort((u[o], -s[o], row[o]))]
-                o = o[_place(row[o]) < neighbours]
-                yield _lists(part["id"].to_numpy(), np.bincount(row[o], minlength=part.num_rows), u[o], s[o])
-
-    return grouped.mapInArrow(run, _LISTS)
-
-
-def _edges(lists: DataFrame, most: int, salt: int) -> DataFrame:
-    """(id, other) in both directions: ``most`` of each list, and ``most`` of those that list an id, by hash. A pair may come from both."""
-    flat = lists.select("id", F.explode("nbr").alias("other"))
-    h = F.xxhash64("id", "other", F.lit(salt))
-    forward = lists.select("id", F.explode(F.slice(F.array_sort(F.transform("nbr", lambda u: F.struct(F.xxhash64(u, F.lit(salt)).alias("h"), u.alias("u")))), 1, most)).alias("x")).select("id", F.col("x.u").alias("other"))
-    ranked = flat.select(F.col("other").alias("id"), F.col("id").alias("other"), h.alias("h"))
-    backward = ranked.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("h"))).where(F.col("r") <= most)
-    return forward.union(backward.select("id", "other"))
+                row, u, s, was = _rows(part["nbr"]), *(part[c].flatten().to_numpy() for c in ("nbr", "sim", "state"))
+                o = np.lexsort((was, -s, u, row))
+                first = np.flatnonzero(_firsts(row[o], u[o]))
+                # The entry keeps its best value and its earliest state.
+                earliest = np.minimum.reduceat(was[o], first) if len(first) else was[:0]
+                o = o[first]
+                k = np.lexsort((u[o], -s[o], row[o]))
+                o, earliest = o[k], earliest[k]
+                k = _place(row[o]) < neighbours
+                row, u, s, was = row[o][k], u[o][k], s[o][k], earliest[k]
+                came = np.bincount(row[was == _SENT], minlength=part.num_rows)
+                fresh = (was == _SENT) | (was == _NEW)
+                h = mix(part["id"].to_numpy().astype(np.uint64)[row] * _SEED + mix(u.astype(np.uint64) + np.uint64(salt)))
+                o = np.lexsort((h, fresh, row))
+                meets = np.zeros(len(row), bool)
+                meets[o] = _place(2 * row[o] + fresh[o]) < sample
+                state = np.where(fresh, np.where(meets, _NEW_MEETS, _NEW), np.where(meets, _OLD_MEETS, _OLD)).astype(np.int8)
+                out = _lists(part["id"].to_numpy(), np.bincount(row, minlength=part.num_rows), u, s)
+                states = pa.ListArray.from_arrays(out["nbr"].offsets, pa.array(state, pa.int8()))
+                yield pa.RecordBatch.from_arrays([out["id"], part["code"], out["nbr"], out["sim"], states, pa.array(came, pa.int64())], _STATE_NAMES)
+
+    return grouped.mapInArrow(run, _STATE)
+
+
+_STATE = "id long, code binary, nbr array<long>, sim array<float>, state array<tinyint>, came long"
+_STATE_NAMES = ["id", "code", "nbr", "sim", "state", "came"]
+#: The states of an entry, those before the round first.
+_OLD, _OLD_MEETS, _NEW_MEETS, _NEW, _SENT = range(5)
+
+
+def _met(now: DataFrame, neighbours: int, sample: int, salt: int) -> DataFrame:
+    """(id, met) of vectors that some others meet at: the entries of their lists that meet in this round, and ``sample`` new and
+    ``sample`` old ones of those that list them, by hash. A pair may come from both.
+
+    Whoever lists an id brings its own code along; only the entries of lists are joined with theirs.
+    """
+    # The worst entry of a list that isn't full yet is beaten by anything.
+    worst = F.when(F.size("nbr") < neighbours, -2.0).otherwise(F.element_at("sim", -1)).cast("float").alias("worst")
+    flat = now.select("id", "code", worst, F.explode(F.arrays_zip("nbr", "state")).alias("x"))
+    flat = flat.select("id", "code", "worst", F.col("x.nbr").alias("other"), F.col("x.state").alias("state")).where(F.col("state").isin(_OLD_MEETS, _NEW_MEETS)).withColumn("fresh", F.col("state") == _NEW_MEETS)
+    member = now.select(F.col("id").alias("other"), worst, "code")
+    forward = flat.select("id", "other", "fresh").join(member, "other").select("id", "other", "worst", "code", "fresh")
+    ranked = flat.select(F.col("other").alias("id"), F.col("id").alias("other"), "worst", "code", "fresh", F.xxhash64("id", "other", F.lit(salt)).alias("h"))
+    backward = ranked.withColumn("r", F.row_number().over(Window.partitionBy("id", "fresh").orderBy("h"))).where(F.col("r") <= sample)
+    both = forward.union(backward.select(forward.columns))
+    return both.groupBy("id").agg(F.collect_list(F.struct("other", "worst", "code", "fresh")).alias("met"), F.max("fresh").alias("any")).where("any").select("id", "met")
 
 
 def _local_join(met: DataFrame, sends: int, neighbours: int) -> DataFrame:
     """Compare all pairs of each row's distinct ``met``; what beats a member's worst entry goes to that member, ``sends`` at most a row.
 
-    A member of many rows gets one list of its ``neighbours`` best from all of them that are compared at once, so a hub
-    sends no more than others.
+    Where members say whether they are ``fresh``, pairs of two that are not have met before and are left out. A member of many rows
+    gets one list of its ``neighbours`` best from all of them that are compared at once, so a hub sends no more than others.
     """
 
     def compared(met: pa.Array) -> pa.RecordBatch:
         row, inner = _rows(met), met.flatten()
         ids = inner.field("other").to_numpy()
-        o = np.lexsort((ids, row))
+        says = inner.type.get_field_index("fresh") >= 0
+        fresh = inner.field("fresh").to_numpy(zero_copy_only=False) if says else np.ones(len(ids), bool)
+        o = np.lexsort((~fresh, ids, row))
         o = o[_firsts(row[o], ids[o])]
         row, place = row[o], _place(row[o])
         codes_ = decode(inner.field("code"))[o]
         # Rows get as many places as the longest has; places that a row lacks are beaten by nothing and beat nothing.
         shape = (len(met), place.max() + 1)
         x, member, worst = np.zeros((*shape, codes_.shape[1]), np.float32), np.full(shape, -1, np.int64), np.full(shape, np.inf, np.float32)
-        lacks = np.ones(shape, bool)
-        x[row, place], member[row, place], worst[row, place], lacks[row, place] = codes_, ids[o], inner.field("worst").to_numpy()[o], False
+        lacks, old = np.ones(shape, bool), np.zeros(shape, bool)
+        x[row, place], member[row, place], worst[row, place], lacks[row, place], old[row, place] = codes_, ids[o], inner.field("worst").to_numpy()[o], False, ~fresh[o]
         sim = x @ x.transpose(0, 2, 1)
-        sim[lacks[:, None, :] | np.eye(shape[1], dtype=bool)] = -2
+        sim[lacks[:, None, :] | np.eye(shape[1], dtype=bool) | (old[:, :, None] & old[:, None, :])] = -2
         best = np.argpartition(-sim, min(sends, shape[1]) - 1, axis=2)[:, :, :sends]
         top = np.take_along_axis(sim, best, 2)
-        better = top > worst[:, :, None]
+        better = (top > worst[:, :, None]) & (top > -2)
         to = np.broadcast_to(member[:, :, None], better.shape)[better]
         nbr, sim = member[np.arange(shape[0])[:, None, None], best][better], top[better]
         o = np.lexsort((nbr, -sim, to))
@@ -184,28 +226,43 @@ def _local_join(met: DataFrame, sends: int, neighbours: int) -> DataFrame:
 
 
 def build(coded: DataFrame, *, neighbours: int = 32, sample: int = 16, rounds: int = 16, changed: float = 0.01, sends: int = 8, seed: int = 0) -> DataFrame:
-    """(id, nbr, sim) for each (id, code): its near neighbours, best first.
+    """(id, code, nbr, sim) for each (id, code): its near neighbours, best first.
 
     Rounds end when less than a share ``changed`` of all entries is new, or after ``rounds``. The search makes good what lists still lack then.
+    A pair meets at a vector while one of the two is new there, so what has come to rest is compared and sent no more.
     """
     spark = coded.sparkSession
-    now = cut(_merged(_initial(coded, neighbours, 4, 256, seed), neighbours))
+    columns = ["id", "code", "nbr", "sim", "state"]
+
+    def sent(lists: DataFrame) -> DataFrame:
+        return lists.select("id", F.lit(None).cast("binary").alias("code"), "nbr", "sim", F.lit(None).cast("array<tinyint>").alias("state"))
+
+    none = coded.select("id", "code", F.array().cast("array<bigint>").alias("nbr"), F.array().cast("array<float>").alias("sim"), F.array().cast("array<tinyint>").alias("state"))
+    now = cut(_merged(none.union(sent(_initial(coded, neighbours, 4, 256, seed))), neighbours, sample, seed))
     n = now.count()
     for k in range(rounds):
-        edges = _edges(now, sample, seed + k)
-        # The worst entry of a list that isn't full yet is beaten by anything.
-        worst = now.select("id", F.when(F.size("nbr") < neighbours, -2.0).otherwise(F.element_at("sim", -1)).cast("float").alias("worst"))
-        other = coded.join(worst, "id", "left").select(F.col("id").alias("other"), "code", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"))
-        met = edges.join(other, "other").groupBy("id").agg(F.collect_list(F.struct("other", "worst", "code")).alias("met"))
-        sent = _local_join(met.select("met"), sends, neighbours)
-        after = cut(_merged(now.union(sent), neighbours))
-        kept = after.select(F.col("id"), F.col("nbr").alias("new")).join(now.select("id", "nbr"), "id").agg(F.sum(F.size(F.array_except("new", "nbr")))).first()[0] or 0
+        met = _met(now, neighbours, sample, seed + k)
+        # What met as new is old from here on.
+        kept = now.withColumn("state", F.transform("state", lambda x: F.when(x == _NEW, x).otherwise(F.lit(_OLD)).cast("tinyint"))).select(columns)
+        after = cut(_merged(kept.union(sent(_local_join(met.select("met"), sends, neighbours))), neighbours, sample, seed + k + 1))
+        came = after.agg(F.sum("came")).first()[0] or 0
         drop(now)
         now = after
         _release(spark)
-        if kept < changed * neighbours * max(n, 1):
+        if came < changed * neighbours * max(n, 1):
             break
-    return now
+    return now.select("id", "code", "nbr", "sim")
+
+
+def _links(graph: DataFrame, most: int = 32) -> DataFrame:
+    """(id, nbr, codes): a node's list and the ``most`` nearest of those that list it, with their codes."""
+    flat = graph.select("id", "code", F.explode(F.arrays_zip("nbr", "sim")).alias("x"))
+    flat = flat.select("id", "code", F.col("x.nbr").alias("other"), F.col("x.sim").alias("s"))
+    forward = flat.select("id", "other").join(graph.select(F.col("id").alias("other"), "code"), "other").select("id", "other", "code")
+    back = flat.select(F.col("other").alias("id"), F.col("id").alias("other"), "code", "s").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "other"))).where(F.col("r") <= most)
+    # A node that is in both comes twice at first.
+    both = forward.union(back.select("id", "other", "code")).groupBy("id").agg(F.array_distinct(F.collect_list(F.struct("other", "code"))).alias("x"))
+    return both.select("id", F.col("x.other").alias("nbr"), F.col("x.code").alias("codes"))
 
 
 def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int = 64, pool: int = 160, expand: int = 64, hops: int = 100, entries: int = 256) -> DataFrame:
@@ -217,9 +274,7 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int
     Without nodes nothing is found.
     """
     n = coded.count()
-    flat = graph.select("id", F.explode(F.arrays_zip("nbr", "sim")).alias("x")).select(F.col("x.nbr").alias("id"), F.col("id").alias("other"), F.col("x.sim").alias("s"))
-    back = flat.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "other"))).where("r <= 32").groupBy("id").agg(F.collect_list("other").alias("back"))
-    links = cut(graph.join(back, "id", "left").select("id", F.array_union("nbr", F.coalesce("back", F.array().cast("array<bigint>"))).alias("nbr")))
+    links = cut(_links(graph))
     # Entry points: a hashed sample of about ``entries`` nodes, the same for all queries.
     start = [(r[0], bytes(r[1])) for r in coded.where(sampled("id", entries, n)).collect()] or [(r[0], bytes(r[1])) for r in coded.limit(1).collect()]
     if not start:
@@ -251,25 +306,36 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int
 
                 yield state(b, rows())
 
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a query meets at the node that it expands, unless it is worse than all of a full pool."""
+        for b in batches:
+            for at in range(0, b.num_rows, _ROWS):
+                part = b.slice(at, _ROWS)
+                row, u = _rows(part["nbr"]), part["nbr"].flatten().to_numpy()
+                s = (decode(part["codes"].flatten()) * decode(part["code"])[row]).sum(axis=1)
+                k = (s >= part["worst"].to_numpy()[row]) if len(s) else np.zeros(0, bool)
+                lists = _lists(part["query_id"].to_numpy(), np.bincount(row[k], minlength=part.num_rows), u[k], s[k])
+                yield pa.RecordBatch.from_arrays(list(lists.columns), ["query_id", "nbr", "sim"])
+
     def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Merge what was fetched into the pools, and close what was expanded."""
+        """Merge what was met into the pools, and close what was expanded."""
         for b in batches:
             if not b.num_rows:
                 continue
 
             def rows(b: pa.RecordBatch = b) -> Iterator[tuple]:
-                fetched = b["got"].flatten()
-                ends = np.cumsum(np.bincount(_rows(b["got"]), minlength=b.num_rows))
-                query = decode(b["code"])
+                met, found_sims = (b[c].flatten().to_numpy() for c in ("nbr", "sim"))
+                ends = np.cumsum(np.bincount(_rows(b["nbr"]), minlength=b.num_rows))
                 for k, end in enumerate(ends.tolist()):
                     ids, sims = (b[c][k].values.to_numpy() for c in ("ids", "sims"))
                     open_ = b["open"][k].values.to_numpy(zero_copy_only=False).copy()
                     open_[np.flatnonzero(open_)[:expand]] = False
-                    got = fetched.slice(ends[k - 1] if k else 0, end - (ends[k - 1] if k else 0))
-                    if len(got):
-                        new = got.field("id").to_numpy()
-                        s = decode(got.field("code")) @ query[k]
-                        ids, sims, open_ = best(np.append(ids, new), np.append(sims, s), np.append(open_, np.ones(len(new), bool)))
+                    begin_ = ends[k - 1] if k else 0
+                    new, at = np.unique(met[begin_:end], return_index=True)
+                    # What the pool holds stays as it is there.
+                    lacks = ~np.isin(new, ids)
+                    if lacks.any():
+                        ids, sims, open_ = best(np.append(ids, new[lacks]), np.append(sims, found_sims[begin_:end][at[lacks]]), np.append(open_, np.ones(int(lacks.sum()), bool)))
                     yield ids, sims, open_
 
             yield state(b, rows())
@@ -277,11 +343,11 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, *, found: int
     now = cut(queries.select("query_id", "code").mapInArrow(begin, schema))
     ended: list[DataFrame] = []
     for _ in range(hops):
-        frontier = now.select("query_id", F.explode(F.slice(F.filter(F.transform(F.arrays_zip("ids", "open"), lambda x: F.when(x["open"], x["ids"])), lambda x: x.isNotNull()), 1, expand)).alias("id"))
-        met = frontier.join(links, "id").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("nbr"))).alias("met"))
-        # A query leaves out what its pool holds before codes are fetched.
-        next_ = met.join(now.select("query_id", "ids"), "query_id").select("query_id", F.explode(F.array_except("met", "ids")).alias("id"))
-        got = next_.join(coded, "id").groupBy("query_id").agg(F.collect_list(F.struct("id", "code")).alias("got"))
+        open_ids = F.filter(F.transform(F.arrays_zip("ids", "open"), lambda x: F.when(x["open"], x["ids"])), lambda x: x.isNotNull())
+        worst = F.when(F.size("sims") < pool, -2.0).otherwise(F.element_at("sims", -1)).cast("float").alias("worst")
+        frontier = now.select("query_id", "code", worst, F.explode(F.slice(open_ids, 1, expand)).alias("id"))
+        met = frontier.join(links, "id").select("query_id", "code", "worst", "nbr", "codes").mapInArrow(compared, "query_id long, nbr array<long>, sim array<float>")
+        got = met.groupBy("query_id").agg(F.flatten(F.collect_list("nbr")).alias("nbr"), F.flatten(F.collect_list("sim")).alias("sim"))
         after = cut(now.join(got, "query_id", "left").mapInArrow(closed, schema))
         if not ended:
             drop(now)

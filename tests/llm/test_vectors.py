@@ -56,3 +56,24 @@ def test_empty_tables(spark, name):
     path = shared_dir(spark)
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     assert queries.queries()[name](spark, path).count() == 0
+
+
+def test_a_pair_meets_only_while_one_of_it_is_new(spark):
+    """Two that were old at a vector before are not compared and sent there again; one that is new meets all."""
+    codes = [(np.array([127, i], np.int8).tobytes() + np.float32(1 / 127).tobytes()) for i in range(4)]
+    kind = "met array<struct<other:long,worst:float,code:binary,fresh:boolean>>"
+    for fresh, pairs in ((set(), set()), ({0}, {(0, 1), (0, 2), (0, 3)}), ({0, 1}, {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)})):
+        met = spark.createDataFrame([([(i, -2.0, bytearray(codes[i]), i in fresh) for i in range(4)],)], kind)
+        got = {(min(r["id"], u), max(r["id"], u)) for r in nn_descent._local_join(met, 8, 8).collect() for u in r["nbr"]}
+        assert got == pairs
+
+
+def test_entries_at_rest_are_sent_no_more(spark, monkeypatch):
+    """Lists that are full and right from the start: after their first meeting nothing is new, and a round sends nothing."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 8)))], "id long, v array<double>")
+    sent = []
+    join = nn_descent._local_join
+    monkeypatch.setattr(nn_descent, "_local_join", lambda *a: sent.append(join(*a).count()) or join(*a))
+    nn_descent.build(nn_descent.codes(df), neighbours=39, sample=39, rounds=5, changed=-1.0, sends=39)
+    assert len(sent) == 5 and sent[-1] == 0
