@@ -193,10 +193,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, grou
 
     groups = pairs.groupBy("y").agg(F.ceil(F.count("*") / group).cast("long").alias("groups"))
     of = F.pmod(F.xxhash64("x"), F.col("groups"))
-    x = texts.select(F.col("id").alias("x"), "text").join(pairs.join(groups, "y").select("x", "y", of.alias("g")), "x").select("x", "y", "g", "text")
-    y = texts.select(F.col("id").alias("y"), "text").join(groups, "y")
-    y = y.select(F.lit(None).cast("long").alias("x"), "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"), "text")
-    return x.union(y).repartition("y", "g").sortWithinPartitions("y", "g", F.asc_nulls_first("x")).mapInArrow(run, "src long, dst long")
+    # Where each text goes, both as an x and as a y, is known before the one join that moves texts.
+    to_x = pairs.join(groups, "y").select(F.col("x").alias("id"), "x", "y", of.alias("g"))
+    to_y = groups.select(F.col("y").alias("id"), F.lit(None).cast("long").alias("x"), "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"))
+    placed = texts.join(to_x.union(to_y), "id").select("x", "y", "g", "text")
+    return placed.repartition("y", "g").sortWithinPartitions("y", "g", F.asc_nulls_first("x")).mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:

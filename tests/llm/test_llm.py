@@ -257,3 +257,18 @@ def test_sketches_keep_links(spark):
             rows.append((len(a), len(b), *sketch))
     pairs = spark.createDataFrame(rows, "xn long, yn long, xb array<long>, yb array<long>")
     assert pairs.where(minhash.may_link(240, 80)).count() == len(rows)
+
+
+def test_texts_of_pairs_move_once(spark):
+    """One join brings a text to all places where it is compared, as an x or as a y."""
+    texts = spark.read.parquet(cut_path(spark, [(1, "a b c d"), (2, "a b c d"), (3, "x y")]))
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "x long, y long")
+    out = minhash.confirmed(pairs, texts, 2, 80)
+    assert [tuple(r) for r in out.collect()] == [(2, 1)]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("text:string") == 1
+
+
+def cut_path(spark, rows):
+    path = shared_dir(spark)
+    spark.createDataFrame(rows, "id long, text string").write.parquet(path)
+    return path
