@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.shared import components, cut, kept, text_slices
+from panelkit.llm.shared import components, cut, kept, marked, text_slices
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -172,7 +172,8 @@ _SKETCH = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(p
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, group: int = 64) -> DataFrame:
     """The (x, y) of ``pairs`` whose full sets have 100 * intersection >= percent * union, as (src, dst).
 
-    Only the texts in some pair are shuffled: as text they take half the room of their sets. The pairs of a y
+    Only the texts in some pair are shuffled, and the few others that a filter lets through: as text they take
+    half the room of their sets. The pairs of a y
     are dealt into groups of about ``group``, whatever their number; y's text goes once to each group and stands
     before the group's others, so a task reads rows of one text and holds one set.
     """
@@ -196,7 +197,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, grou
     # Where each text goes, both as an x and as a y, is known before the one join that moves texts.
     to_x = pairs.join(groups, "y").select(F.col("x").alias("id"), "x", "y", of.alias("g"))
     to_y = groups.select(F.col("y").alias("id"), F.lit(None).cast("long").alias("x"), "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"))
-    placed = texts.join(to_x.union(to_y), "id").select("x", "y", "g", "text")
+    # Most texts are in no pair: they stay where they lie.
+    there = marked(texts, pairs.select(F.explode(F.array("x", "y")).alias("id")), "id").where("__marked").drop("__marked")
+    placed = there.join(to_x.union(to_y), "id").select("x", "y", "g", "text")
     return placed.repartition("y", "g").sortWithinPartitions("y", "g", F.asc_nulls_first("x")).mapInArrow(run, "src long, dst long")
 
 

@@ -109,6 +109,26 @@ def cuts(texts: pa.Array, most: int) -> list[tuple[int, int]]:
     return out
 
 
+#: Bits of the filter of ``marked``: 2 MB go to each task's executor, whatever the number of ids.
+MARKS = 1 << 24
+
+
+def marked(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``df`` with __marked: true where ``column`` may be in ``ids``, a frame of one column, and false where it can't be or is null.
+
+    The ids' hashes set bits of one broadcast filter. With as many ids as bits two thirds of all other rows are
+    marked as well, so a join with ``ids`` has to follow; but rows that aren't marked need not be moved for it.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(MARKS)) + 1
+    place_of = F.pmod(F.xxhash64(ids.columns[0]), F.lit(MARKS)) + 1
+    filters = ids.where(F.col(ids.columns[0]).isNotNull()).groupBy(F.bitmap_bucket_number(place_of).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place_of)).alias("__bits"))
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False)) & F.col(column).isNotNull()
+    rows = df.withColumn("__bucket", F.bitmap_bucket_number(place)).join(F.broadcast(filters), "__bucket", "left")
+    return rows.select(*[df[c] for c in df.columns], met.alias("__marked"))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("panelkit.llm")
 from panelkit.llm import dac, licenses, minhash, mixing, multi_index, nn_descent, packing, sharding, substring, toxicity  # noqa: E402
 from panelkit.llm.queries import tokenizer_path  # noqa: E402
-from panelkit.llm.shared import components, shared_dir  # noqa: E402
+from panelkit.llm.shared import components, marked, shared_dir  # noqa: E402
 from panelkit.llm.tokens import Encoder  # noqa: E402
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -268,6 +268,28 @@ def test_texts_of_pairs_move_once(spark):
     assert out._jdf.queryExecution().sparkPlan().toString().count("text:string") == 1
 
 
+def test_only_texts_of_pairs_move(spark):
+    """A filter takes texts that are in no pair out before the join, whatever is broadcast otherwise."""
+    ids = spark.createDataFrame([(i,) for i in (-5, 0, 7, 1 << 40, None, 7)], "key long")
+    rows = spark.createDataFrame([(i, f"t{i}") for i in [-5, 0, 7, 1 << 40, None, *range(100, 1100)]], "id long, text string")
+    got = marked(rows, ids, "id")
+    assert got.columns == ["id", "text", "__marked"]
+    got = {r["id"]: r["__marked"] for r in got.collect()}
+    assert len(got) == 1005
+    assert all(got[i] for i in (-5, 0, 7, 1 << 40))
+    assert not got[None]
+    assert sum(got.values()) < 10
+    assert not marked(rows, ids.limit(0), "id").where("__marked").count()
+
+    texts = spark.read.parquet(cut_path(spark, [(i, "a b c d") for i in range(1000)]))
+    out = minhash.confirmed(spark.createDataFrame([(2, 1), (700, 1)], "x long, y long"), texts, 2, 80)
+    assert sorted(tuple(r) for r in out.collect()) == [(2, 1), (700, 1)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    # The filter's join is below that with the places, next to the scan of the texts.
+    assert plan.index("__bits") > plan.index("MapInArrow")
+    assert plan.count("FileScan parquet [id") == 1
+
+
 def cut_path(spark, rows):
     path = shared_dir(spark)
     spark.createDataFrame(rows, "id long, text string").write.parquet(path)
