@@ -2,9 +2,10 @@
 
 Templates are cut into pieces of up to 9 shingles of five words. A piece of n shingles is looked for in windows
 of 2 * s shingles at steps of s, where s is the least power of two with n <= s + 1: wherever the piece
-stands in a text, some window holds all of it. Pieces of one or two shingles are looked for in windows of
-just their length at every place. A band is one MinHash; as many bands are taken as make the chance that
-an occurrence with the least containment shares none with its piece at most ``most_missed``. A document
+stands in a text, some window holds all of it. Pieces of one or two shingles, and those so short that the
+least containment leaves none of their shingles out, are looked for in windows of just their length at every
+place, where one band finds what isn't missing a shingle. A band is one MinHash; as many bands are taken as make
+the chance that an occurrence with the least containment shares none with its piece at most ``most_missed``. A document
 that shares a band with a piece is a candidate for its template, which the exact containment of the
 template's shingles in the document's confirms.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,32 +44,40 @@ def shingle_hashes(words: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(_SHINGLE)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def scale(n: int) -> int:
-    """The step of windows for a piece of ``n`` shingles; 0 and -1 stand for windows of one and two at every place."""
-    return 0 if n == 1 else -1 if n == 2 else 2 ** math.ceil(math.log2(n - 1))
+def least_shared(n: int, containment: float) -> int:
+    """How many of a piece's ``n`` shingles an occurrence has at least."""
+    return math.ceil(containment * n - 1e-9)
+
+
+def scale(n: int, containment: float) -> int:
+    """The step of windows for a piece of ``n`` shingles; 0, -1, -2, ... stand for windows of 1, 2, 3, ... at every place."""
+    return 1 - n if n <= 2 or least_shared(n, containment) == n else 2 ** math.ceil(math.log2(n - 1))
 
 
 def bands(n: int, containment: float, most_missed: float) -> int:
     """How many bands a piece of ``n`` shingles needs in the windows of its scale."""
-    shared, window = math.ceil(containment * n - 1e-9), n if n <= 2 else 2 * scale(n)
-    j = shared / (window + n - shared)
+    shared, step = least_shared(n, containment), scale(n, containment)
+    j = shared / ((2 * step if step > 0 else n) + n - shared)
     return 1 if j == 1 else math.ceil(math.log(most_missed) / math.log(1 - j))
 
 
 def _windows(h: Column, step: int, band: int) -> Column:
     """The least of each window's hashes under a band's xor. Elements are fetched by place: a slice would copy the array."""
-    x = F.transform(h, lambda v: v.bitwiseXOR(F.lit(_constant(band))))
-    if step == 0:
+    mask = F.lit(_constant(band))
+
+    def minima(x: Column, width: int, stride: int, left: int, seen: Callable[[Column], Column] = lambda v: v) -> Column:
+        """Of ``width`` elements at every ``stride``-th place, but for the last ``left`` places; least() skips what lies beyond the end."""
+        last = F.greatest(F.size(x) - 1 - left, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.least(*[seen(F.get(x, i + k)) for k in range(width)]))
+
+    if step > 0:  # a window is two blocks, and a block's minimum is taken once
+        x, width = minima(h, step, step, 0, lambda v: v.bitwiseXOR(mask)), 2
+    else:
+        x, width = F.transform(h, lambda v: v.bitwiseXOR(mask)), 1 - step
+    if width == 1:
         return x
-    stride, width = (1, 2) if step < 0 else (step, 2 * step)
-
-    def windows(x: Column) -> Column:
-        last = F.greatest(F.ceil(F.size(x) / stride).cast("int") - 2, F.lit(0))
-        # least() skips what lies beyond the end.
-        return F.transform(F.sequence(F.lit(0), last), lambda b: F.least(*[F.get(x, b * stride + k) for k in range(width)]))
-
-    # The one-element array holds the xored hashes, so that they are computed once.
-    return F.flatten(F.transform(F.array(x), windows))
+    # The one-element array holds x, so that it is computed once.
+    return F.flatten(F.transform(F.array(x), lambda x: minima(x, width, 1, width - 1)))
 
 
 def _constant(band: int) -> int:
@@ -99,7 +109,7 @@ def scan(df: DataFrame, *, templates: dict[str, str] = TEMPLATES, containment: f
     for name, piece in pieces:
         for band in range(bands(len(piece), containment, most_missed)):
             value = min((x ^ _constant(band)) for x in piece)
-            wanted.setdefault((scale(len(piece)), band), {}).setdefault(value, set()).add(name)
+            wanted.setdefault((scale(len(piece), containment), band), {}).setdefault(value, set()).add(name)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("w")).select("doc_id", shingle_hashes(F.col("w")).alias("h"))
     hits = [_hits(F.col("h"), step, band, list(values)) for (step, band), values in sorted(wanted.items())]
     if not hits:

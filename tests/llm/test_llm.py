@@ -221,6 +221,24 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_license_windows(spark):
+    """Each window's minimum, with ends that no window fills; a piece that can miss no shingle needs one band."""
+    lists = [[], [5], [3, -4, 9], list(range(-7, 9)), [int(x) for x in np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, 37)]]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(lists)], "i int, h array<long>")
+    for step in (0, -1, -2, -3, 2, 4, 8):
+        stride, width = (step, 2 * step) if step > 0 else (1, 1 - step)
+        got = {r["i"]: r["w"] for r in df.select("i", licenses._windows(F.col("h"), step, 3).alias("w")).collect()}
+        for i, h in enumerate(lists):
+            x = [v ^ licenses._constant(3) for v in h]
+            last = len(x) - width if step <= 0 else (-(-len(x) // stride) - 2) * stride
+            want = [min(x[b : b + width]) for b in range(0, max(last, 0) + 1, stride) if x[b : b + width]]
+            assert [v for v in got[i] if v is not None] == want, (step, i)
+    assert [licenses.scale(n, 0.8) for n in range(1, 10)] == [0, -1, -2, -3, 4, 8, 8, 8, 8]
+    assert [licenses.bands(n, 0.8, 1e-3) for n in (1, 2, 3, 4)] == [1, 1, 1, 1]
+    assert licenses.scale(3, 0.5) == 2
+    assert licenses.bands(3, 0.5, 1e-3) > 1
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(0)
     rows = []
