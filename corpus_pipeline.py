@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelkit.llm import minhash, mixing, packing, substring, toxicity
 from panelkit.llm.queries import tokenizer_path
-from panelkit.llm.shared import cut, partitions, scratch, shared_dir
+from panelkit.llm.shared import cut, marked, partitions, scratch, shared_dir
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +61,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows of one id with different texts are documents of their own. Rows with a null id stay.
     """
     rows = keyed(once(docs) if repeats_ids(docs) else docs)
-    copies = minhash.near_duplicates(rows, id_col="__id").where("not kept").select(F.col("id").alias("__copy"))
-    return rows.join(copies, F.col("__key") == F.col("__copy"), "left_anti").select(*docs.columns)
+    copies = cut(minhash.near_duplicates(rows, id_col="__id").where("not kept").select(F.col("id").alias("__copy")))
+    # Only rows that may be copies are moved to the join with them.
+    rows = marked(rows, copies, "__key")
+    doubtful = rows.where("__marked").join(copies, F.col("__key") == F.col("__copy"), "left_anti")
+    return rows.where("not __marked").select(*docs.columns).union(doubtful.select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

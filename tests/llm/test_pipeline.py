@@ -76,6 +76,18 @@ def test_null_and_repeated_ids(spark):
     assert sorted(packed["doc_id"].dropna().astype(int)) == [i for i, _ in sorted(twice + other, key=lambda r: r[0])]
 
 
+def test_only_doubtful_rows_move_in_near_dedup(spark):
+    """Rows that can't be copies reach the output without the join; copies go as before, and null ids stay."""
+    rows = [(i, text(i)) for i in range(30)] + [(i, text(i - 100)) for i in range(100, 110)] + [(None, text(3))]
+    path = shared_dir(spark)
+    frame(spark, rows).write.parquet(path)
+    out = corpus_pipeline.near_duplicates(spark, spark.read.parquet(path), path)
+    assert pairs(out) == sorted([r for r in rows if r[0] is None or r[0] < 100], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+    assert "bitmap_construct_agg" in plan
+
+
 def test_keys_do_not_depend_on_partitioning(spark):
     rows = [(i % 7 if i % 5 else None, text(i % 11)) for i in range(60)]
     a, b = (sorted(map(tuple, corpus_pipeline.keyed(frame(spark, rows).repartition(n)).select("__key", "doc_id", "text").collect())) for n in (1, 5))
