@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from panelkit.llm import minhash, mixing, packing, substring, toxicity
 from panelkit.llm.queries import tokenizer_path
-from panelkit.llm.shared import cut, marked, partitions, scratch, shared_dir
+from panelkit.llm.shared import cut, marked, partitions, scratch, shared_dir, small_batches
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that op1 doesn't predict toxic; only labels outside the held-out quarter are learned from."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = toxicity.train(docs, labels.where(~held_out))
@@ -60,6 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows of one id with different texts are documents of their own. Rows with a null id stay.
     """
+    small_batches(spark)
     rows = keyed(once(docs) if repeats_ids(docs) else docs)
     copies = cut(minhash.near_duplicates(rows, id_col="__id").where("not kept").select(F.col("id").alias("__copy")))
     # Only rows that may be copies are moved to the join with them.
@@ -74,6 +76,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Texts without such passages and their n_chars stay as they are, and so do all characters around what is cut.
     Rows that repeat an id are documents of their own, one after the other. Rows with a null id stay whole.
     """
+    small_batches(spark)
     rows = keyed(docs)
     out = substring.without(rows, substring.repeated_spans(rows, id_col="__id"), id_col="__key").where("n_removed = 0 or n_removed < n_words")
     return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
@@ -89,6 +92,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in sequences of 2048."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer=tokenizer_path())
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm.minhash import mix
-from panelkit.llm.shared import cut, cuts, kept, text_slices
+from panelkit.llm.shared import cut, cuts, give_back, kept, text_slices
 
 _GRAMS = (4, 5, 6)
 _SLICE = 2 << 20
@@ -302,5 +302,6 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", name: str = "s
                 text, feature = _distinct(*features(texts.slice(at, n)), len(index))
                 z[at : at + n] += np.bincount(text, weights[feature], n)
             yield pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        give_back()
 
     return df.withColumn(name, of(F.col(text_col)))
