@@ -158,7 +158,7 @@ def _without_prefix(xs: Column, prefix: str) -> Column:
 def paragraphs(x: Column) -> Column:
     """Blocks between blank lines; if that is only one, its lines."""
     def parts(pattern: str) -> Column:
-        return F.filter(F.transform(F.split(x, pattern), F.trim), lambda t: t != "")
+        return F.filter(F.transform(F.split(x, pattern), lambda t: F.trim(t)), lambda t: t != "")  # as an argument itself, trim would get the place as its second
 
     blocks = parts(r"\n\s*\n")
     return F.when(F.size(blocks) > 1, blocks).otherwise(parts("\n"))
@@ -173,7 +173,7 @@ def occurrences(x: Column, term: Column | str) -> Column:
 
 def split_names(x: Column, delimiter: str = "→") -> Column:
     """Trimmed parts in order, each once by its identity key; ``x`` is in NFKC form, as of ``folded``."""
-    parts = F.filter(F.transform(F.split(x, delimiter), F.trim), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(x, delimiter), lambda t: F.trim(t)), lambda t: t != "")
     keys = F.transform(parts, lambda t: F.lower(F.regexp_replace(t, r"(?U)[^\w]", "")))
     return F.transform(F.filter(F.arrays_zip(parts.alias("t"), keys.alias("k")), lambda p, i: F.array_position(keys, p["k"]) == i + 1), lambda p: p["t"])
 

@@ -93,7 +93,7 @@ def complete_coverage(df: DataFrame, group: list[str], columns: list[str]) -> Da
 def failures(df: DataFrame, group: list[str], columns: list[str], reason: str, sep: str = ";") -> DataFrame:
     """(group, cause, n, share): missing fields as FIELD_MISSING:<field> and each single reason, over the group's rows."""
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"FIELD_MISSING:{c}")) for c in columns]))
-    given = F.filter(F.transform(F.split(F.coalesce(F.col(reason), F.lit("")), sep), F.trim), lambda t: t != "")
+    given = F.filter(F.transform(F.split(F.coalesce(F.col(reason), F.lit("")), sep), lambda t: F.trim(t)), lambda t: t != "")
     causes = df.select(*group, F.explode(F.concat(missing, given)).alias("cause")).groupBy(*group, "cause").agg(F.count("*").alias("n"))
     if not group:
         return causes.join(F.broadcast(df.agg(F.count("*").alias("t")))).select("cause", "n", (F.col("n") / F.col("t")).alias("share"))  # one row

@@ -31,7 +31,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    """A double rounded as the SQL rounds it: times a power of ten, to the nearest integer, divided again; 641 / 640 is 1.001562, not 1.001563."""
+    scale = F.lit(10.0**digits)
+    return F.round((F.col(c) if isinstance(c, str) else c) * scale) / scale
 
 
 # -- the panel -------------------------------------------------------------------------------------

@@ -1,9 +1,12 @@
 """Pages to corpus rows, and labels by prefix."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit.operators import evidence, text
+from panelkit import functions as fn
+from panelkit.operators import audits, evidence, text
+from panelkit.plans import queries
 
 
 @pytest.mark.parametrize(
@@ -60,3 +63,22 @@ def test_longest_prefix_goes_by_class_first(spark):
     got = evidence.longest_prefix(df, "address", prefixes).collect()
     assert len(got) == len(rows) and all(r["label"] == r["want"] for r in got)
     assert evidence.longest_prefix(df, "address", prefixes.limit(0)).where(F.col("label").isNotNull()).count() == 0
+
+
+def test_paragraphs_keep_digits_at_their_ends(spark):
+    df = spark.createDataFrame([(1, "0 thing 50\n1 thing 1\n thing 22 \n3"), (2, "0 thing\n\n 10 thing 1 \n\nrest")], "id int, t string")
+    got = {r["id"]: r for r in text.keyword_paragraphs(df, "t", ["thing"], ["rest"]).collect()}
+    assert got[1]["kept_text"] == "0 thing 50\n\n1 thing 1\n\nthing 22" and got[1]["kept_paragraphs"] == 3
+    assert got[2]["kept_text"] == "0 thing\n\n10 thing 1"
+
+
+def test_names_and_reasons_keep_digits_at_their_ends(spark):
+    df = spark.createDataFrame([("0 A 0→ B 1 ", "0 orders; 1 return1")], "names string, reason string")
+    assert df.select(fn.split_names(F.col("names"))).first()[0] == ["0 A 0", "B 1"]
+    assert sorted(r["cause"] for r in audits.failures(df, [], [], "reason").collect()) == ["0 orders", "1 return1"]
+
+
+def test_doubles_are_rounded_as_in_sql(spark):
+    values = [641 / 640, 2.5, -0.0000015, 1.0, 0.1 + 0.2, 123456.785, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(queries.r("v")).collect()]
+    assert got == [duckdb.execute("select round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
