@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import MISSING, unparsable
+from panelkit.sources import written
 
 
 def describe(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
@@ -60,9 +61,10 @@ def average_rank(column: str) -> Column:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (rho, n) on complete pairs.
 
-    Ranks come from counts by value, so what is ordered is one row a distinct value, whatever the ties.
+    Ranks come from counts by value, so what is ordered is one row a distinct value, whatever the ties. Pairs are written
+    once: sums of doubles computed again may differ in their last digit, and would not find their ranks by value.
     """
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = written(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")))
 
     def ranks(c: str) -> DataFrame:
         from panelkit.operators.panel import cumulated

@@ -170,6 +170,12 @@ def test_spearman_with_ties(spark):
     assert got["rho"] == pytest.approx(p["a"].rank().corr(p["b"].rank()))
 
 
+def test_spearman_of_values_that_change_when_computed_again(spark):
+    again = F.udf(lambda: np.random.default_rng().random(), "double").asNondeterministic()
+    got = audits.spearman(spark.range(200, numPartitions=2).select(F.col("id").alias("a"), (F.col("id") + again()).alias("b")), "a", "b").first()
+    assert got["n"] == 200 and got["rho"] == pytest.approx(1.0)
+
+
 def test_gate_levels(spark):
     df = spark.createDataFrame([("a", "x", True), ("a", "y", False), ("b", "x", True)], "l string, m string, ok boolean")
     got = {(r["l"], r["m"]): (r["n"], r["passed"]) for r in audits.gate(df, ["l", "m"], F.col("ok"), 0.6).collect()}
