@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from panelkit import functions as fn
+from panelkit.operators import postings
 from panelkit.sources import written
 
 # -- cleaning --------------------------------------------------------------------------------------
@@ -322,6 +323,16 @@ def tfidf(df: DataFrame, doc: list[str], text_col: str, low: int = 2, high: int
     return w.join(norm, doc).select(*doc, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def _alone(keys: DataFrame, entity: str, period: str) -> DataFrame:
+    """(entity, period, __before): documents that are the only ones of their entity and period."""
+    return keys.groupBy(entity, period).agg(F.count("*").alias("__n"), F.min("__doc").alias("__before")).where("__n = 1").drop("__n")
+
+
+def _with_before(keys: DataFrame, one: DataFrame, entity: str, period: str) -> DataFrame:
+    """(__doc, __before) of documents whose entity has exactly one in the period before."""
+    return keys.join(one.withColumn(period, F.col(period) + 1), [entity, period]).select("__doc", "__before")
+
+
 def adjacent(df: DataFrame, entity: str, period: str, text_col: str, ident: str | None = None) -> DataFrame:
     """(entity, period, ident, text_col, __doc, __before, __serves): every row as a document of its own.
 
@@ -333,11 +344,10 @@ def adjacent(df: DataFrame, entity: str, period: str, text_col: str, ident: str
     base = df.select(*names)
     base = base.withColumn("__doc", F.col(ident)) if ident else written(base.withColumn("__doc", F.monotonically_increasing_id()))
     keys = base.select(entity, period, "__doc")
-    one = keys.groupBy(entity, period).agg(F.count("*").alias("__n"), F.min("__doc").alias("__before")).where("__n = 1").drop("__n")
+    one = _alone(keys, entity, period)
     after = keys.select(entity, (F.col(period) - 1).alias(period)).distinct()
     serves = one.join(after, [entity, period]).select(F.col("__before").alias("__doc"), F.lit(True).alias("__serves"))
-    before = keys.join(one.withColumn(period, F.col(period) + 1), [entity, period]).select("__doc", "__before")
-    return base.join(before, "__doc", "left").join(serves, "__doc", "left")
+    return base.join(_with_before(keys, one, entity, period), "__doc", "left").join(serves, "__doc", "left")
 
 
 def _scored(docs: DataFrame, dots: DataFrame, now: DataFrame, before: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -380,9 +390,44 @@ def continuity(df: DataFrame, entity: str, period: str, text_col: str, name: str
     return _scored(docs, _dots(w.where("__before is not null").drop("__serves"), w.where("__serves")), norms, norms, keys, name)
 
 
+#: Postings of a task and of a bucket of terms in ``expanding_continuity``. Fixed values.
+_TASK, _BUCKET = 1 << 22, 1 << 24
+
+
 def expanding_continuity(df: DataFrame, entity: str, period: str, text_col: str, name: str = "continuity_expanding", low: int = 2, high: int = 4, min_df: int = 2, ident: str | None = None) -> DataFrame:
     """As ``continuity``, with vocabulary, frequencies and N from documents up to the later period of a pair only.
 
+    A document travels with the text before it; n-grams are counted where both lie, and their postings are shuffled once, in
+    compressed blocks by bucket of terms. Where a bucket's blocks meet, all of its frequencies are known, and a pair's weights as of its
+    later period: what leaves is a bucket's part of the pair's product and norms. A bucket's blocks are held compressed in one task, so
+    memory grows with a term's documents by some bytes each. Longer n-grams than four characters are rows of a plain join.
+    """
+    if high > 4:
+        return _expanding_by_rows(df, entity, period, text_col, name, low, high, min_df, ident)
+    keys = [*([ident] if ident else []), entity, period]
+    texts = df.select(*keys, fn.vector_text(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"))
+    base = written(texts.withColumn("__doc", F.monotonically_increasing_id()))
+    ids = base.select(entity, period, "__doc")
+    before = _with_before(ids, _alone(ids, entity, period), entity, period)
+    along = Window.orderBy(period)
+    n = base.where(F.col(period).isNotNull()).groupBy(period).agg(F.count("*").alias("k"))
+    n = n.select(period, F.sum("k").over(along).alias("__n"), (F.row_number().over(along) - 1).alias("__rank"))  # one row a period
+    # Documents without one before them meet nothing, under keys of their own.
+    rows = base.select(period, "__doc", "__t").join(before, "__doc", "left").join(F.broadcast(n), period).withColumn("__before", F.coalesce("__before", -1 - F.col("__doc")))
+    rows = rows.join(base.select(F.col("__doc").alias("__before"), F.col("__t").alias("__u")), "__before", "left").select("__doc", "__t", "__u", "__rank", "__n")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = 2 * (high - low + 1) * (base.agg(F.sum(F.length("__t"))).first()[0] or 0)
+    tasks = max(1, min(parts, -(-most // _TASK)))
+    made = rows.repartition(parts, F.xxhash64("__doc")).mapInArrow(postings.blocks(low, high, tasks * max(2, -(-most // (tasks * _BUCKET)))), postings.BLOCKS)
+    sums = made.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_gathered(postings.sums(min_df)), postings.SUMS)
+    sums = sums.groupBy("__doc").agg(*[F.sum(c).alias(c) for c in ("dot", "now", "before")])
+    value = F.when((F.col("now") > 0) & (F.col("before") > 0), fn.clip01(F.col("dot") / (F.sqrt("now") * F.sqrt("before"))))
+    return base.select("__doc", *keys).join(sums, "__doc", "left").select(*keys, value.alias(name))
+
+
+def _expanding_by_rows(df: DataFrame, entity: str, period: str, text_col: str, name: str, low: int, high: int, min_df: int, ident: str | None) -> DataFrame:
+    """``expanding_continuity`` with a row a posting.
+
     Frequencies as of a period come from one window over (term, period) counts, which has a row for each period
     in which a term is asked for: a document is weighed as of its own period where it has one before it, and as of
     the next where it is one, by an equi-join.
