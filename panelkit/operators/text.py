@@ -390,8 +390,8 @@ def continuity(df: DataFrame, entity: str, period: str, text_col: str, name: str
     return _scored(docs, _dots(w.where("__before is not null").drop("__serves"), w.where("__serves")), norms, norms, keys, name)
 
 
-#: Postings of a task and of a bucket of terms in ``expanding_continuity``. Fixed values.
-_TASK, _BUCKET = 1 << 22, 1 << 24
+#: Postings of a task, of which each leaves a row a pair, and of a bucket of terms in ``expanding_continuity``. Fixed values.
+_TASK, _BUCKET = 1 << 25, 1 << 24
 
 
 def expanding_continuity(df: DataFrame, entity: str, period: str, text_col: str, name: str = "continuity_expanding", low: int = 2, high: int = 4, min_df: int = 2, ident: str | None = None) -> DataFrame:
@@ -412,13 +412,14 @@ def expanding_continuity(df: DataFrame, entity: str, period: str, text_col: str,
     along = Window.orderBy(period)
     n = base.where(F.col(period).isNotNull()).groupBy(period).agg(F.count("*").alias("k"))
     n = n.select(period, F.sum("k").over(along).alias("__n"), (F.row_number().over(along) - 1).alias("__rank"))  # one row a period
-    # Documents without one before them meet nothing, under keys of their own.
-    rows = base.select(period, "__doc", "__t").join(before, "__doc", "left").join(F.broadcast(n), period).withColumn("__before", F.coalesce("__before", -1 - F.col("__doc")))
-    rows = rows.join(base.select(F.col("__doc").alias("__before"), F.col("__t").alias("__u")), "__before", "left").select("__doc", "__t", "__u", "__rank", "__n")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Texts are dealt once, for their own sake and as those before others, which then go where the others are.
+    dealt = base.select("__doc", "__t").repartition(parts, "__doc")
+    others = before.join(dealt.select(F.col("__doc").alias("__before"), F.col("__t").alias("__u")), "__before").select("__doc", "__u").repartition(parts, "__doc")
+    rows = dealt.join(ids.join(F.broadcast(n), period).select("__doc", "__rank", "__n"), "__doc").join(others, "__doc", "left")
     most = 2 * (high - low + 1) * (base.agg(F.sum(F.length("__t"))).first()[0] or 0)
-    tasks = max(1, min(parts, -(-most // _TASK)))
-    made = rows.repartition(parts, F.xxhash64("__doc")).mapInArrow(postings.blocks(low, high, tasks * max(2, -(-most // (tasks * _BUCKET)))), postings.BLOCKS)
+    tasks = max(1, min(parts, max(-(-most // _TASK), min(16, -(-most // (_TASK >> 3))))))
+    made = rows.select("__doc", "__t", "__u", "__rank", "__n").mapInArrow(postings.blocks(low, high, tasks * max(2, -(-most // (tasks * _BUCKET)))), postings.BLOCKS)
     sums = made.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_gathered(postings.sums(min_df)), postings.SUMS)
     sums = sums.groupBy("__doc").agg(*[F.sum(c).alias(c) for c in ("dot", "now", "before")])
     value = F.when((F.col("now") > 0) & (F.col("before") > 0), fn.clip01(F.col("dot") / (F.sqrt("now") * F.sqrt("before"))))

@@ -101,3 +101,16 @@ def test_postings_take_few_bytes_on_disk(spark):
     before, had = _written(folder), set(_shuffled(spark))
     assert text.expanding_continuity(df, "e", "p", "t").agg(F.count("continuity_expanding")).first()[0] == 450
     assert _written(folder) - before + sum(v for k, v in _shuffled(spark).items() if k not in had) < 12 * chars
+
+
+def test_postings_of_repeated_periods_take_few_bytes_on_disk(spark):
+    """Two documents have the same one before them, and rows are named by a struct, as in repeated_turn_continuity_expanding."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(400)]
+    rows = [((i // 4, i % 4), i // 4, min(i % 4, 2), "".join(rng.choice(vocabulary, 100))) for i in range(600)]
+    chars = sum(len(r[3]) for r in rows)
+    df = spark.createDataFrame(rows, "key struct<c:int,s:int>, e int, p int, t string")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before, had = _written(folder), set(_shuffled(spark))
+    assert text.expanding_continuity(df, "e", "p", "t", ident="key").agg(F.count("continuity_expanding")).first()[0] == 450
+    assert _written(folder) - before + sum(v for k, v in _shuffled(spark).items() if k not in had) < 12 * chars
